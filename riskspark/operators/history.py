@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskspark import config
 from riskspark.operators.metrics import f1_by, roc_auc
+from riskspark.session import cut_lineage
 
 METRICS = ("f1", "roc_auc")
 
@@ -41,7 +42,9 @@ def compare_versions(rows: DataFrame, first: str, second: str) -> DataFrame:
 
     A missing metric stays missing in its column and counts as 0 in the difference.
     """
-    known = {r[0] for r in rows.filter(F.col("version").isin(first, second)).select("version").distinct().collect()}
+    # One row per version and metric: stored, so that the metrics are computed once.
+    rows = cut_lineage(rows.filter(F.col("version").isin(first, second)), "metrics")
+    known = {r["version"] for r in rows.select("version").distinct().collect()}
     for version in (first, second):
         if version not in known:
             raise ValueError(f"Version {version} not found")

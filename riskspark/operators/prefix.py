@@ -17,28 +17,29 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.columns import finite
+from riskspark.operators.marks import MARKS, quantile_marks
 
 
 def bucket_number(df: DataFrame) -> int:
-    """As many buckets as shuffle partitions, within the accuracy of the quantile sketch."""
-    setting = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(setting, 2000))
+    """A few buckets per shuffle partition, so that partitions get about equal shares."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(8, min(4 * partitions, 4 * MARKS))
 
 
 def cut_points(
     df: DataFrame, columns: Sequence[str], buckets: int | None = None
 ) -> dict[str, list[float]]:
-    """Approximate quantiles of each column, taken in one aggregate over the table.
+    """Approximate quantiles of each column, taken in one pass over the table.
 
     At most ``buckets - 1`` numbers per column reach the driver. They only decide where a
     bucket ends, so their error has no effect on results.
     """
     n = buckets or bucket_number(df)
     shares = [i / n for i in range(1, n)]
-    row = df.agg(
-        *[F.percentile_approx(finite(df, c), shares, 20 * n).alias(c) for c in columns]
-    ).first()
-    return {c: sorted(set(row[c] or [])) for c in columns}
+    found, _ = quantile_marks(
+        df, {c: finite(df, c) for c in columns}, dict.fromkeys(columns, shares), marks=max(MARKS, n)
+    )
+    return {c: sorted(set(found[c])) for c in columns}
 
 
 def add_buckets(df: DataFrame, cuts: Mapping[str, Sequence[float]], suffix: str = "__bucket") -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact quantiles at any size.
 
 The built-in ``median`` keeps every distinct value of a column in one task. It is used for
-tables of checked size; beyond that the quantile is bracketed by a sketch, the bracket is
-checked by counting, and only the distinct values inside it are ranked.
+tables of checked size; beyond that the quantile is bracketed by approximate quantiles, the
+bracket is checked by counting, and only the distinct values inside it are ranked.
 """
 
 from __future__ import annotations
@@ -14,119 +14,118 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.columns import finite
+from riskspark.operators.marks import MARKS, quantile_marks
 
 DIRECT_ROWS = 200_000
-ACCURACY = 10_000
-
-
-def _counts(df: DataFrame, brackets: dict[str, tuple[float, float]]) -> dict[str, tuple[int, int]]:
-    """Per column: rows below the bracket and rows inside it."""
-    exprs = []
-    for name, (low, high) in brackets.items():
-        value = finite(df, name)
-        exprs.append(F.count_if(value < F.lit(low)).alias(f"{name}__below"))
-        exprs.append(F.count_if(value.between(low, high)).alias(f"{name}__inside"))
-    row = df.agg(*exprs).first()
-    return {c: (row[f"{c}__below"], row[f"{c}__inside"]) for c in brackets}
-
-
-def _sketch(
-    df: DataFrame, shares: dict[str, tuple[float, float]], within: dict[str, tuple[float, float]]
-) -> dict[str, tuple[float, float]]:
-    exprs = []
-    for name, (low, high) in shares.items():
-        value = finite(df, name)
-        if name in within:
-            value = F.when(value.between(*within[name]), value)
-        exprs.append(F.percentile_approx(value, [low, high], ACCURACY).alias(name))
-    row = df.agg(*exprs).first()
-    return {c: tuple(row[c]) for c in shares}
+KEEP_INSIDE = 100_000
+SHARES = [(i + 0.5) / MARKS for i in range(MARKS)]
 
 
 def exact_medians(
     df: DataFrame,
     columns: Sequence[str],
     direct_rows: int = DIRECT_ROWS,
-    keep_inside: int = 100_000,
+    keep_inside: int = KEEP_INSIDE,
 ) -> dict[str, float | None]:
     """The median of each column over its finite values, between the two middle ones if even."""
     columns = list(columns)
     if not columns:
         return {}
-    row = df.agg(
-        F.count(F.lit(1)).alias("__rows"), *[F.count(finite(df, c)).alias(c) for c in columns]
+    values = {c: finite(df, c) for c in columns}
+    sizes = df.agg(
+        F.count(F.lit(1)).alias("__rows"), *[F.count(values[c]).alias(c) for c in columns]
     ).first()
-    sizes = {c: row[c] for c in columns}
-    medians: dict[str, float | None] = dict.fromkeys(columns)
-    if row["__rows"] <= direct_rows:
-        small = df.agg(*[F.median(finite(df, c)).alias(c) for c in columns]).first()
+    if sizes["__rows"] <= direct_rows:
+        small = df.agg(*[F.median(values[c]).alias(c) for c in columns]).first()
         return {c: small[c] for c in columns}
 
     # 0-based positions of the two middle values in sorted order.
-    middle = {c: ((n - 1) // 2, n // 2) for c, n in sizes.items() if n}
-    margin = dict.fromkeys(middle, 2 / ACCURACY)
-    brackets: dict[str, tuple[float, float]] = {}
-    below = dict.fromkeys(middle, 0)
-    inside = {c: sizes[c] for c in middle}
-    active = set(middle)
+    middle = {c: ((sizes[c] - 1) // 2, sizes[c] // 2) for c in columns if sizes[c]}
+    brackets = _brackets(df, middle, {c: sizes[c] for c in middle}, keep_inside)
+    medians: dict[str, float | None] = dict.fromkeys(columns)
+    medians.update(_ranked(df, middle, brackets))
+    return medians
+
+
+def _brackets(
+    df: DataFrame, middle: dict[str, tuple[int, int]], sizes: dict[str, int], keep_inside: int
+) -> dict[str, tuple[float, float, int]]:
+    """Per column (low, high, rows below low), proven by counting to hold both middle values.
+
+    Every pass over the table counts the proposed brackets and takes quantiles inside them. A
+    column is done when few rows are left inside, or when a closer bracket has as many rows:
+    then the edge values themselves hold them, and there are few distinct ones.
+    """
+    everything = (float("-inf"), float("inf"))
+    proven = {c: (*everything, 0) for c in middle}
+    held = dict(sizes)
+    margin = dict.fromkeys(middle, 4 / MARKS)
+    proposal = dict.fromkeys(middle, everything)
+    repeated = set(middle)
+    active = sorted(middle)
     while active:
-        shares = {
-            c: (
-                max(0.0, (middle[c][0] - below[c]) / inside[c] - margin[c]),
-                min(1.0, (middle[c][1] - below[c] + 1) / inside[c] + margin[c]),
-            )
-            for c in active
-        }
-        proposed = _sketch(df, shares, {c: brackets[c] for c in active if c in brackets})
-        counted = _counts(df, proposed)
-        done = set()
+        values = {c: finite(df, c) for c in active}
+        inside = {c: values[c].between(F.lit(proposal[c][0]), F.lit(proposal[c][1])) for c in active}
+        counts = {f"{c}:in": inside[c] for c in active}
+        counts |= {f"{c}:under": values[c] < F.lit(proposal[c][0]) for c in active}
+        marks, counted = quantile_marks(
+            df, {c: F.when(inside[c], values[c]) for c in active}, dict.fromkeys(active, SHARES), counts
+        )
+        going_on = []
         for c in active:
-            under, held = counted[c]
-            # Keep a bracket only if counting proves that both middle values are in it.
-            if under <= middle[c][0] and under + held > middle[c][1]:
-                # No progress means that the edge values themselves hold the rows.
-                stuck = held == inside[c]
-                brackets[c], below[c], inside[c] = proposed[c], under, held
-                if held <= keep_inside or stuck:
-                    done.add(c)
-            else:
+            under, within = counted[f"{c}:under"], counted[f"{c}:in"]
+            if not (under <= middle[c][0] and under + within > middle[c][1]):
+                # The quantiles were off by more than the margin: propose again, wider.
                 margin[c] *= 8
-        active -= done
+                proposal[c] = proven[c][:2]
+                repeated.add(c)
+                going_on.append(c)
+                continue
+            no_progress = within == held[c] and c not in repeated
+            repeated.discard(c)
+            proven[c], held[c] = (*proposal[c], under), within
+            if within <= keep_inside or no_progress or proposal[c][0] == proposal[c][1]:
+                continue
+            first = (middle[c][0] - under) / within - margin[c]
+            last = (middle[c][1] - under + 1) / within + margin[c]
+            proposal[c] = (
+                marks[c][int(first * MARKS)] if first > 0 else proposal[c][0],
+                marks[c][int(last * MARKS)] if last < 1 else proposal[c][1],
+            )
+            going_on.append(c)
+        active = going_on
+    return proven
 
-    parts = []
-    for c in middle:
+
+def _ranked(
+    df: DataFrame, middle: dict[str, tuple[int, int]], brackets: dict[str, tuple[float, float, int]]
+) -> dict[str, float]:
+    """Find the middle values among the distinct values of each bracket."""
+    if not middle:
+        return {}
+    entries = []
+    for c, (first, last) in middle.items():
+        low, high, below = brackets[c]
         value = finite(df, c)
-        if c in brackets:
-            value = F.when(value.between(*brackets[c]), value)
-        parts.append(
+        entries.append(
             F.struct(
                 F.lit(c).alias("column"),
-                value.alias("value"),
-                F.lit(middle[c][0] - below[c]).cast("long").alias("first"),
-                F.lit(middle[c][1] - below[c]).cast("long").alias("second"),
+                F.when(value.between(F.lit(low), F.lit(high)), value).alias("value"),
+                F.lit(first - below).cast("long").alias("first"),
+                F.lit(last - below).cast("long").alias("last"),
             )
         )
-    if not parts:
-        return medians
     counts = (
-        df.select(F.inline(F.array(*parts)))
+        df.select(F.inline(F.array(*entries)))
         .filter(F.col("value").isNotNull())
-        .groupBy("column", "first", "second", "value")
+        .groupBy("column", "first", "last", "value")
         .agg(F.count("*").alias("n"))
     )
-    # A bracket holds its two edge values and a rank range that shrinks in every round,
-    # so the window below sorts few rows per column.
-    order = Window.partitionBy("column").orderBy("value")
-    ranked = counts.withColumn("last", F.sum("n").over(order) - 1).withColumn(
-        "start", F.col("last") - F.col("n") + 1
-    )
-    for r in (
-        ranked.groupBy("column")
-        .agg(
-            F.max(F.when(F.col("first").between(F.col("start"), F.col("last")), F.col("value"))).alias("a"),
-            F.max(F.when(F.col("second").between(F.col("start"), F.col("last")), F.col("value"))).alias("b"),
-        )
-        .collect()
-    ):
-        medians[r["column"]] = r["a"] if r["a"] == r["b"] else r["a"] + (r["b"] - r["a"]) * 0.5
-    return medians
+    upto = F.sum("n").over(Window.partitionBy("column").orderBy("value"))
+    ranked = counts.withColumn("end", upto - 1).withColumn("start", F.col("end") - F.col("n") + 1)
+
+    def at(position: str):
+        return F.max(F.when(F.col(position).between(F.col("start"), F.col("end")), F.col("value")))
+
+    rows = ranked.groupBy("column").agg(at("first").alias("a"), at("last").alias("b")).collect()
+    return {r["column"]: r["a"] + (r["b"] - r["a"]) * 0.5 for r in rows}

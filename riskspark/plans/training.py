@@ -60,11 +60,13 @@ def build_features(
 
     ``fit_scope="all"`` fits on every row instead, which lets the test rows leak into it.
     """
-    rows = stratified_split(engineer_features(prepare(loans, label)), key, label, seed=seed)
+    # Fitting reads the table several times, a few columns at a time: from a columnar copy.
+    prepared = cut_lineage(engineer_features(prepare(loans, label)), "prepared")
+    rows = stratified_split(prepared, key, label, seed=seed)
     base = rows.filter(F.col("split") == "train") if fit_scope == "train" else rows
     state = fit(base, label, [key, "split", *exclude])
     table = transform(rows, state, keep=[key, "split", label])
-    return Features(cut_lineage(table), state, key, label)
+    return Features(cut_lineage(table, "features"), state, key, label)
 
 
 def train(
