@@ -40,7 +40,7 @@ class ColumnProfile:
     reference_rows: int
     current_rows: int
     reference_std: float | None
-    distinct: int
+    distinct: int  # numeric columns only
 
 
 def _stack(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -76,8 +76,8 @@ def comparable_columns(reference: DataFrame, current: DataFrame) -> list[str]:
 def _profile(stacked: DataFrame, columns: Sequence[str], few: int) -> tuple[int, list[ColumnProfile]]:
     """Sizes, spread and number of values of every column.
 
-    A sketch settles which columns have many values; only the others are counted exactly,
-    so the exact count never shuffles a column with many values.
+    A sketch settles which numeric columns have many values; only the others are counted
+    exactly, so the exact count never shuffles a column with many values.
     """
     ref = F.col("__reference")
     exprs = [F.count_if(ref).alias("__n")]
@@ -85,13 +85,15 @@ def _profile(stacked: DataFrame, columns: Sequence[str], few: int) -> tuple[int,
         exprs += [
             F.count(F.when(ref, F.col(c))).alias(f"{c}__ref"),
             F.count(F.when(~ref, F.col(c))).alias(f"{c}__cur"),
-            F.approx_count_distinct(c).alias(f"{c}__values"),
         ]
         if _numeric(stacked, c):
-            exprs.append(F.stddev_pop(F.when(ref, F.col(c))).alias(f"{c}__std"))
+            exprs += [
+                F.approx_count_distinct(c).alias(f"{c}__values"),
+                F.stddev_pop(F.when(ref, F.col(c))).alias(f"{c}__std"),
+            ]
     row = stacked.agg(*exprs).first().asDict()
-    distinct = {c: row[f"{c}__values"] for c in columns}
-    unsure = [c for c in columns if distinct[c] <= 10 * few]
+    distinct = {c: row.get(f"{c}__values", 0) for c in columns}
+    unsure = [c for c in columns if 0 < distinct[c] <= 10 * few]
     if unsure:
         exact = stacked.agg(*[F.count_distinct(c).alias(c) for c in unsure]).first()
         distinct |= {c: exact[c] for c in unsure}
@@ -231,8 +233,8 @@ def drift_report(
     few = [p for p in profiles if p not in many]
     kinds = F.broadcast(
         spark.createDataFrame(
-            [(p.name, "numeric" if p.numeric else "categorical", p.distinct) for p in profiles],
-            "feature string, kind string, distinct long",
+            [(p.name, "numeric" if p.numeric else "categorical") for p in profiles],
+            "feature string, kind string",
         )
     )
     parts = []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskspark import config
 from riskspark.functions.columns import above, finite, ratio
-from riskspark.operators.prefix import add_buckets, cut_points, running_totals
+from riskspark.operators.prefix import add_buckets, cut_points, earlier_buckets, smaller_in_bucket
 
 
 def confusion_counts(label: str, prediction: Column) -> list[Column]:
@@ -70,11 +70,28 @@ def roc_auc(
         .groupBy(*by, "s__bucket", "s")
         .agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     )
-    below = running_totals(counts, by, "s__bucket", "s", ["neg"])
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    wins = F.sum(pos * (F.col("neg_before").cast("double") + 0.5 * neg))
-    return below.groupBy(*by).agg(
-        F.try_divide(wins, F.sum(pos) * F.sum(neg)).alias("roc_auc")
+    inside = F.coalesce(F.sum("neg").over(smaller_in_bucket(by, "s__bucket", "s")), F.lit(0))
+    # A positive beats the negatives below it in its bucket and all in the buckets before, so
+    # one row per bucket is enough to add the buckets up.
+    per_bucket = (
+        counts.withColumn("below", inside.cast("double"))
+        .groupBy(*by, "s__bucket")
+        .agg(
+            F.sum(pos * (F.col("below") + 0.5 * neg)).alias("wins"),
+            F.sum(pos).alias("p"),
+            F.sum(neg).alias("n"),
+        )
+    )
+    before = F.coalesce(F.sum("n").over(earlier_buckets(by, "s__bucket")), F.lit(0.0))
+    return (
+        per_bucket.withColumn("before", before)
+        .groupBy(*by)
+        .agg(
+            F.try_divide(
+                F.sum(F.col("wins") + F.col("p") * F.col("before")), F.sum("p") * F.sum("n")
+            ).alias("roc_auc")
+        )
     )
 
 

@@ -13,17 +13,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Window, WindowSpec
 from pyspark.sql import functions as F
 
 from riskspark.functions.columns import finite
-from riskspark.operators.marks import MARKS, quantile_marks
+from riskspark.operators.marks import quantile_marks
 
 
 def bucket_number(df: DataFrame) -> int:
     """A few buckets per shuffle partition, so that partitions get about equal shares."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(4 * partitions, 4 * MARKS))
+    return max(8, min(4 * partitions, 2000))
 
 
 def cut_points(
@@ -37,7 +37,7 @@ def cut_points(
     n = buckets or bucket_number(df)
     shares = [i / n for i in range(1, n)]
     found, _ = quantile_marks(
-        df, {c: finite(df, c) for c in columns}, dict.fromkeys(columns, shares), marks=max(MARKS, n)
+        df, {c: finite(df, c) for c in columns}, dict.fromkeys(columns, shares), marks=max(100, 2 * n)
     )
     return {c: sorted(set(found[c])) for c in columns}
 
@@ -49,15 +49,32 @@ def add_buckets(df: DataFrame, cuts: Mapping[str, Sequence[float]], suffix: str
     """
     infinity = float("inf")
     names = [c for c in cuts if cuts[c]]
-    out = df.withColumns({f"{c}{suffix}": F.lit(0.0) for c in cuts if not cuts[c]})
+    out = df.withColumns({f"{c}{suffix}": F.lit(0) for c in cuts if not cuts[c]})
     if not names:
         return out
-    return Bucketizer(
+    found = Bucketizer(
         inputCols=names,
         outputCols=[f"{c}{suffix}" for c in names],
         splitsArray=[[-infinity, *cuts[c], infinity] for c in names],
         handleInvalid="keep",
     ).transform(out)
+    # Never NULL: otherwise a join on the bucket filters each side on its own, and the two
+    # sides of running_totals no longer start from the same shuffle.
+    return found.withColumns(
+        {f"{c}{suffix}": F.coalesce(F.col(f"{c}{suffix}").cast("int"), F.lit(0)) for c in names}
+    )
+
+
+def smaller_in_bucket(by: Sequence[str], bucket: str, value: str) -> WindowSpec:
+    """The rows of the same bucket with a smaller value."""
+    inside = Window.partitionBy(*by, bucket).orderBy(value)
+    return inside.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def earlier_buckets(by: Sequence[str], bucket: str) -> WindowSpec:
+    """The buckets to the left, over a table with one row per bucket."""
+    across = Window.partitionBy(*by).orderBy(bucket)
+    return across.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_totals(
@@ -71,18 +88,18 @@ def running_totals(
 
     ``counts`` has one row per (by, bucket, value). The bucket totals are a table of
     groups x buckets rows; they come back through a join on (by, bucket), the keys the
-    window has already partitioned the big side by, so that side is shuffled once.
+    window has already partitioned the big side by, so that side is not shuffled for it.
+    Both sides start from the same shuffle of ``counts``, which Spark runs once.
     """
     by = list(by)
-    inside = Window.partitionBy(*by, bucket).orderBy(value)
-    smaller = inside.rowsBetween(Window.unboundedPreceding, -1)
+    smaller = smaller_in_bucket(by, bucket, value)
+    following = Window.partitionBy(*by, bucket).orderBy(value)
     within = counts.withColumns(
         {f"{m}_before": F.coalesce(F.sum(m).over(smaller), F.lit(0)) for m in measures}
-        | {"next_value": F.lead(value).over(inside)}
+        | {"next_value": F.lead(value).over(following)}
     )
 
-    across = Window.partitionBy(*by).orderBy(bucket)
-    left = across.rowsBetween(Window.unboundedPreceding, -1)
+    left = earlier_buckets(by, bucket)
     offsets = (
         counts.groupBy(*by, bucket)
         .agg(*[F.sum(m).alias(m) for m in measures], F.min(value).alias("first_value"))
@@ -90,7 +107,7 @@ def running_totals(
             *by,
             bucket,
             *[F.coalesce(F.sum(m).over(left), F.lit(0)).alias(f"{m}_offset") for m in measures],
-            F.lead("first_value").over(across).alias("following_first"),
+            F.lead("first_value").over(Window.partitionBy(*by).orderBy(bucket)).alias("following_first"),
         )
     )
     joined = within.join(offsets, [*by, bucket])

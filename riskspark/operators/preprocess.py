@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -13,11 +14,11 @@ from riskspark.functions.columns import (
     binary_label,
     category,
     employment_years,
+    finite,
     first_number,
     loan_to_income,
     numeric_columns,
     percent_to_number,
-    present,
     standardised,
     string_columns,
 )
@@ -95,7 +96,7 @@ class Preprocessor:
 def fit(df: DataFrame, label: str | None = None, exclude: Sequence[str] = ()) -> Preprocessor:
     """Learn medians, means, deviations and category codes from ``df``.
 
-    Columns that are neither numeric nor text pass through ``transform`` unchanged.
+    Infinite numbers count as missing. Columns that are neither numeric nor text pass through ``transform`` unchanged.
     ``exclude`` keeps ids and timestamps out of the features.
     """
     skip = {label, *exclude}
@@ -103,16 +104,7 @@ def fit(df: DataFrame, label: str | None = None, exclude: Sequence[str] = ()) ->
     numeric = [c for c in numeric_columns(df) if c not in skip]
     categorical = [c for c in string_columns(df) if c not in skip]
 
-    medians = exact_medians(df, numeric)
-    stats = {}
-    if numeric:
-        filled = {c: F.coalesce(present(df, c).cast("double"), _number(medians[c])) for c in numeric}
-        row = df.agg(
-            *[F.avg(filled[c]).alias(f"{c}__mean") for c in numeric],
-            *[F.stddev_pop(filled[c]).alias(f"{c}__std") for c in numeric],
-        ).first()
-        stats = {c: NumericStats(medians[c], row[f"{c}__mean"], row[f"{c}__std"]) for c in numeric}
-
+    stats = _numeric_stats(df, numeric)
     dictionary, sizes = None, {}
     if categorical:
         dictionary = cut_lineage(category_dictionary(df, categorical))
@@ -121,6 +113,34 @@ def fit(df: DataFrame, label: str | None = None, exclude: Sequence[str] = ()) ->
     return Preprocessor(tuple(features), stats, tuple(categorical), dictionary, sizes)
 
 
+def _numeric_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, NumericStats]:
+    """Median, and mean and deviation after missing values are replaced by it.
+
+    The moments of the filled column follow from those of the present values, the number of
+    missing ones and the median, so the table is not read again for them.
+    """
+    if not columns:
+        return {}
+    row = df.agg(
+        F.count(F.lit(1)).alias("__rows"),
+        *[F.count(finite(df, c)).alias(f"{c}__n") for c in columns],
+        *[F.avg(finite(df, c)).alias(f"{c}__mean") for c in columns],
+        *[F.stddev_pop(finite(df, c)).alias(f"{c}__std") for c in columns],
+    ).first()
+    medians = exact_medians(df, columns, {c: row[f"{c}__n"] for c in columns})
+    stats = {}
+    for c in columns:
+        median, n, total = medians[c], row[f"{c}__n"], row["__rows"]
+        if median is None:
+            stats[c] = NumericStats(None, None, None)
+            continue
+        gap = total - n
+        mean = (row[f"{c}__mean"] * n + median * gap) / total
+        spread = n * (row[f"{c}__std"] ** 2 + (row[f"{c}__mean"] - mean) ** 2) + gap * (median - mean) ** 2
+        stats[c] = NumericStats(median, mean, math.sqrt(spread / total))
+    return stats
+
+
 def _number(value: float | None):
     return F.lit(value).cast("double")
 
@@ -160,7 +180,7 @@ def transform(
     """
     numbers = {}
     for name, s in state.numeric.items():
-        value = F.coalesce(present(df, name).cast("double"), _number(s.median))
+        value = F.coalesce(finite(df, name), _number(s.median))
         numbers[name] = standardised(value, s.mean or 0.0, s.std or 0.0)
     out = df.select(*keep, *[c for c in state.columns if c not in keep])
     out = out.withColumns(numbers) if numbers else out

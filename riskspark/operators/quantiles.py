@@ -7,7 +7,7 @@ bracket is checked by counting, and only the distinct values inside it are ranke
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
@@ -24,18 +24,22 @@ SHARES = [(i + 0.5) / MARKS for i in range(MARKS)]
 def exact_medians(
     df: DataFrame,
     columns: Sequence[str],
+    sizes: Mapping[str, int] | None = None,
     direct_rows: int = DIRECT_ROWS,
     keep_inside: int = KEEP_INSIDE,
 ) -> dict[str, float | None]:
-    """The median of each column over its finite values, between the two middle ones if even."""
+    """The median of each column, between the two middle values if their number is even.
+
+    Missing and infinite values are left out. ``sizes`` are the non-missing rows per column;
+    they are counted if not given.
+    """
     columns = list(columns)
     if not columns:
         return {}
     values = {c: finite(df, c) for c in columns}
-    sizes = df.agg(
-        F.count(F.lit(1)).alias("__rows"), *[F.count(values[c]).alias(c) for c in columns]
-    ).first()
-    if sizes["__rows"] <= direct_rows:
+    if sizes is None:
+        sizes = df.agg(*[F.count(values[c]).alias(c) for c in columns]).first().asDict()
+    if max(sizes.values()) <= direct_rows:
         small = df.agg(*[F.median(values[c]).alias(c) for c in columns]).first()
         return {c: small[c] for c in columns}
 
@@ -76,6 +80,8 @@ def _brackets(
             under, within = counted[f"{c}:under"], counted[f"{c}:in"]
             if not (under <= middle[c][0] and under + within > middle[c][1]):
                 # The quantiles were off by more than the margin: propose again, wider.
+                if proposal[c] == everything:
+                    raise ValueError(f"{c} has fewer values than its size says.")
                 margin[c] *= 8
                 proposal[c] = proven[c][:2]
                 repeated.add(c)

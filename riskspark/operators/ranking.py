@@ -58,5 +58,9 @@ def rank_within(df: DataFrame, by: str, value: str, name: str, group_limit: int
 
 
 def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, value, code`` with codes in sorted value order, from 0, per column."""
-    return rank_within(distinct_categories(df, columns), "column", "value", "code")
+    """``column, value, code`` with codes in sorted value order, from 0, per column.
+
+    The distinct values are stored, so that ``df`` is read once.
+    """
+    values = cut_lineage(distinct_categories(df, columns), "categories")
+    return rank_within(values, "column", "value", "code")
