@@ -1,0 +1,49 @@
+"""An equi-join that stays even when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskspark.operators.marks import GROUPS
+
+TRACKED = 1000
+BROADCAST_ROWS = 10_000
+
+
+def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
+    """Keys that hold at least ``share`` of the rows: at most ``1 / share`` of them.
+
+    A sketch per group of tasks, merged in a second step. An error of the sketch changes how
+    rows are joined, never which ones.
+    """
+    group = F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("__group")
+    keyed = df.select(F.col(key).alias("k")).filter(F.col("k").isNotNull())
+    top = (
+        keyed.groupBy(group)
+        .agg(F.expr(f"approx_top_k_accumulate(k, {TRACKED})").alias("s"), F.count("*").alias("n"))
+        .groupBy(F.lit("all"))
+        .agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"), F.sum("n").alias("n"))
+        .select(F.expr(f"approx_top_k_estimate(s, {int(1 / share)})").alias("t"), "n")
+        .first()
+    )
+    return [r["item"] for r in top["t"] if r["count"] >= share * top["n"]] if top else []
+
+
+def join_by_key(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``big`` with ``small``, which has one row per key (``how``: inner or left).
+
+    Without a hot key this is a plain join and Spark picks the strategy by size. Rows of hot keys
+    would all go to one task, so they stay where they are and get the few matching rows of
+    ``small`` by broadcast, once these have been counted.
+    """
+    hot = hot_keys(big, key)
+    if not hot:
+        return big.join(small, key, how)
+    matches = small.filter(F.col(key).isin(hot))
+    if matches.count() > BROADCAST_ROWS:
+        return big.join(small, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return big.filter(~is_hot).join(small, key, how).unionByName(
+        big.filter(is_hot).join(F.broadcast(matches), key, how)
+    )

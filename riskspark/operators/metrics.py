@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskspark import config
 from riskspark.functions.columns import above, finite, ratio
+from riskspark.operators.joins import join_by_key
 from riskspark.operators.prefix import add_buckets, cut_points, earlier_buckets, smaller_in_bucket
 
 
@@ -167,8 +168,8 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
 def join_labels(
     predictions: DataFrame, labels: DataFrame, key: str = "loan_id", how: str = "inner"
 ) -> DataFrame:
-    """Bring labels that arrive later to their predictions. Spark picks the join by size."""
-    return predictions.join(labels, key, how)
+    """Bring labels that arrive later, one per key, to their predictions."""
+    return join_by_key(predictions, labels, key, how)
 
 
 def model_comparison(metric_rows: DataFrame) -> DataFrame:

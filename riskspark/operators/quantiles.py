@@ -14,10 +14,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.columns import finite
-from riskspark.operators.marks import MARKS, quantile_marks
+from riskspark.operators.marks import RANK_ERROR, quantile_marks
 
 DIRECT_ROWS = 200_000
 KEEP_INSIDE = 100_000
+MARKS = 1000
 SHARES = [(i + 0.5) / MARKS for i in range(MARKS)]
 
 
@@ -63,7 +64,7 @@ def _brackets(
     everything = (float("-inf"), float("inf"))
     proven = {c: (*everything, 0) for c in middle}
     held = dict(sizes)
-    margin = dict.fromkeys(middle, 4 / MARKS)
+    margin = dict.fromkeys(middle, RANK_ERROR)
     proposal = dict.fromkeys(middle, everything)
     repeated = set(middle)
     active = sorted(middle)
@@ -73,7 +74,7 @@ def _brackets(
         counts = {f"{c}:in": inside[c] for c in active}
         counts |= {f"{c}:under": values[c] < F.lit(proposal[c][0]) for c in active}
         marks, counted = quantile_marks(
-            df, {c: F.when(inside[c], values[c]) for c in active}, dict.fromkeys(active, SHARES), counts
+            df, {c: F.when(inside[c], values[c]) for c in active}, SHARES, counts
         )
         going_on = []
         for c in active:

@@ -54,6 +54,7 @@ def explain(
     key: str,
     n: int = 5,
     background: DataFrame | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The score with its ``top_factors`` and a readable ``explanation``.
 
@@ -63,7 +64,7 @@ def explain(
     rows = transform(_complete(applications, state, False), state, [key])
     scored = decide(predict(rows, model, features, [key, *features]))
     if isinstance(model, GBTClassificationModel):
-        attributed = tree_attribution(scored, model, features, _outputs(key))
+        attributed = tree_attribution(scored, model, features, _outputs(key), partitions)
     else:
         if background is None:
             raise ValueError("A linear model is explained against a background table.")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.operators import marks, split
+from riskspark.operators.joins import hot_keys, join_by_key
 from riskspark.operators.metrics import roc_auc
 from riskspark.operators.prefix import add_buckets, cut_points, running_totals
 from riskspark.operators.quantiles import exact_medians
@@ -50,10 +51,11 @@ def test_median_ignores_missing_and_needs_a_value(spark):
 def test_marks_are_close_to_the_ranks(spark):
     df = spark.range(100_000).select(F.col("id").cast("double").alias("x")).repartition(16)
     found, counted = marks.quantile_marks(
-        df, {"x": F.col("x")}, {"x": [0.1, 0.5, 0.9]}, {"small": F.col("x") < 10}
+        df, {"x": F.col("x"), "none": F.lit(None).cast("double")}, [0.1, 0.5, 0.9], {"small": F.col("x") < 10}
     )
     for share, value in zip([0.1, 0.5, 0.9], found["x"]):
-        assert abs(value / 100_000 - share) < 2 / marks.MARKS
+        assert abs(value / 100_000 - share) < marks.RANK_ERROR
+    assert found["none"] == []
     assert counted == {"small": 10}
 
 
@@ -134,3 +136,27 @@ def test_folds_are_even_within_a_label(spark):
     for y in (0, 1):
         counts = [r["count"] for r in sizes if r["y"] == y]
         assert len(counts) == 3 and max(counts) - min(counts) <= 1
+
+
+def test_join_with_a_hot_key_is_whole(spark):
+    big = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), "id"
+    )
+    small = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    assert hot_keys(big, "k") == [7]
+    assert hot_keys(big.filter("k <> 7"), "k") == []
+    assert hot_keys(big.limit(0), "k") == []
+    small = small.union(spark.createDataFrame([(7, 70)], "k long, v long"))
+    for how in ("inner", "left"):
+        expected = sorted(map(str, big.join(small, "k", how).select("k", "id", "v").collect()))
+        joined = join_by_key(big, small, "k", how)
+        assert sorted(map(str, joined.select("k", "id", "v").collect())) == expected
+
+
+def test_value_counts_are_shuffled_once(spark):
+    df = spark.range(1000).select((F.col("id") % 50).cast("double").alias("x"), F.lit("g").alias("g"))
+    counts = add_buckets(df, cut_points(df, ["x"], 4)).groupBy("g", "x__bucket", "x").agg(F.count("*").alias("n"))
+    totals = running_totals(counts, ["g"], "x__bucket", "x", ["n"])
+    totals.collect()
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.columns import above, binary_label, risk_level
 from riskspark.operators import metrics, thresholds
+from riskspark.operators.drift import drift_report
 from riskspark.operators.history import compare_versions, metric_history
 from riskspark.operators.models import decide
 
@@ -126,3 +127,12 @@ def test_versions_and_missing_metrics(spark):
     with pytest.raises(ValueError, match="Version 3 not found"):
         compare_versions(rows, "1", "3")
     assert metric_history(rows.limit(0)).count() == 0
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "y int, p double, g string")
+    assert metrics.roc_auc(none, "y", "p").first()[0] is None
+    assert metrics.roc_auc(none, "y", "p", ["g"]).count() == 0
+    assert thresholds.threshold_sweep(none, "y", "p").count() == 0
+    assert metrics.confusion(none, "y", above(F.col("p"))).first().asDict() == {"tn": 0, "fp": 0, "fn": 0, "tp": 0}
+    assert drift_report(none, none).filter("drifted or statistic is not null").count() == 0

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from riskspark.operators import preprocess, split
 from riskspark.operators.preprocess import engineer_features, fit, prepare, transform
-from riskspark.operators.ranking import category_dictionary
+from riskspark.operators.quantiles import exact_medians
+from riskspark.operators.ranking import category_dictionary, distinct_categories, rank_within
 from riskspark.session import new_path
 from workload.registry import longs, query, rounded
 from workload.tables import ENGINEERED
@@ -87,6 +88,35 @@ def preprocessor_roundtrip(spark, folder):
     return rounded(transform(rows, preprocess.load(spark, path), ["loan_id"]), 6, *NUMERIC)
 
 
+@query("transform_loans_shuffled", TRANSFORMED, ("loans",))
+def transform_loans_shuffled(spark, folder):
+    """The same with dictionaries treated as too big to broadcast."""
+    rows = _engineered(spark, folder)
+    state = _fitted(rows)
+    return rounded(transform(rows, state, ["loan_id"], broadcast_entries=0, salts=8), 6, *NUMERIC)
+
+
+LARGE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey")
+
+
+@query("medians_of_large_table", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(quantile_cont({c}, 0.5) AS DOUBLE) AS median FROM lineitem" for c in LARGE
+))
+def medians_of_large_table(spark, folder):
+    """The path for tables above the direct size, on any size: brackets, then few values."""
+    found = exact_medians(view(spark, folder, "lineitem"), LARGE, direct_rows=0, keep_inside=500)
+    return spark.createDataFrame(list(found.items()), "column string, median double")
+
+
+@query("dictionary_of_large_column", """
+SELECT 'c_name' AS "column", c_name AS "value", row_number() OVER (ORDER BY c_name) - 1 AS code FROM (SELECT DISTINCT c_name FROM customer) x
+UNION ALL SELECT 'c_mktsegment', s, row_number() OVER (ORDER BY s) - 1 FROM (SELECT DISTINCT c_mktsegment AS s FROM customer) y""")
+def dictionary_of_large_column(spark, folder):
+    """The path for columns with too many values for one window."""
+    values = distinct_categories(view(spark, folder, "customer"), ["c_name", "c_mktsegment"])
+    return rank_within(values, "column", "value", "code", group_limit=10)
+
+
 @query("encode_unseen_categories", f"""
 WITH a AS (SELECT loan_id, coalesce(grade, 'missing') AS grade FROM loans),
 d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT grade AS v FROM reference_loans

@@ -183,3 +183,14 @@ SELECT s.loan_id, s.p1, l.loan_status FROM scored s JOIN loans l ON s.loan_id =
 def late_labels(spark, folder):
     labels = view(spark, folder, "loans").select("loan_id", "loan_status")
     return metrics.join_labels(view(spark, folder, "scored").select("loan_id", "p1"), labels)
+
+
+@query("hot_customer_join", """
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_custkey END AS c_custkey FROM orders)
+SELECT o_orderkey, t.c_custkey, c_mktsegment FROM t LEFT JOIN customer c ON t.c_custkey = c.c_custkey""")
+def hot_customer_join(spark, folder):
+    """A join in which a third of the rows share one key."""
+    key = F.when(F.col("o_orderkey") % 3 == 0, F.lit(1).cast("long")).otherwise(F.col("o_custkey"))
+    orders = view(spark, folder, "orders").select("o_orderkey", key.alias("c_custkey"))
+    customers = view(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    return metrics.join_labels(orders, customers, "c_custkey", "left")
