@@ -11,14 +11,25 @@ from pyspark.sql import functions as F
 from riskspark import config
 
 
-def log_measures(prediction: str = "prediction", p1: str = "p1", p0: str | None = "p0") -> list[Column]:
-    """The log row as aggregates. With one probability only, confidence is that probability."""
+def log_sums(prediction: str = "prediction", p1: str = "p1", p0: str | None = "p0") -> list[Column]:
+    """What the log row is made of, as sums that can be added up again."""
     confidence = F.greatest(F.col(p0), F.col(p1)) if p0 else F.col(p1)
     return [
-        F.count(F.lit(1)).alias("num_predictions"),
-        F.avg(p1).alias("mean_probability"),
-        F.avg(F.col(prediction).cast("double")).alias("prediction_rate"),
-        F.avg(confidence).alias("avg_confidence"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(p1).alias("p"),
+        F.sum(F.col(prediction).cast("double")).alias("r"),
+        F.sum(confidence).alias("c"),
+    ]
+
+
+def log_columns() -> list[Column]:
+    """The log row from its sums."""
+    return [
+        F.col("n").alias("num_predictions"),
+        *[
+            F.try_divide(F.col(total), F.col("n").cast("double")).alias(name)
+            for total, name in (("p", "mean_probability"), ("r", "prediction_rate"), ("c", "avg_confidence"))
+        ],
     ]
 
 
@@ -29,9 +40,13 @@ def batch_log(
     p1: str = "p1",
     p0: str | None = "p0",
 ) -> DataFrame:
-    """One log row per distinct ``timestamp`` (the batch)."""
+    """One log row per distinct ``timestamp`` (the batch).
+
+    With one probability only (``p0=None``) confidence is that probability.
+    """
     when = F.col(timestamp) if isinstance(timestamp, str) else timestamp
-    return df.groupBy(when.alias("timestamp")).agg(*log_measures(prediction, p1, p0))
+    sums = df.groupBy(when.alias("timestamp")).agg(*log_sums(prediction, p1, p0))
+    return sums.select("timestamp", *log_columns())
 
 
 def recent(log: DataFrame, as_of: datetime | str, days: int = config.LOG_DAYS) -> DataFrame:

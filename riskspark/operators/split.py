@@ -12,12 +12,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskspark import config
 
-MAX_STRATA = 1000
+MAX_STRATA = 100
+DIGITS = 3
+HASH_DIGITS = 32
+COLLECT_ROWS = 10_000
 
 
 def order_hash(key: str, seed: int = config.SEED) -> Column:
@@ -25,63 +27,79 @@ def order_hash(key: str, seed: int = config.SEED) -> Column:
 
 
 def boundaries(
-    df: DataFrame, key: str, stratum: str, parts: Sequence[float], seed: int = config.SEED
+    df: DataFrame,
+    key: str,
+    stratum: str,
+    parts: Sequence[float],
+    seed: int = config.SEED,
+    collect_rows: int = COLLECT_ROWS,
 ) -> dict[object, list[str]]:
     """Per stratum, the last hash of each part.
 
     ``parts`` are shares from the front: each takes the ceiling of its share of the rows the
-    parts before it have left. At most ``len(parts)`` texts per stratum reach the driver.
+    parts before it have left. Each pass looks three hash digits further into the prefixes that
+    hold a boundary, so the driver gets 4096 counts per prefix, and in the last pass the at most
+    ``collect_rows`` hashes of each.
     """
     hashed = df.filter(F.col(stratum).isNotNull()).select(
         F.col(stratum).alias("s"), order_hash(key, seed).alias("h")
     )
-    sizes = {r["s"]: r["n"] for r in hashed.groupBy("s").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) > MAX_STRATA:
-        raise ValueError(f"{stratum} has {len(sizes)} values; a stratum is a class label.")
-    out = {s: [""] * len(parts) for s in sizes}
-    edges = []
-    for s, n in sizes.items():
+    first = _prefix_counts(hashed, DIGITS).limit(MAX_STRATA * 16**DIGITS + 1).collect()
+    groups = _grouped(first)
+    if len(groups) > MAX_STRATA or len(first) > MAX_STRATA * 16**DIGITS:
+        raise ValueError(f"{stratum} has more than {MAX_STRATA} values; a stratum is a class label.")
+
+    goals = []
+    for (s, _), counts in groups.items():
+        left = sum(n for _, n in counts)
         taken = 0
-        for i, share in enumerate(parts):
-            taken += _ceiling(share * (n - taken))
+        for part, share in enumerate(parts):
+            size = _ceiling(share * left)
+            taken, left = taken + size, left - size
             if taken:
-                edges.append((s, i, "", taken))
-    if not edges:
-        return out
-
-    schema = f"s {hashed.schema['s'].dataType.simpleString()}, part int, prefix string, goal long"
-    reached = 0
-    for length in _prefix_lengths(max(sizes.values())):
-        wanted = df.sparkSession.createDataFrame(edges, schema)
-        rows = hashed.withColumn("prefix", F.substring("h", 1, reached))
-        if reached:
-            rows = rows.join(F.broadcast(wanted.select("s", "prefix").distinct()), ["s", "prefix"])
-        # Rows are combined per hash prefix before the shuffle, so copies of a key are one row.
-        counts = rows.groupBy("s", "prefix", F.substring("h", 1, length).alias("p")).agg(
-            F.count("*").alias("n")
+                goals.append((s, part, "", taken))
+    edges = [_locate(groups[s, prefix], s, part, goal) for s, part, prefix, goal in goals]
+
+    schema = f"s {hashed.schema['s'].dataType.simpleString()}, prefix string"
+    reached = DIGITS
+    while reached < HASH_DIGITS and edges:
+        length = HASH_DIGITS if max(e[4] for e in edges) <= collect_rows else reached + DIGITS
+        wanted = df.sparkSession.createDataFrame(sorted({(e[0], e[2]) for e in edges}), schema)
+        rows = hashed.withColumn("prefix", F.substring("h", 1, reached)).join(
+            F.broadcast(wanted), ["s", "prefix"]
         )
-        running = Window.partitionBy("s", "prefix").orderBy("p")
-        edges = [
-            tuple(r)
-            for r in counts.withColumn("upto", F.sum("n").over(running))
-            .join(F.broadcast(wanted), ["s", "prefix"])
-            .filter(F.col("goal").between(F.col("upto") - F.col("n") + 1, F.col("upto")))
-            .select("s", "part", "p", F.col("goal") - F.col("upto") + F.col("n"))
-            .collect()
-        ]
+        groups = _grouped(_prefix_counts(rows, length, "prefix").collect())
+        edges = [_locate(groups[s, prefix], s, part, goal) for s, part, prefix, goal, _ in edges]
         reached = length
-    for s, part, edge, _ in edges:
+
+    out = {s: [""] * len(parts) for s in {r["s"] for r in first}}
+    for s, part, edge, *_ in edges:
         out[s][part] = edge
     return out
 
 
-def _prefix_lengths(rows: int, window_rows: int = 100_000) -> list[int]:
-    """Hash digits looked at in each pass: 4096 prefixes per step, then the whole hash."""
-    lengths, left = [], rows
-    while left > window_rows:
-        lengths.append(len(lengths) * 3 + 3)
-        left //= 4096
-    return [*lengths, 32]
+def _prefix_counts(hashed: DataFrame, length: int, prefix: str | None = None) -> DataFrame:
+    """Rows per hash prefix; combined before the shuffle, so copies of a key are one row."""
+    before = F.col(prefix) if prefix else F.lit("")
+    return hashed.groupBy("s", before.alias("prefix"), F.substring("h", 1, length).alias("p")).agg(
+        F.count("*").alias("n")
+    )
+
+
+def _grouped(rows) -> dict[tuple, list[tuple[str, int]]]:
+    groups: dict[tuple, list[tuple[str, int]]] = {}
+    for r in sorted(rows, key=lambda r: r["p"]):
+        groups.setdefault((r["s"], r["prefix"]), []).append((r["p"], r["n"]))
+    return groups
+
+
+def _locate(counts: list[tuple[str, int]], s, part: int, goal: int) -> tuple:
+    """(stratum, part, prefix that holds the goal-th row, goal within it, its rows)."""
+    for p, n in counts:
+        if goal <= n:
+            return s, part, p, goal, n
+        goal -= n
+    raise ValueError("The table changed while it was read.")
 
 
 def _ceiling(x: float) -> int:

@@ -66,7 +66,7 @@ def build_features(
     base = rows.filter(F.col("split") == "train") if fit_scope == "train" else rows
     state = fit(base, label, [key, "split", *exclude])
     table = transform(rows, state, keep=[key, "split", label])
-    return Features(cut_lineage(table, "features"), state, key, label)
+    return Features(cut_lineage(table, "features", "split"), state, key, label)
 
 
 def train(

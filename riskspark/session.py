@@ -48,12 +48,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/riskspark/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Later jobs then read only the columns they need instead of recomputing their input, and
-    what a lost executor held is still there.
+    what a lost executor held is still there. With ``partition_by`` a filter on that column
+    reads only the files it needs.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Spread a table that was read in fewer tasks than there are cores; leave others alone.
+
+    For work that is heavy per row on files too few or too small to split.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskspark.operators.drift import drift_report, drift_summary
-from riskspark.operators.perflog import log_measures
+from riskspark.operators.perflog import log_columns, log_sums
 from riskspark.operators.preprocess import Preprocessor
 from riskspark.plans.scoring import score
 from riskspark.sources.sinks import save_reference
@@ -49,20 +49,40 @@ def windowed_log(
     """The performance log as tumbling or sliding windows of event time.
 
     State is one running aggregate per open window; rows more than ``late`` behind the newest
-    are dropped. The same frame works on a batch table, where the watermark has no effect.
+    are dropped. Sliding windows are added up from tumbling ones as long as the slide: a row is
+    then aggregated once, not once per window it belongs to. The same frame works on a batch
+    table, where the watermark has no effect.
     """
-    event = F.col(time).cast("timestamp")
-    span = F.window("__time", window, slide) if slide else F.window("__time", window)
-    return (
-        scored.withColumn("__time", event)
-        .withWatermark("__time", late)
-        .groupBy(span.alias("w"))
-        .agg(*log_measures(prediction, p1, p0))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "num_predictions",
-                "mean_probability", "prediction_rate", "avg_confidence")
+    timed = scored.withColumn("__time", F.col(time).cast("timestamp")).withWatermark("__time", late)
+    stepwise = slide is not None and _multiple(window, slide)
+    if slide is None or stepwise:
+        first = F.window("__time", slide or window)
+    else:
+        first = F.window("__time", window, slide)
+    sums = timed.groupBy(first.alias("w")).agg(*log_sums(prediction, p1, p0))
+    if stepwise:
+        whole = F.window(F.window_time("w"), window, slide)
+        sums = sums.groupBy(whole.alias("w")).agg(*[F.sum(c).alias(c) for c in ("n", "p", "r", "c")])
+    return sums.select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *log_columns()
     )
 
 
+SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def _multiple(window: str, slide: str) -> bool:
+    """Whether a window such as ``1 day`` is a whole number of slides such as ``1 hour``."""
+    sizes = []
+    for text in (window, slide):
+        number, _, unit = text.strip().partition(" ")
+        unit = unit.strip().lower().removesuffix("s")
+        if not number.isdigit() or unit not in SECONDS:
+            return False
+        sizes.append(int(number) * SECONDS[unit])
+    return sizes[0] % sizes[1] == 0
+
+
 def stream_log(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append each window to the log once, when it is closed."""
     return (

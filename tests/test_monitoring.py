@@ -195,3 +195,37 @@ def test_drift_per_batch(spark, tables):
     jobs.stream_drift(stream, reference, columns, out, state).awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert len(rows) == 1 and rows[0]["drifted_features"] == ["feature1"]
+
+
+def _sliding(batch, slide):
+    return sorted(
+        (r["window_start"], r["num_predictions"], round(r["mean_probability"], 9))
+        for r in jobs.windowed_log(batch, "ts", "3 hours", slide).collect()
+    )
+
+
+def test_sliding_windows_count_every_row_of_a_window(spark):
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", h % 2, 0.4, 0.6 + m / 1000) for h in range(6) for m in (0, 30, 59)]
+    batch = spark.createDataFrame(rows, "ts string, prediction int, p0 double, p1 double").withColumn(
+        "ts", F.to_timestamp("ts")
+    )
+    stepwise = _sliding(batch, "1 hour")
+    # Two hours do not divide three, so these windows are aggregated directly.
+    direct = _sliding(batch, "2 hours")
+    sizes = {str(start): n for start, n, _ in stepwise}
+    assert sizes["2024-01-01 00:00:00"] == 9 and sizes["2023-12-31 22:00:00"] == 3
+    assert len(stepwise) == 8
+    both = {w for w in stepwise if w[0] in {d[0] for d in direct}}
+    assert both and both <= set(direct)
+
+
+def test_sliding_stream_writes_closed_windows(spark, folder):
+    stream = jobs.windowed_log(_events(spark, folder), "ts", "1 day", "6 hours")
+    path = new_path(spark, "log")
+    jobs.stream_log(stream, path, new_path(spark, "state")).awaitTermination()
+    closed = {r["window_start"]: r["num_predictions"] for r in spark.read.parquet(path).collect()}
+    batch = spark.read.parquet(f"{folder}/events.parquet").select(
+        "ts", F.lit(1).alias("prediction"), F.lit(0.5).alias("p1"), F.lit(0.5).alias("p0"))
+    whole = {r["window_start"]: r["num_predictions"] for r in jobs.windowed_log(batch, "ts", "1 day", "6 hours").collect()}
+    assert len(whole) - 5 <= len(closed) <= len(whole)
+    assert all(whole[k] == n for k, n in closed.items())

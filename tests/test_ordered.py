@@ -107,10 +107,10 @@ def test_rank_is_the_same_with_and_without_ranges(spark, limit):
     assert {(r["value"], r["code"]) for r in ranked if r["column"] == "d"} == {("a", 0), ("b", 1)}
 
 
-@pytest.mark.parametrize("rows_per_window", [100_000, 50, 1])
-def test_split_has_exact_sizes_per_stratum(spark, monkeypatch, rows_per_window):
-    lengths = split._prefix_lengths
-    monkeypatch.setattr(split, "_prefix_lengths", lambda n: lengths(n, rows_per_window))
+@pytest.mark.parametrize("collect_rows", [10_000, 1, 0])
+def test_split_has_exact_sizes_per_stratum(spark, monkeypatch, collect_rows):
+    find = split.boundaries
+    monkeypatch.setattr(split, "boundaries", lambda *a: find(*a, collect_rows=collect_rows))
     df = spark.range(1003).select("id", (F.col("id") % 7 == 0).cast("int").alias("y"))
     parts = split.stratified_split(df, "id", "y")
     sizes = {(r["y"], r["split"]): r["rows"] for r in split.split_summary(parts, "y").collect()}
@@ -121,6 +121,12 @@ def test_split_has_exact_sizes_per_stratum(spark, monkeypatch, rows_per_window):
     assert parts.count() == 1003
 
 
+def test_split_refuses_a_column_that_is_no_label(spark):
+    df = spark.range(1000).select("id", F.col("id").alias("y"))
+    with pytest.raises(ValueError, match="class label"):
+        split.stratified_split(df, "id", "y")
+
+
 def test_split_keeps_copies_of_a_key_together(spark):
     df = spark.range(900).select(
         F.when(F.col("id") < 300, 1).otherwise(F.col("id")).alias("id"), F.lit(1).alias("y")

@@ -20,7 +20,7 @@ EXCLUDE = ("issue_ts", "half_note")
 
 
 def _features(spark, folder):
-    return build_features(view(spark, folder, "loans"), exclude=EXCLUDE)
+    return build_features(view(spark, folder, "loans", heavy=True), exclude=EXCLUDE)
 
 
 def _boosted(spark, folder):
@@ -85,10 +85,8 @@ def explain_loans_linear(spark, folder):
 @query("explain_loans_boosted")
 def explain_loans_boosted(spark, folder):
     trained = _boosted(spark, folder)
-    # The test files have one row group each, so the loans arrive in a single task.
     return explain(
-        view(spark, folder, "loans"), trained.features.state, trained.model, "loan_id",
-        partitions=spark.sparkContext.defaultParallelism,
+        view(spark, folder, "loans", heavy=True), trained.features.state, trained.model, "loan_id"
     )
 
 

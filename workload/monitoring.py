@@ -144,8 +144,8 @@ def prediction_drift(spark, folder):
 
 DAILY = """SELECT date_trunc('day', ts) AS "timestamp", count(*) AS num_predictions, avg(p1) AS mean_probability,
  avg(prediction) AS prediction_rate, avg(greatest(p0, p1)) AS avg_confidence FROM predictions GROUP BY 1"""
-ROUNDED_LOG = """strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp", num_predictions, round(mean_probability, 6) AS mean_probability,
- round(prediction_rate, 6) AS prediction_rate, round(avg_confidence, 6) AS avg_confidence"""
+ROUNDED_LOG = """strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp", num_predictions, round(mean_probability, 9) AS mean_probability,
+ round(prediction_rate, 9) AS prediction_rate, round(avg_confidence, 9) AS avg_confidence"""
 
 
 def _daily(spark, folder):
@@ -154,7 +154,8 @@ def _daily(spark, folder):
 
 
 def _texts(log):
-    return rounded(log.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")))
+    # Averages of few rows often end in a 5 at the seventh place; nine places avoid the ties.
+    return rounded(log.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")), 9)
 
 
 @query("batch_log", f"SELECT {ROUNDED_LOG} FROM ({DAILY}) d", ("predictions",))
@@ -267,12 +268,12 @@ def _event_stream(spark, folder):
     )
 
 
-WINDOW_COLUMNS = """strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, num_predictions, round(mean_probability, 6) AS mean_probability,
- round(prediction_rate, 6) AS prediction_rate, round(avg_confidence, 6) AS avg_confidence"""
+WINDOW_COLUMNS = """strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, num_predictions, round(mean_probability, 9) AS mean_probability,
+ round(prediction_rate, 9) AS prediction_rate, round(avg_confidence, 9) AS avg_confidence"""
 
 
 def _window_texts(log):
-    return rounded(log.drop("window_end").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
+    return rounded(log.drop("window_end").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")), 9)
 
 
 def _run(query):
