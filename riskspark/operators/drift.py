@@ -107,12 +107,11 @@ def _profile(stacked: DataFrame, columns: Sequence[str], few: int) -> tuple[int,
 
 def _sizes_table(stacked: DataFrame, profiles: Sequence[ColumnProfile]) -> DataFrame:
     """One row per compared column, safe to broadcast."""
-    rows = [(p.name, p.reference_rows, p.current_rows, p.reference_std) for p in profiles]
-    return F.broadcast(
-        stacked.sparkSession.createDataFrame(
-            rows, "feature string, n_ref long, n_cur long, std_ref double"
-        )
-    )
+    rows = [
+        (i, p.name, p.reference_rows, p.current_rows, p.reference_std) for i, p in enumerate(profiles)
+    ]
+    schema = "at int, feature string, n_ref long, n_cur long, std_ref double"
+    return F.broadcast(stacked.sparkSession.createDataFrame(rows, schema))
 
 
 def numeric_distances(
@@ -128,27 +127,26 @@ def numeric_distances(
         stacked.select(*names, "__reference").fillna(float("-inf"), names),
         cut_points(stacked, names, buckets),
     )
+    # A column travels as its position: one row per distinct value is shuffled.
     entries = F.array(*[
-        F.struct(
-            F.lit(c).alias("feature"), F.col(f"{c}__bucket").alias("bucket"), F.col(c).alias("value")
-        )
-        for c in names
+        F.struct(F.lit(i).alias("at"), F.col(f"{c}__bucket").alias("bucket"), F.col(c).alias("value"))
+        for i, c in enumerate(names)
     ])
     counts = (
         bucketed.select("__reference", F.inline(entries))
         .filter(F.col("value") > float("-inf"))
-        .groupBy("feature", "bucket", "value")
+        .groupBy("at", "bucket", "value")
         .agg(F.count_if("__reference").alias("ref"), F.count_if(~F.col("__reference")).alias("cur"))
     )
-    steps = running_totals(counts, ["feature"], "bucket", "value", ["ref", "cur"]).join(
-        _sizes_table(stacked, profiles), "feature"
+    steps = running_totals(counts, ["at"], "bucket", "value", ["ref", "cur"]).join(
+        _sizes_table(stacked, profiles), "at"
     )
     upto_ref = (F.col("ref_before") + F.col("ref")).cast("double") / F.nullif(F.col("n_ref"), F.lit(0))
     upto_cur = (F.col("cur_before") + F.col("cur")).cast("double") / F.nullif(F.col("n_cur"), F.lit(0))
     gap = F.abs(upto_ref - upto_cur)
     area = gap * (F.col("next_value") - F.col("value"))
     return (
-        steps.groupBy("feature", "n_ref", "n_cur", "std_ref")
+        steps.groupBy("at", "feature", "n_ref", "n_cur", "std_ref")
         .agg(F.max(gap).alias("ks"), F.sum(F.coalesce(area, F.lit(0.0))).alias("area"))
         .select(
             "feature",
@@ -180,7 +178,7 @@ def categorical_distances(
     frequencies: DataFrame, profiles: Sequence[ColumnProfile]
 ) -> DataFrame:
     """Per column: ``chi2`` with its ``degrees``, ``z`` and ``jensen_shannon``."""
-    known = frequencies.join(_sizes_table(frequencies, profiles), "feature")
+    known = frequencies.join(_sizes_table(frequencies, profiles).drop("at"), "feature")
     n_ref, n_cur = (F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in ("n_ref", "n_cur"))
     expected = F.col("ref") * n_cur / n_ref
     term = F.when(F.col("ref") == 0, F.lit(float("inf"))).otherwise(

@@ -21,30 +21,40 @@ def quantile_marks(
     df: DataFrame,
     values: Mapping[str, Column],
     shares: Sequence[float],
-    counts: Mapping[str, Column] | None = None,
-) -> tuple[dict[str, list[float]], dict[str, int]]:
+    conditions: Mapping[str, Column] | None = None,
+) -> tuple[dict[str, list[float]], dict[str, int], dict[str, int]]:
     """The values at ``shares`` of each column's sorted order, approximately.
 
-    ``counts`` are conditions whose rows are counted exactly in the same pass. What reaches the
-    driver are the requested numbers.
+    Also returned, exactly and from the same pass: the non-NULL rows of each value and the rows
+    that meet each condition. What reaches the driver are these numbers.
     """
-    counts = dict(counts or {})
-    group = F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("__group")
-    partial = df.groupBy(group).agg(
-        *[F.kll_sketch_agg_double(v, F.lit(SKETCH)).alias(c) for c, v in values.items()],
-        *[F.count_if(condition).alias(f"{c}__count") for c, condition in counts.items()],
+    conditions = dict(conditions or {})
+    rows = df.select(
+        F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("__group"),
+        *[v.alias(c) for c, v in values.items()],
+        *[condition.alias(f"{c}__if") for c, condition in conditions.items()],
+    )
+    # Each value is used twice, by the sketch and by the count. Spark then computes it in
+    # generated code below the aggregate; a sketch interprets its own input expression.
+    partial = rows.groupBy("__group").agg(
+        *[F.kll_sketch_agg_double(c, F.lit(SKETCH)).alias(c) for c in values],
+        *[F.count(c).alias(f"{c}__rows") for c in values],
+        *[F.count_if(f"{c}__if").alias(f"{c}__if") for c in conditions],
     )
     merged = partial.agg(
         *[F.kll_merge_agg_double(c).alias(c) for c in values],
-        *[F.sum(f"{c}__count").alias(f"{c}__count") for c in counts],
+        *[F.sum(f"{c}__rows").alias(f"{c}__rows") for c in values],
+        *[F.sum(f"{c}__if").alias(f"{c}__if") for c in conditions],
     )
     # One expression text instead of a call per number.
     ranks = F.expr(f"array({', '.join(f'{s!r}D' for s in shares)})")
     row = merged.select(
-        *[
-            F.when(F.kll_sketch_get_n_double(c) > 0, F.kll_sketch_get_quantile_double(c, ranks)).alias(c)
-            for c in values
-        ],
-        *[f"{c}__count" for c in counts],
+        *[F.when(F.col(f"{c}__rows") > 0, F.kll_sketch_get_quantile_double(c, ranks)).alias(c) for c in values],
+        *[f"{c}__rows" for c in values],
+        *[f"{c}__if" for c in conditions],
     ).first()
-    return {c: row[c] or [] for c in values}, {c: row[f"{c}__count"] or 0 for c in counts}
+    return (
+        {c: row[c] or [] for c in values},
+        {c: row[f"{c}__rows"] or 0 for c in values},
+        {c: row[f"{c}__if"] or 0 for c in conditions},
+    )

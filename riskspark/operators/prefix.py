@@ -36,7 +36,7 @@ def cut_points(
     """
     n = buckets or bucket_number(df)
     shares = [i / n for i in range(1, n)]
-    found, _ = quantile_marks(df, {c: finite(df, c) for c in columns}, shares)
+    found, _, _ = quantile_marks(df, {c: finite(df, c) for c in columns}, shares)
     return {c: sorted(set(found[c])) for c in columns}
 
 

@@ -70,15 +70,15 @@ def _brackets(
     active = sorted(middle)
     while active:
         values = {c: finite(df, c) for c in active}
-        inside = {c: values[c].between(F.lit(proposal[c][0]), F.lit(proposal[c][1])) for c in active}
-        counts = {f"{c}:in": inside[c] for c in active}
-        counts |= {f"{c}:under": values[c] < F.lit(proposal[c][0]) for c in active}
-        marks, counted = quantile_marks(
-            df, {c: F.when(inside[c], values[c]) for c in active}, SHARES, counts
-        )
+        inside = {
+            c: F.when(values[c].between(F.lit(proposal[c][0]), F.lit(proposal[c][1])), values[c])
+            for c in active
+        }
+        lower = {c: values[c] < F.lit(proposal[c][0]) for c in active if proposal[c] != everything}
+        marks, counted, smaller = quantile_marks(df, inside, SHARES, lower)
         going_on = []
         for c in active:
-            under, within = counted[f"{c}:under"], counted[f"{c}:in"]
+            under, within = smaller.get(c, 0), counted[c]
             if not (under <= middle[c][0] and under + within > middle[c][1]):
                 # The quantiles were off by more than the margin: propose again, wider.
                 if proposal[c] == everything:
@@ -108,22 +108,28 @@ def _ranked(
     df: DataFrame, middle: dict[str, tuple[int, int]], brackets: dict[str, tuple[float, float, int]]
 ) -> dict[str, float]:
     """Find the middle values among the distinct values of each bracket."""
-    if not middle:
-        return {}
-    entries = []
-    for c, (first, last) in middle.items():
+    # A bracket of one value is the answer already.
+    known = {c: low for c, (low, high, _) in brackets.items() if low == high}
+    open_columns = [c for c in middle if c not in known]
+    if not open_columns:
+        return known
+    entries, wanted = [], F.lit(False)
+    for c in open_columns:
         low, high, below = brackets[c]
         value = finite(df, c)
+        inside = value.between(F.lit(low), F.lit(high))
+        wanted = wanted | F.coalesce(inside, F.lit(False))
         entries.append(
             F.struct(
                 F.lit(c).alias("column"),
-                F.when(value.between(F.lit(low), F.lit(high)), value).alias("value"),
-                F.lit(first - below).cast("long").alias("first"),
-                F.lit(last - below).cast("long").alias("last"),
+                F.when(inside, value).alias("value"),
+                F.lit(middle[c][0] - below).cast("long").alias("first"),
+                F.lit(middle[c][1] - below).cast("long").alias("last"),
             )
         )
     counts = (
-        df.select(F.inline(F.array(*entries)))
+        df.filter(wanted)
+        .select(F.inline(F.array(*entries)))
         .filter(F.col("value").isNotNull())
         .groupBy("column", "first", "last", "value")
         .agg(F.count("*").alias("n"))
@@ -135,4 +141,4 @@ def _ranked(
         return F.max(F.when(F.col(position).between(F.col("start"), F.col("end")), F.col("value")))
 
     rows = ranked.groupBy("column").agg(at("first").alias("a"), at("last").alias("b")).collect()
-    return {r["column"]: r["a"] + (r["b"] - r["a"]) * 0.5 for r in rows}
+    return known | {r["column"]: r["a"] + (r["b"] - r["a"]) * 0.5 for r in rows}

@@ -50,13 +50,13 @@ def test_median_ignores_missing_and_needs_a_value(spark):
 
 def test_marks_are_close_to_the_ranks(spark):
     df = spark.range(100_000).select(F.col("id").cast("double").alias("x")).repartition(16)
-    found, counted = marks.quantile_marks(
+    found, rows, counted = marks.quantile_marks(
         df, {"x": F.col("x"), "none": F.lit(None).cast("double")}, [0.1, 0.5, 0.9], {"small": F.col("x") < 10}
     )
     for share, value in zip([0.1, 0.5, 0.9], found["x"]):
         assert abs(value / 100_000 - share) < marks.RANK_ERROR
     assert found["none"] == []
-    assert counted == {"small": 10}
+    assert counted == {"small": 10} and rows == {"x": 100_000, "none": 0}
 
 
 @pytest.mark.parametrize("buckets", [2, 7, 64])
