@@ -144,8 +144,8 @@ def prediction_drift(spark, folder):
 
 DAILY = """SELECT date_trunc('day', ts) AS "timestamp", count(*) AS num_predictions, avg(p1) AS mean_probability,
  avg(prediction) AS prediction_rate, avg(greatest(p0, p1)) AS avg_confidence FROM predictions GROUP BY 1"""
-ROUNDED_LOG = """strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp", num_predictions, round(mean_probability, 9) AS mean_probability,
- round(prediction_rate, 9) AS prediction_rate, round(avg_confidence, 9) AS avg_confidence"""
+ROUNDED_LOG = """strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp", num_predictions, round(mean_probability + 1e-12, 6) AS mean_probability,
+ round(prediction_rate + 1e-12, 6) AS prediction_rate, round(avg_confidence + 1e-12, 6) AS avg_confidence"""
 
 
 def _daily(spark, folder):
@@ -153,9 +153,15 @@ def _daily(spark, folder):
     return perflog.batch_log(rows, F.date_trunc("day", "ts"))
 
 
+def _nudged(log):
+    """Round to six places. The values have few decimals, so averages of few rows often lie exactly
+    between two roundings; the same nudge here and in the SQL sends them all the same way."""
+    means = ("mean_probability", "prediction_rate", "avg_confidence")
+    return rounded(log.withColumns({c: F.col(c) + F.lit(1e-12) for c in means}))
+
+
 def _texts(log):
-    # Averages of few rows often end in a 5 at the seventh place; nine places avoid the ties.
-    return rounded(log.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")), 9)
+    return _nudged(log.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")))
 
 
 @query("batch_log", f"SELECT {ROUNDED_LOG} FROM ({DAILY}) d", ("predictions",))
@@ -268,12 +274,12 @@ def _event_stream(spark, folder):
     )
 
 
-WINDOW_COLUMNS = """strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, num_predictions, round(mean_probability, 9) AS mean_probability,
- round(prediction_rate, 9) AS prediction_rate, round(avg_confidence, 9) AS avg_confidence"""
+WINDOW_COLUMNS = """strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, num_predictions, round(mean_probability + 1e-12, 6) AS mean_probability,
+ round(prediction_rate + 1e-12, 6) AS prediction_rate, round(avg_confidence + 1e-12, 6) AS avg_confidence"""
 
 
 def _window_texts(log):
-    return rounded(log.drop("window_end").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")), 9)
+    return _nudged(log.drop("window_end").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
 
 
 def _run(query):
