@@ -45,7 +45,10 @@ def present(df: DataFrame, name: str) -> Column:
 
 def finite(df: DataFrame, name: str) -> Column:
     """The column as double, with NaN and the infinities turned into NULL."""
-    value = present(df, name).cast("double")
+    value = F.col(name).cast("double")
+    if not is_float(df.schema[name].dataType):
+        return value
+    # NaN is above infinity in Spark's order, so one comparison covers both.
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 

@@ -43,7 +43,7 @@ class ColumnProfile:
     distinct: int  # numeric columns only
 
 
-def _stack(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+def stack(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Both tables with a tag. Columns that are numeric on both sides become doubles, others text."""
     def side(df: DataFrame, tag: bool) -> DataFrame:
         chosen = []
@@ -224,7 +224,7 @@ def drift_report(
     spark = current.sparkSession
     if not names:
         return spark.createDataFrame([], RESULT)
-    stacked = _stack(reference, current, names)
+    stacked = stack(reference, current, names)
     rows, profiles = _profile(stacked, names, few_values)
     small = rows <= small_reference
     many = [p for p in profiles if p.numeric and p.distinct > few_values]

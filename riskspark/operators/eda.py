@@ -98,8 +98,9 @@ def correlation_with(
 ) -> DataFrame:
     """Correlation of each numeric column with ``target``, all in one aggregate."""
     chosen = list(columns) if columns else numeric_columns(df)[:first]
-    goal = finite(df, target)
-    wide = df.agg(*[pearson(finite(df, c), goal).alias(c) for c in chosen])
+    # Every column is cleaned once per row, below the aggregate that uses it several times.
+    rows = df.select(*[finite(df, c).alias(c) for c in dict.fromkeys([*chosen, target])])
+    wide = rows.agg(*[pearson(F.col(c), F.col(target)).alias(c) for c in chosen])
     return wide.unpivot([], chosen, "feature", "correlation")
 
 
@@ -123,10 +124,10 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Full symmetric matrix in long form; each pair is computed once."""
     names = available(df, columns)
     pairs = list(combinations(names, 2))
-    values = {c: finite(df, c) for c in names}
-    exprs = [pearson(values[a], values[b]).alias(f"{a}|{b}") for a, b in pairs]
-    exprs += [pearson(values[c], values[c]).alias(f"{c}|{c}") for c in names]
-    wide = df.agg(*exprs)
+    rows = df.select(*[finite(df, c).alias(c) for c in names])
+    exprs = [pearson(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs]
+    exprs += [pearson(F.col(c), F.col(c)).alias(f"{c}|{c}") for c in names]
+    wide = rows.agg(*exprs)
     pair = F.split("pair", r"\|")
     long = wide.unpivot([], wide.columns, "pair", "correlation").select(
         pair[0].alias("feature_a"), pair[1].alias("feature_b"), "correlation"

@@ -121,11 +121,12 @@ def _numeric_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, NumericSt
     """
     if not columns:
         return {}
-    row = df.agg(
+    rows = df.select(*[finite(df, c).alias(c) for c in columns])
+    row = rows.agg(
         F.count(F.lit(1)).alias("__rows"),
-        *[F.count(finite(df, c)).alias(f"{c}__n") for c in columns],
-        *[F.avg(finite(df, c)).alias(f"{c}__mean") for c in columns],
-        *[F.stddev_pop(finite(df, c)).alias(f"{c}__std") for c in columns],
+        *[F.count(c).alias(f"{c}__n") for c in columns],
+        *[F.avg(c).alias(f"{c}__mean") for c in columns],
+        *[F.stddev_pop(c).alias(f"{c}__std") for c in columns],
     ).first()
     medians = exact_medians(df, columns, {c: row[f"{c}__n"] for c in columns})
     stats = {}

@@ -118,7 +118,7 @@ def ks_p_values(spark, folder):
 
 @query("category_frequencies", f"WITH {_frequency_cte()} SELECT feature, \"value\", CAST(ref AS BIGINT) AS ref, CAST(cur AS BIGINT) AS cur FROM freq", DRIFT_VIEWS)
 def category_frequencies(spark, folder):
-    stacked = drift._stack(*_sides(spark, folder), TEXT)
+    stacked = drift.stack(*_sides(spark, folder), TEXT)
     return drift.category_frequencies(stacked.withColumn("delinq_2yrs", F.col("delinq_2yrs").cast("long")), TEXT)
 
 
