@@ -24,7 +24,7 @@ from riskspark.functions.columns import (
 )
 from riskspark.operators.quality import drop_high_missing, drop_leakage
 from riskspark.operators.quantiles import exact_medians
-from riskspark.operators.ranking import category_dictionary
+from riskspark.operators.ranking import category_dictionary, group_sizes
 from riskspark.session import cut_lineage
 
 BROADCAST_ENTRIES = 100_000
@@ -107,9 +107,8 @@ def fit(df: DataFrame, label: str | None = None, exclude: Sequence[str] = ()) ->
     stats = _numeric_stats(df, numeric)
     dictionary, sizes = None, {}
     if categorical:
-        dictionary = cut_lineage(category_dictionary(df, categorical))
-        counted = dictionary.groupBy("column").agg(F.count("*").alias("n")).collect()
-        sizes = {r["column"]: r["n"] for r in counted}
+        ranked, sizes = category_dictionary(df, categorical)
+        dictionary = cut_lineage(ranked, "dictionary")
     return Preprocessor(tuple(features), stats, tuple(categorical), dictionary, sizes)
 
 
@@ -220,10 +219,7 @@ def load(spark: SparkSession, path: str) -> Preprocessor:
         return state
     schema = "value string, code long, column string"
     dictionary = spark.read.schema(schema).parquet(f"{path}/dictionary").select("column", "value", "code")
-    counted = dictionary.groupBy("column").agg(F.count("*").alias("n")).collect()
-    return replace(
-        state, dictionary=dictionary, dictionary_sizes={r["column"]: r["n"] for r in counted}
-    )
+    return replace(state, dictionary=dictionary, dictionary_sizes=group_sizes(dictionary, "column"))
 
 
 def numeric_stats_table(state: Preprocessor, spark: SparkSession) -> DataFrame:

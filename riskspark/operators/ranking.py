@@ -26,16 +26,22 @@ def distinct_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(entries)).distinct()
 
 
-def rank_within(df: DataFrame, by: str, value: str, name: str, group_limit: int = 1_000_000) -> DataFrame:
+def group_sizes(df: DataFrame, by: str) -> dict[str, int]:
+    """Rows per group; for tables with few groups, such as one per column."""
+    return {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}
+
+
+def rank_within(
+    df: DataFrame, by: str, value: str, name: str, largest: int, group_limit: int = 1_000_000
+) -> DataFrame:
     """Add ``name``: the 0-based rank of ``value`` inside each ``by`` group of distinct rows.
 
-    Groups of up to ``group_limit`` rows are ranked by one window. A longer group (a text
+    If the ``largest`` group has up to ``group_limit`` rows, one window ranks each. A longer group (a text
     column with nearly as many values as rows) is range-partitioned first, ranked inside each
     range, and shifted by the sizes of the ranges before it. The ranges are written out before
     they are counted, so a task that is run again sees the same ranges.
     """
     small = Window.partitionBy(by).orderBy(value)
-    largest = df.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= group_limit:
         return df.withColumn(name, (F.row_number().over(small) - 1).cast("long"))
 
@@ -57,10 +63,14 @@ def rank_within(df: DataFrame, by: str, value: str, name: str, group_limit: int
     )
 
 
-def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, value, code`` with codes in sorted value order, from 0, per column.
+def category_dictionary(
+    df: DataFrame, columns: Sequence[str], group_limit: int = 1_000_000
+) -> tuple[DataFrame, dict[str, int]]:
+    """``column, value, code`` with codes in sorted value order, from 0, and entries per column.
 
     The distinct values are stored, so that ``df`` is read once.
     """
     values = cut_lineage(distinct_categories(df, columns), "categories")
-    return rank_within(values, "column", "value", "code")
+    sizes = group_sizes(values, "column")
+    largest = max(sizes.values(), default=0)
+    return rank_within(values, "column", "value", "code", largest, group_limit), sizes

@@ -13,6 +13,7 @@ from riskspark.operators.metrics import roc_auc
 from riskspark.plans.scoring import explain, score
 from riskspark.plans.training import build_features, train
 from riskspark.session import new_path
+from riskspark.sources.readers import read_loans_csv
 
 SETTINGS = {"n_estimators": 4, "max_depth": 3, "learning_rate": 0.2}
 
@@ -185,3 +186,13 @@ def test_explanations(loans, boosted, baseline):
         assert sum("default risk by" in line for line in lines) == 5
     with pytest.raises(ValueError):
         explain(loans, baseline.features.state, baseline.model, "loan_id")
+
+
+def test_training_from_csv(loans, spark):
+    path = new_path(spark, "csv")
+    loans.write.csv(path, header=True, nullValue="NA", ignoreLeadingWhiteSpace=False)
+    read = read_loans_csv(spark, path, keep_others=True)
+    assert "recoveries" in read.columns and read.count() == loans.count()
+    trained = train(build_features(read), "baseline")
+    assert "recoveries" not in trained.features.names
+    assert trained.metrics().filter("split = 'test'").first()["roc_auc"] > 0.7

@@ -101,7 +101,7 @@ def test_auc_of_one_class_is_missing(spark):
 def test_rank_is_the_same_with_and_without_ranges(spark, limit):
     rows = [("c", f"v{i % 300:03d}") for i in range(300)] + [("d", "b"), ("d", "a")]
     df = spark.createDataFrame(rows, "column string, value string").repartition(4)
-    ranked = rank_within(df, "column", "value", "code", group_limit=limit).collect()
+    ranked = rank_within(df, "column", "value", "code", 300, group_limit=limit).collect()
     assert {r["code"] for r in ranked if r["column"] == "c"} == set(range(300))
     assert all(int(r["value"][1:]) == r["code"] for r in ranked if r["column"] == "c")
     assert {(r["value"], r["code"]) for r in ranked if r["column"] == "d"} == {("a", 0), ("b", 1)}

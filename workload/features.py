@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskspark.operators import preprocess, split
 from riskspark.operators.preprocess import engineer_features, fit, prepare, transform
 from riskspark.operators.quantiles import exact_medians
-from riskspark.operators.ranking import category_dictionary, distinct_categories, rank_within
+from riskspark.operators.ranking import category_dictionary
 from riskspark.session import new_path
 from workload.registry import longs, query, rounded
 from workload.tables import ENGINEERED
@@ -61,7 +61,7 @@ def numeric_stats(spark, folder):
 
 @query("category_dictionary", f"WITH {FILLED}, {DICTIONARY} SELECT * FROM dict", ("loans",))
 def dictionary(spark, folder):
-    return category_dictionary(_engineered(spark, folder), TEXT)
+    return category_dictionary(_engineered(spark, folder), TEXT)[0]
 
 
 TRANSFORMED = (
@@ -113,8 +113,7 @@ SELECT 'c_name' AS "column", c_name AS "value", row_number() OVER (ORDER BY c_na
 UNION ALL SELECT 'c_mktsegment', s, row_number() OVER (ORDER BY s) - 1 FROM (SELECT DISTINCT c_mktsegment AS s FROM customer) y""")
 def dictionary_of_large_column(spark, folder):
     """The path for columns with too many values for one window."""
-    values = distinct_categories(view(spark, folder, "customer"), ["c_name", "c_mktsegment"])
-    return rank_within(values, "column", "value", "code", group_limit=10)
+    return category_dictionary(view(spark, folder, "customer"), ["c_name", "c_mktsegment"], group_limit=10)[0]
 
 
 @query("encode_unseen_categories", f"""
