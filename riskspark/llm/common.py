@@ -18,6 +18,8 @@ from riskspark.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one window partition holds when ranks or offsets are made bucket by bucket.
 BUCKET_ROWS = 8192
+#: Buckets whose sums one window adds up.
+FAN = 4096
 #: Bytes of text that a task works on at once.
 SLICE_BYTES = 8 << 20
 
@@ -99,27 +101,36 @@ def running_offsets(
 ) -> DataFrame:
     """Add ``name``: the sum of ``size`` over the rows of the same group that stand before the row.
 
-    Rows of a group are ordered by ``bucket`` and then ``order``. Sums per bucket are added up
-    first, so that no window holds more than a bucket's rows or one row per bucket of a group.
+    Rows of a group are ordered by ``bucket`` (from 0) and then ``order``. Sums per bucket are added up
+    first, and those of FAN buckets before them, so that a window holds a bucket's rows, FAN buckets or one
+    row per FAN buckets.
     """
     sized = df.withColumn("__size", size)
-    totals = sized.groupBy(*group, bucket).agg(F.sum("__size").alias("__total"))
-    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    before = before.partitionBy(*group) if group else Window.partitionBy(F.lit(0)).orderBy(bucket).rowsBetween(
-        Window.unboundedPreceding, -1)
-    totals = totals.select(
-        *(F.col(c).alias(f"__{c}") for c in [*group, bucket]),
-        F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"),
-    )
-    same = F.lit(True)
-    for c in [*group, bucket]:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    totals = sized.groupBy(*group, bucket).agg(F.sum("__size").alias("__sum"))
+    totals = totals.withColumn("__high", F.floor(F.col(bucket) / FAN))
+    highs = totals.groupBy(*group, "__high").agg(F.sum("__sum").alias("__sum"))
+    highs = _summed_before(highs, group, "__high", "__lower")
+    totals = _summed_before(totals, [*group, "__high"], bucket, "__before").drop("__sum")
+    totals = _joined(totals, highs.drop("__sum"), [*group, "__high"])
+    totals = totals.withColumn("__before", F.col("__before") + F.col("__lower")).drop("__high", "__lower")
+    placed = _joined(sized, totals, [*group, bucket])
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        sized.join(totals, same)
-        .withColumn(name, (F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0))).cast("long"))
-        .drop("__size", "__before", *(f"__{c}" for c in [*group, bucket]))
-    )
+    own = F.coalesce(F.sum("__size").over(inside), F.lit(0))
+    return placed.withColumn(name, (F.col("__before") + own).cast("long")).drop("__size", "__before")
+
+
+def _summed_before(sums: DataFrame, group: list[str], order: str, name: str) -> DataFrame:
+    window = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn(name, F.coalesce(F.sum("__sum").over(window), F.lit(0)))
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on keys that may be null."""
+    right = right.withColumnsRenamed({c: f"__r_{c}" for c in keys})
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(right, same).drop(*(f"__r_{c}" for c in keys))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, langid, line_dedup, mixing, ngram_join
+from riskspark.llm import bpe, langid, line_dedup, mixing, ngram_join, quality_fm, sharding
 from riskspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,45 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return register
 
 
+@query("op2_quality_fm")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from the labels of the folds that are not held out."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    learned = quality_fm.training_rows()
+    machine = quality_fm.fit(docs.select("doc_id", "text", "n_chars"), labels.where(learned))
+    marked = docs.select("doc_id", "text", "n_chars", F.coalesce(~learned, F.lit(False)).alias("held_out"))
+    return quality_fm.score(marked, machine).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op3_stratified_shards", f"""
+WITH bits AS (SELECT range AS byte FROM range(256)),
+steps AS (
+  SELECT list(list_reduce(range(8), lambda acc, b: CASE WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END, byte)
+              ORDER BY byte) AS t FROM bits
+), rows AS (
+  SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS size, md5('{sharding.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS draw,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
+             lambda acc, b: xor(acc >> 8, t[xor(acc & 255, b) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+  FROM documents, steps
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id, text_crc32, size) - 1 AS rank,
+         count(*) OVER (PARTITION BY source) AS of
+  FROM rows
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY (rank + 0.5)::DOUBLE / of, source NULLS LAST) - 1 AS place, count(*) OVER () AS total FROM ranked
+), cut AS (SELECT *, place * {sharding.SHARDS} // total AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+       place - (shard * total + {sharding.SHARDS - 1}) // {sharding.SHARDS} AS slot, NULL::INTEGER AS grown_shard
+FROM cut
+""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in eight shards of the same mixture and of row counts at most one apart."""
+    dealt = sharding.interleaved_shards(table(spark, folder, "documents"))
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
@@ -74,7 +113,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     learned = langid.training_rows()
     model = langid.fit(docs.where(learned))
-    named = docs.select("doc_id", "text", (~learned).alias("held_out"))
+    named = docs.select("doc_id", "text", F.coalesce(~learned, F.lit(False)).alias("held_out"))
     return langid.identify(named, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
