@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, langid, line_dedup, mixing, ngram_join, quality_fm, sharding
+from riskspark.llm import bpe, html_text, langid, line_dedup, mixing, ngram_join, quality_fm, sharding
 from riskspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return register
 
 
+@query("op1_html_extraction")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query("op2_quality_fm")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document, learned from the labels of the folds that are not held out."""
