@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, html_text, langid, line_dedup, mixing, ngram_join, quality_fm, sharding
+from riskspark.llm import (
+    bpe, html_text, langid, line_dedup, mixing, mtree, ngram_join, pivot_dedup, quality_fm, sharding,
+)
 from riskspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +71,25 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_mtree_search", """
+WITH usable AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best rows by integer inner product, for each row whose id is divisible by 50."""
+    rows = table(spark, folder, "embeddings")
+    return mtree.top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
 @query("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
@@ -81,6 +102,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_per_document(mixing.mix_sources(table(spark, folder, "documents")))
 
 
+@query("op7_pivot_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, components and representatives of vectors with a cosine of 0.9 or more."""
+    return pivot_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query("op8_line_dedup", f"""
 WITH lines AS (
   SELECT doc_id, coalesce('s' || source, '-') AS site, unnest(string_split(text, chr(10))) AS line,
