@@ -94,10 +94,10 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def correlation_with(
-    df: DataFrame, target: str, columns: Sequence[str] | None = None, first: int = 20
+    df: DataFrame, target: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Correlation of each numeric column with ``target``, all in one aggregate."""
-    chosen = list(columns) if columns else numeric_columns(df)[:first]
+    """Correlation of each numeric column (or the given ones) with ``target``, all in one aggregate."""
+    chosen = list(columns) if columns else numeric_columns(df)
     # Every column is cleaned once per row, below the aggregate that uses it several times.
     rows = df.select(*[finite(df, c).alias(c) for c in dict.fromkeys([*chosen, target])])
     wide = rows.agg(*[pearson(F.col(c), F.col(target)).alias(c) for c in chosen])

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from riskspark import config
 from riskspark.functions.columns import above, finite, ratio
-from riskspark.operators.joins import join_by_key
 from riskspark.operators.prefix import add_buckets, cut_points, earlier_buckets, smaller_in_bucket
 
 
@@ -103,8 +102,17 @@ def evaluate(
     by: Sequence[str],
     threshold: float = config.DECISION_THRESHOLD,
 ) -> DataFrame:
-    """F1 and ROC-AUC per group, for instance per split."""
-    return f1_by(df, label, score, by, threshold).join(roc_auc(df, label, score, by), list(by))
+    """F1 and ROC-AUC per group, for instance per split.
+
+    A group without scores has no ROC-AUC; a group whose keys are null is a group like any other.
+    """
+    by = list(by)
+    area = roc_auc(df, label, score, by).withColumnsRenamed({c: f"__{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    # Every group of the second side is one of the first.
+    return f1_by(df, label, score, by, threshold).join(area, same, "left").select(*by, "f1", "roc_auc")
 
 
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -168,8 +176,11 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
 def join_labels(
     predictions: DataFrame, labels: DataFrame, key: str = "loan_id", how: str = "inner"
 ) -> DataFrame:
-    """Bring labels that arrive later, one per key, to their predictions."""
-    return join_by_key(predictions, labels, key, how)
+    """Bring labels that arrive later, one per key, to their predictions.
+
+    A plain join: the engine picks the strategy by size and splits keys that hold many rows.
+    """
+    return predictions.join(labels, key, how)
 
 
 def model_comparison(metric_rows: DataFrame) -> DataFrame:

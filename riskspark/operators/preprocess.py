@@ -27,7 +27,6 @@ from riskspark.operators.quantiles import exact_medians
 from riskspark.operators.ranking import category_dictionary, group_sizes
 from riskspark.session import cut_lineage
 
-BROADCAST_ENTRIES = 100_000
 UNSEEN = -1
 
 
@@ -145,24 +144,18 @@ def _number(value: float | None):
     return F.lit(value).cast("double")
 
 
-def _encode(df: DataFrame, name: str, state: Preprocessor, broadcast_entries: int, salts: int) -> DataFrame:
-    """Replace a text column by its code, -1 if the value is not in the dictionary."""
+def _encode(df: DataFrame, name: str, state: Preprocessor, sort_merge: bool) -> DataFrame:
+    """Replace a text column by its code, -1 if the value is not in the dictionary.
+
+    The engine broadcasts a dictionary whose bytes are below its limit. A bigger one is joined by a shuffle, in
+    which the engine splits the rows of a frequent value.
+    """
     key, code = f"__{name}_key", f"__{name}_code"
     entries = state.dictionary.filter(F.col("column") == name).select(
         F.col("value").alias(key), F.col("code").cast("double").alias(code)
     )
     keyed = df.withColumn(key, category(name))
-    if state.dictionary_sizes.get(name, 0) <= broadcast_entries:
-        joined = keyed.join(F.broadcast(entries), key, "left")
-    else:
-        # Spread each value over several tasks: one of them may hold a third of the rows.
-        salt = f"__{name}_salt"
-        others = [c for c in df.columns if c != name] or [name]
-        keyed = keyed.withColumn(salt, F.pmod(F.xxhash64(*others), F.lit(salts)))
-        copies = entries.withColumn(
-            salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-        )
-        joined = keyed.join(copies, [key, salt], "left").drop(salt)
+    joined = keyed.join(entries.hint("merge") if sort_merge else entries, key, "left")
     return joined.withColumn(name, F.coalesce(F.col(code), F.lit(float(UNSEEN)))).drop(key, code)
 
 
@@ -170,13 +163,12 @@ def transform(
     df: DataFrame,
     state: Preprocessor,
     keep: Sequence[str] = (),
-    broadcast_entries: int = BROADCAST_ENTRIES,
-    salts: int = 32,
+    sort_merge: bool = False,
 ) -> DataFrame:
     """Apply fitted state: fill, encode, standardise, and put the columns in fitted order.
 
-    ``keep`` names columns (id, label) to carry along. Nothing is shuffled unless a
-    dictionary is above ``broadcast_entries``.
+    ``keep`` names columns (id, label) to carry along. Nothing is shuffled unless a dictionary has more
+    bytes than the engine broadcasts; ``sort_merge`` asks for the shuffle at any size.
     """
     numbers = {}
     for name, s in state.numeric.items():
@@ -185,7 +177,7 @@ def transform(
     out = df.select(*keep, *[c for c in state.columns if c not in keep])
     out = out.withColumns(numbers) if numbers else out
     for name in state.categorical:
-        out = _encode(out, name, state, broadcast_entries, salts)
+        out = _encode(out, name, state, sort_merge)
     return out.select(*keep, *[c for c in state.columns if c not in keep])
 
 

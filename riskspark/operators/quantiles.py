@@ -19,6 +19,8 @@ from riskspark.operators.marks import RANK_ERROR, quantile_marks
 DIRECT_ROWS = 200_000
 KEEP_INSIDE = 100_000
 MARKS = 1000
+#: Stands for the rows below a bracket whose ends are the two middle values.
+NEIGHBOURS = -1
 SHARES = [(i + 0.5) / MARKS for i in range(MARKS)]
 
 
@@ -58,8 +60,8 @@ def _brackets(
     """Per column (low, high, rows below low), proven by counting to hold both middle values.
 
     Every pass over the table counts the proposed brackets and takes quantiles inside them. A
-    column is done when few rows are left inside, or when a closer bracket has as many rows:
-    then the edge values themselves hold them, and there are few distinct ones.
+    column is done when few rows are left inside. When a closer bracket has as many rows, the edge
+    values themselves hold them; these are counted apart, and the search goes on between them.
     """
     everything = (float("-inf"), float("inf"))
     proven = {c: (*everything, 0) for c in middle}
@@ -91,7 +93,16 @@ def _brackets(
             no_progress = within == held[c] and c not in repeated
             repeated.discard(c)
             proven[c], held[c] = (*proposal[c], under), within
-            if within <= keep_inside or no_progress or proposal[c][0] == proposal[c][1]:
+            if within <= keep_inside or proposal[c][0] == proposal[c][1]:
+                continue
+            if no_progress:
+                # The edge values hold nearly all rows: take them out and go on between them.
+                proven[c], held[c], done = _without_edges(df, c, proven[c], middle[c])
+                if done:
+                    continue
+                proposal[c] = proven[c][:2]
+                repeated.add(c)
+                going_on.append(c)
                 continue
             first = (middle[c][0] - under) / within - margin[c]
             last = (middle[c][1] - under + 1) / within + margin[c]
@@ -104,12 +115,45 @@ def _brackets(
     return proven
 
 
+def _without_edges(
+    df: DataFrame, column: str, bracket: tuple[float, float, int], middle: tuple[int, int]
+) -> tuple[tuple[float, float, int], int, bool]:
+    """The bracket strictly between the edge values of ``bracket``, the rows in it, and whether it is final.
+
+    If a middle value is an edge value, or next to one, the bracket ends at the middle values themselves.
+    """
+    low, high, under = bracket
+    value = finite(df, column)
+    inner = F.when((value > F.lit(low)) & (value < F.lit(high)), value)
+    row = df.agg(
+        F.count_if(value == F.lit(low)).alias("low"), F.count(inner).alias("inner"),
+        F.min(inner).alias("first"), F.max(inner).alias("last"),
+    ).first()
+    start = under + row["low"]
+    stop = start + row["inner"]
+    if start <= middle[0] and middle[1] < stop:
+        return (row["first"], row["last"], start), row["inner"], row["first"] == row["last"]
+
+    def at(place: int) -> float:
+        if place < start:
+            return low
+        if place >= stop:
+            return high
+        return row["first"] if place == start else row["last"]
+
+    # The two places are neighbours and one of them is outside, so the other one is an end of the inside.
+    pair = (at(middle[0]), at(middle[1]))
+    return (*pair, NEIGHBOURS), 0, True
+
+
 def _ranked(
     df: DataFrame, middle: dict[str, tuple[int, int]], brackets: dict[str, tuple[float, float, int]]
 ) -> dict[str, float]:
     """Find the middle values among the distinct values of each bracket."""
     # A bracket of one value is the answer already.
     known = {c: low for c, (low, high, _) in brackets.items() if low == high}
+    # Between two neighbours the middle is half way.
+    known |= {c: low + (high - low) * 0.5 for c, (low, high, below) in brackets.items() if below == NEIGHBOURS}
     open_columns = [c for c in middle if c not in known]
     if not open_columns:
         return known

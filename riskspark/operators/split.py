@@ -3,23 +3,20 @@
 Rows are ordered by the md5 of id and seed, which is even and repeatable. The first rows of
 each stratum go to the test set, the next to validation, the rest to train. Instead of ranking
 whole strata, the job counts rows per hash prefix, finds the prefix in which each boundary
-lies, looks closer at that prefix only, and keeps the boundary hash. Assigning a row is then a comparison
-with its stratum's boundaries: one projection, nothing wide is shuffled.
+lies, and ranks the rows of that prefix only. Assigning a row is then a comparison with its
+stratum's boundaries, which are joined to it. There may be any number of strata.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark import config
 
-MAX_STRATA = 100
-DIGITS = 3
-HASH_DIGITS = 32
-COLLECT_ROWS = 10_000
+PREFIX_DIGITS = 4
 
 
 def order_hash(key: str, seed: int = config.SEED) -> Column:
@@ -27,105 +24,62 @@ def order_hash(key: str, seed: int = config.SEED) -> Column:
 
 
 def boundaries(
-    df: DataFrame,
-    key: str,
-    stratum: str,
-    parts: Sequence[float],
-    seed: int = config.SEED,
-    collect_rows: int = COLLECT_ROWS,
-) -> dict[object, list[str]]:
-    """Per stratum, the last hash of each part.
+    df: DataFrame, key: str, stratum: str, parts: Sequence[float], seed: int = config.SEED
+) -> DataFrame:
+    """One row per stratum: ``stratum`` and ``edges``, the last hash of each part.
 
     ``parts`` are shares from the front: each takes the ceiling of its share of the rows the
-    parts before it have left. Each pass looks three hash digits further into the prefixes that
-    hold a boundary, so the driver gets 4096 counts per prefix, and in the last pass the at most
-    ``collect_rows`` hashes of each.
+    parts before it have left. Rows are counted per stratum and hash prefix; only rows of the
+    prefixes that hold a boundary are ranked. A part without rows has an empty edge.
     """
     hashed = df.filter(F.col(stratum).isNotNull()).select(
-        F.col(stratum).alias("s"), order_hash(key, seed).alias("h")
+        F.col(stratum).alias("stratum"), order_hash(key, seed).alias("h")
+    ).withColumn("prefix", F.substring("h", 1, PREFIX_DIGITS))
+    counts = hashed.groupBy("stratum", "prefix").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("stratum").orderBy("prefix"))
+    counts = counts.withColumn("upto", upto)
+
+    left, taken, goals = F.col("total"), F.lit(0).cast("long"), []
+    for part, share in enumerate(parts):
+        size = _ceiling(left * share)
+        left, taken = left - size, taken + size
+        goals.append(F.struct(F.lit(part).alias("part"), taken.alias("goal")))
+    totals = counts.groupBy("stratum").agg(F.sum("n").alias("total"))
+    goals = totals.select("stratum", F.inline(F.array(*goals)))
+
+    held = goals.join(counts, "stratum").filter("goal <= upto AND goal > upto - n")
+    held = held.select("stratum", "part", "prefix", (F.col("goal") - F.col("upto") + F.col("n")).alias("place"))
+    # Copies of a key are one row before the shuffle.
+    inside = hashed.groupBy("stratum", "prefix", "h").agg(F.count("*").alias("n")).join(held, ["stratum", "prefix"])
+    upto = F.sum("n").over(Window.partitionBy("stratum", "part", "place").orderBy("h"))
+    edges = inside.withColumn("upto", upto).filter("upto >= place").groupBy("stratum", "part").agg(F.min("h").alias("edge"))
+    edges = goals.join(edges, ["stratum", "part"], "left").groupBy("stratum").agg(
+        F.sort_array(F.collect_list(F.struct("part", F.coalesce("edge", F.lit("")).alias("edge")))).alias("edges")
     )
-    first = _prefix_counts(hashed, DIGITS).limit(MAX_STRATA * 16**DIGITS + 1).collect()
-    groups = _grouped(first)
-    if len(groups) > MAX_STRATA or len(first) > MAX_STRATA * 16**DIGITS:
-        raise ValueError(f"{stratum} has more than {MAX_STRATA} values; a stratum is a class label.")
-
-    goals = []
-    for (s, _), counts in groups.items():
-        left = sum(n for _, n in counts)
-        taken = 0
-        for part, share in enumerate(parts):
-            size = _ceiling(share * left)
-            taken, left = taken + size, left - size
-            if taken:
-                goals.append((s, part, "", taken))
-    edges = [_locate(groups[s, prefix], s, part, goal) for s, part, prefix, goal in goals]
-
-    schema = f"s {hashed.schema['s'].dataType.simpleString()}, prefix string"
-    reached = DIGITS
-    while reached < HASH_DIGITS and edges:
-        length = HASH_DIGITS if max(e[4] for e in edges) <= collect_rows else reached + DIGITS
-        wanted = df.sparkSession.createDataFrame(sorted({(e[0], e[2]) for e in edges}), schema)
-        rows = hashed.withColumn("prefix", F.substring("h", 1, reached)).join(
-            F.broadcast(wanted), ["s", "prefix"]
-        )
-        groups = _grouped(_prefix_counts(rows, length, "prefix").collect())
-        edges = [_locate(groups[s, prefix], s, part, goal) for s, part, prefix, goal, _ in edges]
-        reached = length
-
-    out = {s: [""] * len(parts) for s in {r["s"] for r in first}}
-    for s, part, edge, *_ in edges:
-        out[s][part] = edge
-    return out
-
-
-def _prefix_counts(hashed: DataFrame, length: int, prefix: str | None = None) -> DataFrame:
-    """Rows per hash prefix; combined before the shuffle, so copies of a key are one row."""
-    before = F.col(prefix) if prefix else F.lit("")
-    return hashed.groupBy("s", before.alias("prefix"), F.substring("h", 1, length).alias("p")).agg(
-        F.count("*").alias("n")
-    )
-
-
-def _grouped(rows) -> dict[tuple, list[tuple[str, int]]]:
-    groups: dict[tuple, list[tuple[str, int]]] = {}
-    for r in sorted(rows, key=lambda r: r["p"]):
-        groups.setdefault((r["s"], r["prefix"]), []).append((r["p"], r["n"]))
-    return groups
-
-
-def _locate(counts: list[tuple[str, int]], s, part: int, goal: int) -> tuple:
-    """(stratum, part, prefix that holds the goal-th row, goal within it, its rows)."""
-    for p, n in counts:
-        if goal <= n:
-            return s, part, p, goal, n
-        goal -= n
-    raise ValueError("The table changed while it was read.")
+    return edges.select("stratum", F.col("edges.edge").alias("edges"))
 
 
-def _ceiling(x: float) -> int:
+def _ceiling(x: Column) -> Column:
     """Ceiling that forgives the last digits of a float product (0.2 * 15 is 3.0000000000000004)."""
-    nearest = round(x)
-    return nearest if abs(x - nearest) < 1e-9 * max(1.0, abs(x)) else int(x) + (x > int(x))
+    return F.ceil(x - F.greatest(F.lit(1.0), F.abs(x)) * 1e-9)
 
 
 def assign(
     df: DataFrame,
     key: str,
     stratum: str,
-    cuts: dict[object, list[str]],
+    cuts: DataFrame,
     names: Sequence[object],
     column: str,
     seed: int = config.SEED,
 ) -> DataFrame:
-    """Add ``column``: the part whose boundary a row's hash does not pass."""
-    h = order_hash(key, seed)
-    value = F.lit(None)
-    for s, edges in cuts.items():
-        part = F.lit(names[-1])
-        for name, edge in reversed(list(zip(names, edges))):
-            part = F.when(h <= F.lit(edge), F.lit(name)).otherwise(part)
-        value = F.when(F.col(stratum) == F.lit(s), part).otherwise(value)
-    return df.withColumn(column, value)
+    """Add ``column``: the part whose boundary a row's hash does not pass; null for a null stratum."""
+    part = F.lit(names[-1])
+    for i, name in reversed(list(enumerate(names[:-1]))):
+        part = F.when(order_hash(key, seed) <= F.col("__edges")[i], F.lit(name)).otherwise(part)
+    cuts = cuts.select(F.col("stratum").alias("__stratum"), F.col("edges").alias("__edges"))
+    joined = df.join(cuts, F.col(stratum) == F.col("__stratum"), "left")
+    return joined.withColumn(column, F.when(F.col("__edges").isNotNull(), part)).drop("__stratum", "__edges")
 
 
 def stratified_split(
@@ -180,9 +134,6 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def add_balanced_weight(df: DataFrame, label: str) -> DataFrame:
-    """Add ``weight`` from the class counts, as literals: there are as many as classes."""
-    rows = balanced_weights(df, label).collect()
-    weight = F.lit(None).cast("double")
-    for r in rows:
-        weight = F.when(F.col(label) == r[label], F.lit(r["weight"])).otherwise(weight)
-    return df.withColumn("weight", weight)
+    """Add ``weight`` from the class counts; the engine broadcasts them if they are few."""
+    weights = balanced_weights(df, label).select(F.col(label).alias("__label"), "weight")
+    return df.join(weights, F.col(label) == F.col("__label"), "left").drop("__label")

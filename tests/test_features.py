@@ -87,12 +87,12 @@ def test_fit_transform(people):
     assert not any(v is None for r in rows.values() for v in r)
 
 
-@pytest.mark.parametrize("broadcast_entries", [100, 0])
-def test_unseen_categories_and_both_joins(people, spark, broadcast_entries):
+@pytest.mark.parametrize("sort_merge", [False, True])
+def test_unseen_categories_and_both_joins(people, spark, sort_merge):
     state = fit(people.filter("c is not null"), "y", ["id"])
     new = spark.createDataFrame([(7, 1.0, 5.0, "zz"), (8, None, 1.0, None), (9, 2.0, 2.0, "b")],
                                 "id long, x double, same double, c string")
-    rows = {r["id"]: r for r in transform(new, state, ["id"], broadcast_entries, salts=4).collect()}
+    rows = {r["id"]: r for r in transform(new, state, ["id"], sort_merge).collect()}
     assert len(rows) == 3
     assert [rows[i]["c"] for i in (7, 8, 9)] == [-1, -1, 1]
     assert rows[8]["x"] == pytest.approx((state.numeric["x"].median - state.numeric["x"].mean) / state.numeric["x"].std)

@@ -7,8 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.operators import marks, split
-from riskspark.operators.joins import hot_keys, join_by_key
-from riskspark.operators.metrics import roc_auc
+from riskspark.operators.metrics import join_labels, roc_auc
 from riskspark.operators.prefix import add_buckets, cut_points, running_totals
 from riskspark.operators.quantiles import exact_medians
 from riskspark.operators.ranking import rank_within
@@ -28,6 +27,10 @@ def _shapes():
         "wide": [10 ** rng.uniform(-5, 9) for _ in range(4000)],
         "hot": [2.0] * 2000 + [rng.uniform(0, 10) for _ in range(4000)],
         "hot_middle": [1.0] * 3000 + [2.0] * 3000,
+        "two_spikes": [0.0] * 3000 + [1.0] * 3000 + [rng.uniform(0.1, 0.9) for _ in range(101)],
+        "two_spikes_even": [0.0] * 3000 + [1.0] * 3000,
+        "spike_and_inner": [0.0] * 3000 + [0.5] + [1.0] * 2999,
+        "spikes_off_middle": [0.0] * 3000 + [1.0] * 6000 + [rng.uniform(0.1, 0.9) for _ in range(50)],
         "gap": [float(i) for i in range(1000)] + [float(10**6 + i) for i in range(1000)],
     }
 
@@ -107,10 +110,9 @@ def test_rank_is_the_same_with_and_without_ranges(spark, limit):
     assert {(r["value"], r["code"]) for r in ranked if r["column"] == "d"} == {("a", 0), ("b", 1)}
 
 
-@pytest.mark.parametrize("collect_rows", [10_000, 1, 0])
-def test_split_has_exact_sizes_per_stratum(spark, monkeypatch, collect_rows):
-    find = split.boundaries
-    monkeypatch.setattr(split, "boundaries", lambda *a: find(*a, collect_rows=collect_rows))
+@pytest.mark.parametrize("digits", [1, 4])
+def test_split_has_exact_sizes_per_stratum(spark, monkeypatch, digits):
+    monkeypatch.setattr(split, "PREFIX_DIGITS", digits)
     df = spark.range(1003).select("id", (F.col("id") % 7 == 0).cast("int").alias("y"))
     parts = split.stratified_split(df, "id", "y")
     sizes = {(r["y"], r["split"]): r["rows"] for r in split.split_summary(parts, "y").collect()}
@@ -121,10 +123,15 @@ def test_split_has_exact_sizes_per_stratum(spark, monkeypatch, collect_rows):
     assert parts.count() == 1003
 
 
-def test_split_refuses_a_column_that_is_no_label(spark):
-    df = spark.range(1000).select("id", F.col("id").alias("y"))
-    with pytest.raises(ValueError, match="class label"):
-        split.stratified_split(df, "id", "y")
+def test_split_takes_any_number_of_strata(spark):
+    df = spark.range(3000).select("id", F.nullif(F.col("id") % 151, F.lit(150)).alias("y"))
+    parts = split.stratified_split(df, "id", "y")
+    sizes = {(r["y"], r["split"]): r["rows"] for r in split.split_summary(parts, "y").collect()}
+    for y in range(150):
+        rows = len(range(y, 3000, 151))
+        assert sizes[y, "test"] == -(-rows // 5)
+        assert sum(sizes.get((y, s), 0) for s in ("test", "validation", "train")) == rows
+    assert sizes[None, None] == len(range(150, 3000, 151))
 
 
 def test_split_keeps_copies_of_a_key_together(spark):
@@ -149,13 +156,10 @@ def test_join_with_a_hot_key_is_whole(spark):
         F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), "id"
     )
     small = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    assert hot_keys(big, "k") == [7]
-    assert hot_keys(big.filter("k <> 7"), "k") == []
-    assert hot_keys(big.limit(0), "k") == []
     small = small.union(spark.createDataFrame([(7, 70)], "k long, v long"))
     for how in ("inner", "left"):
         expected = sorted(map(str, big.join(small, "k", how).select("k", "id", "v").collect()))
-        joined = join_by_key(big, small, "k", how)
+        joined = join_labels(big, small, "k", how)
         assert sorted(map(str, joined.select("k", "id", "v").collect())) == expected
 
 

@@ -93,7 +93,7 @@ def transform_loans_shuffled(spark, folder):
     """The same with dictionaries treated as too big to broadcast."""
     rows = _engineered(spark, folder)
     state = _fitted(rows)
-    return rounded(transform(rows, state, ["loan_id"], broadcast_entries=0, salts=8), 6, *NUMERIC)
+    return rounded(transform(rows, state, ["loan_id"], sort_merge=True), 6, *NUMERIC)
 
 
 LARGE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey")
