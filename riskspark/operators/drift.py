@@ -27,7 +27,7 @@ RESULT = (
 
 def require_reference(reference: DataFrame | None) -> DataFrame:
     if reference is None:
-        raise ValueError("Reference data not loaded. Give a reference table first.")
+        raise ValueError("Drift needs a reference table; none was given.")
     return reference
 
 
@@ -213,9 +213,13 @@ def drift_report(
     small_reference: int = config.DRIFT_SMALL_REFERENCE,
     few_values: int = config.DRIFT_CATEGORICAL_UP_TO,
     buckets: int | None = None,
+    method: str = "by_size",
 ) -> DataFrame:
     """One row per column: its kind, the test, its statistic, the p-value if any, and the verdict.
 
+    ``method`` is ``test`` (hypothesis tests), ``distance`` (distances between the distributions) or
+    ``by_size``: tests up to ``small_reference`` reference rows, distances above.
+
     Missing and infinite values are left out. A column without values on one side has no
     statistic and does not count as drifted.
     """
@@ -226,7 +230,9 @@ def drift_report(
         return spark.createDataFrame([], RESULT)
     stacked = stack(reference, current, names)
     rows, profiles = _profile(stacked, names, few_values)
-    small = rows <= small_reference
+    if method not in ("test", "distance", "by_size"):
+        raise ValueError(f"method is test, distance or by_size, not {method}")
+    small = rows <= small_reference if method == "by_size" else method == "test"
     many = [p for p in profiles if p.numeric and p.distinct > few_values]
     few = [p for p in profiles if p not in many]
     kinds = F.broadcast(

@@ -47,7 +47,7 @@ def compare_versions(rows: DataFrame, first: str, second: str) -> DataFrame:
     known = {r["version"] for r in rows.select("version").distinct().collect()}
     for version in (first, second):
         if version not in known:
-            raise ValueError(f"Version {version} not found")
+            raise ValueError(f"No metrics are known of version {version}.")
     sides = [
         rows.filter(F.col("version") == version).select("metric", F.col("value").alias(name))
         for version, name in ((first, "version1"), (second, "version2"))

@@ -98,7 +98,7 @@ def best_threshold(sweep: DataFrame, metric: str = "cost", by: Sequence[str] = (
     elif metric in ("f1", "youden"):
         pick = F.max_by(whole, F.struct(F.col(metric), -F.col("threshold")))
     else:
-        raise ValueError(f"Unknown metric: {metric}")
+        raise ValueError(f"The best threshold is by cost, f1 or youden, not by {metric}.")
     return sweep.groupBy(*by).agg(pick.alias("best")).select(*by, "best.*")
 
 

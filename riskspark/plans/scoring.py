@@ -55,13 +55,14 @@ def explain(
     n: int = 5,
     background: DataFrame | None = None,
     partitions: int | None = None,
+    lenient: bool = False,
 ) -> DataFrame:
     """The score with its ``top_factors`` and a readable ``explanation``.
 
     The linear model needs ``background`` (transformed rows) for the feature means.
     """
     features = state.model_features
-    rows = transform(_complete(applications, state, False), state, [key])
+    rows = transform(_complete(applications, state, lenient), state, [key])
     scored = decide(predict(rows, model, features, [key, *features]))
     if isinstance(model, GBTClassificationModel):
         attributed = tree_attribution(scored, model, features, _outputs(key), partitions)

@@ -61,6 +61,12 @@ def cut_lineage(df: DataFrame, name: str = "table", partition_by: str | None = N
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that is no longer read, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """Spread a table that was read in fewer tasks than there are cores; leave others alone.
 

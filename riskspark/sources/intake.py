@@ -39,11 +39,12 @@ def check_applications(df: DataFrame) -> DataFrame:
 
     ``reasons`` lists ``missing:<field>`` for a required field without a value and
     ``type:<field>`` for a value that does not fit its type; it is empty for a valid record.
+    ``refused`` lists ``<field>=<value>`` as it came in, for each value that does not fit.
     Columns outside the declaration (ids, timestamps) are passed along.
     """
     declared = {name for name, _, _ in APPLICATION_FIELDS}
     others = [F.col(c) for c in df.columns if c not in declared]
-    problems = []
+    problems, refused = [], []
     for name, dtype, required in APPLICATION_FIELDS:
         if name not in df.columns:
             if required:
@@ -53,18 +54,20 @@ def check_applications(df: DataFrame) -> DataFrame:
         if required:
             problems.append(F.when(given.isNull(), F.lit(f"missing:{name}")))
         if not isinstance(df.schema[name].dataType, type(dtype)):
-            problems.append(
-                F.when(given.isNotNull() & given.try_cast(dtype).isNull(), F.lit(f"type:{name}"))
-            )
+            unfit = given.isNotNull() & given.try_cast(dtype).isNull()
+            problems.append(F.when(unfit, F.lit(f"type:{name}")))
+            text = given if dict(df.dtypes)[name] == "string" else F.to_json(F.struct(given))
+            refused.append(F.when(unfit, F.concat(F.lit(f"{name}="), text.cast("string"))))
     if "_corrupt_record" in df.columns:
         problems.append(F.when(F.col("_corrupt_record").isNotNull(), F.lit("record")))
     reasons = F.array_compact(F.array(*problems)) if problems else F.array().cast("array<string>")
     typed = [_typed(df, name, dtype).alias(name) for name, dtype, _ in APPLICATION_FIELDS]
-    return df.select(*others, *typed, reasons.alias("reasons"))
+    values = F.array_compact(F.array(*refused)) if refused else F.array().cast("array<string>")
+    return df.select(*others, *typed, reasons.alias("reasons"), values.alias("refused"))
 
 
 def valid_applications(checked: DataFrame) -> DataFrame:
-    return checked.filter(F.size("reasons") == 0).drop("reasons")
+    return checked.filter(F.size("reasons") == 0).drop("reasons", "refused")
 
 
 def rejected_applications(checked: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model
 from pyspark.sql import DataFrame
@@ -13,8 +13,12 @@ from riskspark.operators.drift import drift_report, drift_summary
 from riskspark.operators.perflog import log_columns, log_sums
 from riskspark.operators.preprocess import Preprocessor
 from riskspark.plans.scoring import score
+from riskspark.session import cut_lineage, new_path, remove
 from riskspark.sources.sinks import save_reference
 
+#: Work through what is there and end. ``{"processingTime": "1 minute"}`` goes on for ever.
+ONCE = {"availableNow": True}
+
 
 def stream_scores(
     applications: DataFrame,
@@ -23,6 +27,7 @@ def stream_scores(
     keep: Sequence[str],
     path: str,
     checkpoint: str,
+    trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
     """Score a stream of applications into an append-only table; each record is scored once."""
     return (
@@ -31,7 +36,7 @@ def stream_scores(
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -83,14 +88,16 @@ def _multiple(window: str, slide: str) -> bool:
     return sizes[0] % sizes[1] == 0
 
 
-def stream_log(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_log(
+    log: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, object] = ONCE
+) -> StreamingQuery:
     """Append each window to the log once, when it is closed."""
     return (
         log.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -101,23 +108,29 @@ def stream_drift(
     columns: Sequence[str],
     path: str,
     checkpoint: str,
+    trigger: Mapping[str, object] = ONCE,
     **limits,
 ) -> StreamingQuery:
     """Compare every micro-batch with a fixed reference; one summary row per batch.
 
-    A batch writes its own folder, so a batch that is run again replaces its result.
+    The compared columns of the reference are stored once, when the stream starts. A batch writes its own
+    folder, so a batch that is run again replaces its result; the copy of a batch goes with its result.
     """
+    spark = current.sparkSession
+    prepared = cut_lineage(reference.select(*columns), "drift-reference")
 
     def compare(batch: DataFrame, batch_id: int) -> None:
-        # The batch is read several times below; keep one copy of it.
-        stored = save_reference(batch.select(*columns), f"{path}_batches/{batch_id}")
-        summary = drift_summary(drift_report(reference, stored, columns, **limits))
+        # The batch is read several times below; keep one copy of it until then.
+        copy = new_path(spark, f"batch-{batch_id}")
+        stored = save_reference(batch.select(*columns), copy)
+        summary = drift_summary(drift_report(prepared, stored, columns, **limits))
         summary.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        remove(spark, copy)
 
     return (
         current.writeStream.foreachBatch(compare)
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskspark.operators import drift, history, perflog
@@ -13,8 +14,12 @@ from riskspark.streaming import jobs
 from workload.registry import query, rounded
 from workload.views import view
 
-NUMERIC = ("loan_amnt", "installment", "annual_inc", "dti", "fico_range_high", "revol_bal")
-TEXT = ("term", "grade", "emp_length", "delinq_2yrs", "loan_status")
+NUMERIC = (
+    "loan_id", "loan_amnt", "installment", "annual_inc", "dti", "fico_range_high", "revol_bal", "total_pymnt", "recoveries",
+)
+TEXT = (
+    "term", "int_rate", "grade", "emp_length", "delinq_2yrs", "revol_util", "note", "half_note", "loan_status",
+)
 COLUMNS = NUMERIC + TEXT
 DRIFT_VIEWS = ("reference_loans", "current_loans")
 
@@ -60,14 +65,9 @@ REPORT = f"""{BOTH}, rep AS (
  UNION ALL SELECT feature, CASE WHEN feature = 'delinq_2yrs' THEN 'numeric' ELSE 'categorical' END, 'jensen_shannon',
   round(jensen_shannon, 6), jensen_shannon >= 0.1 FROM cat)"""
 
-# Every reference size counts as small, so the hypothesis tests run on the whole tables.
-ALWAYS_TEST = 1 << 62
-ALWAYS_MEASURE = 0
-
-
 @query("drift_report", f"{REPORT} SELECT * FROM rep", DRIFT_VIEWS)
 def drift_report(spark, folder):
-    report = drift.drift_report(*_sides(spark, folder), COLUMNS, small_reference=ALWAYS_MEASURE)
+    report = drift.drift_report(*_sides(spark, folder), COLUMNS, method="distance")
     return rounded(report.drop("p_value"))
 
 
@@ -76,7 +76,7 @@ SELECT count(*) FILTER (WHERE drifted) / count(*) >= 0.5 AS drift_detected,
  coalesce(string_agg(CASE WHEN drifted THEN feature END, ',' ORDER BY feature), '') AS drifted_features,
  round(count(*) FILTER (WHERE drifted) / count(*), 6) AS drift_share, count(*) AS total_features FROM rep""", DRIFT_VIEWS)
 def drift_summary(spark, folder):
-    report = drift.drift_report(*_sides(spark, folder), COLUMNS, small_reference=ALWAYS_MEASURE)
+    report = drift.drift_report(*_sides(spark, folder), COLUMNS, method="distance")
     summary = drift.drift_summary(report)
     return rounded(summary.withColumn("drifted_features", F.array_join("drifted_features", ",")))
 
@@ -88,14 +88,14 @@ UNION ALL SELECT 'share_of_drifted_columns', CASE WHEN count(*) FILTER (WHERE dr
 
 @query("drift_tests", TESTS, DRIFT_VIEWS)
 def drift_tests(spark, folder):
-    report = drift.drift_report(*_sides(spark, folder), COLUMNS, small_reference=ALWAYS_MEASURE)
+    report = drift.drift_report(*_sides(spark, folder), COLUMNS, method="distance")
     return drift.drift_tests(report)
 
 
 @query("drift_results_file", TESTS, DRIFT_VIEWS)
 def drift_results_file(spark, folder):
     path = new_path(spark, "drift-results")
-    check_drift(*_sides(spark, folder), COLUMNS, results_path=path, small_reference=ALWAYS_MEASURE)
+    check_drift(*_sides(spark, folder), COLUMNS, results_path=path, method="distance")
     return spark.read.schema("name string, status string").json(path)
 
 
@@ -103,7 +103,7 @@ def drift_results_file(spark, folder):
 SELECT feature, 'ks' AS test, round(ks, 6) AS statistic FROM num
 UNION ALL SELECT feature, CASE WHEN degrees <= 1 THEN 'z' ELSE 'chi_square' END, round(CASE WHEN degrees <= 1 THEN z ELSE chi2 END, 6) FROM cat""", DRIFT_VIEWS)
 def drift_hypothesis_tests(spark, folder):
-    report = drift.drift_report(*_sides(spark, folder), COLUMNS, small_reference=ALWAYS_TEST)
+    report = drift.drift_report(*_sides(spark, folder), COLUMNS, method="test")
     return rounded(report.select("feature", "test", "statistic"))
 
 
@@ -112,10 +112,23 @@ x AS (SELECT feature, n_ref * n_cur / (n_ref + n_cur) * ks * ks AS x FROM num),
 s AS (SELECT feature, x, sum(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * j * j * x)) AS t FROM x, (SELECT unnest(range(1, 101)) AS j) q GROUP BY feature, x)
 SELECT feature, round(CASE WHEN x < 0.04 THEN 1 ELSE greatest(0, least(1, 2 * t)) END, 6) AS p_value FROM s""", DRIFT_VIEWS)
 def ks_p_values(spark, folder):
-    report = drift.drift_report(*_sides(spark, folder), NUMERIC, small_reference=ALWAYS_TEST)
+    report = drift.drift_report(*_sides(spark, folder), NUMERIC, method="test")
     return rounded(report.select("feature", "p_value"))
 
 
+@query("chi_square_p_values", f"""{BOTH},
+terms AS (SELECT feature, degrees, chi2 / 2 AS h, unnest(range(0, CAST(degrees // 2 AS BIGINT))) AS i FROM cat
+ WHERE degrees > 1 AND degrees % 2 = 0 AND chi2 < 1000)
+SELECT feature, round(sum(exp(i * ln(h) - lgamma(i + 1) - h)), 6) AS p_value FROM terms GROUP BY feature""", DRIFT_VIEWS)
+def chi_square_p_values(spark, folder):
+    """Columns with an even number of degrees of freedom, whose p-value is a finite sum."""
+    sides = _sides(spark, folder)
+    report = drift.drift_report(*sides, TEXT, method="test").filter("test = 'chi_square' AND statistic < 1000")
+    stacked = drift.stack(*sides, TEXT)
+    degrees = drift.category_frequencies(stacked, TEXT).groupBy("feature").agg((F.count("*") - 1).alias("degrees"))
+    return rounded(report.join(degrees.filter("degrees % 2 = 0"), "feature").select("feature", "p_value"))
+
+
 @query("category_frequencies", f"WITH {_frequency_cte()} SELECT feature, \"value\", CAST(ref AS BIGINT) AS ref, CAST(cur AS BIGINT) AS cur FROM freq", DRIFT_VIEWS)
 def category_frequencies(spark, folder):
     stacked = drift.stack(*_sides(spark, folder), TEXT)
@@ -137,7 +150,7 @@ def prediction_drift(spark, folder):
     cut = F.lit("1998-07-01").cast("timestamp_ntz")
     report = drift.prediction_drift(
         scored.filter(F.col("issue_ts") < cut), scored.filter(F.col("issue_ts") >= cut),
-        small_reference=ALWAYS_TEST,
+        method="test",
     )
     return rounded(report.select("feature", "test", "statistic"))
 
@@ -170,14 +183,20 @@ def batch_log(spark, folder):
 
 
 @query("performance_log_append", f"""
-WITH d AS ({DAILY}) SELECT {ROUNDED_LOG}, note FROM (SELECT *, NULL AS note FROM d UNION ALL SELECT *, 'second' AS note FROM d) u""", ("predictions",))
+WITH d AS ({DAILY}) SELECT {ROUNDED_LOG}, note FROM (SELECT *, 'first' AS note FROM d UNION ALL SELECT *, 'second' AS note FROM d) u""", ("predictions",))
 def performance_log_append(spark, folder):
     path = new_path(spark, "log")
     daily = _daily(spark, folder)
-    append_log(daily, path)
-    append_log(daily, path)
-    log = read_log(spark, path).dropDuplicates(["timestamp"])
-    return _texts(append_aligned(log, read_log(spark, path).dropDuplicates(["timestamp"]).withColumn("note", F.lit("second"))))
+    append_log(daily.withColumn("note", F.lit("first")), path)
+    append_log(daily.withColumn("note", F.lit("second")), path)
+    return _texts(read_log(spark, path))
+
+
+@query("aligned_append", f"""
+WITH d AS ({DAILY}) SELECT {ROUNDED_LOG}, note FROM (SELECT *, NULL AS note FROM d UNION ALL SELECT *, 'second' AS note FROM d) u""", ("predictions",))
+def aligned_append(spark, folder):
+    daily = _daily(spark, folder)
+    return _texts(append_aligned(daily, daily.withColumn("note", F.lit("second"))))
 
 
 @query("logged_batches", f"SELECT {ROUNDED_LOG} FROM ({DAILY.replace('GROUP BY 1', 'GROUP BY ALL')}) d", ("predictions",))
@@ -237,9 +256,24 @@ a AS (SELECT version, sum(pos * (coalesce(below, 0) + 0.5 * neg)) / (sum(pos) *
   SELECT *, sum(neg) OVER (PARTITION BY version ORDER BY p1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM g) h GROUP BY version)"""
 
 
-@query("metric_history", f"WITH {_metric_ctes('versions')} SELECT f.version, registered_at, round(f1, 6) AS metric_f1, round(roc_auc, 6) AS metric_roc_auc FROM f JOIN a ON f.version = a.version", ("versions",))
+@query("metric_history", f"WITH {_metric_ctes('versions')} SELECT f.version, registered_at, round(f1, 6) AS metric_f1, round(roc_auc, 6) AS metric_roc_auc, row_number() OVER (ORDER BY registered_at DESC, f.version) AS place FROM f JOIN a ON f.version = a.version", ("versions",))
 def metric_history(spark, folder):
-    return rounded(history.metric_history(history.metric_rows(view(spark, folder, "versions"))))
+    """``place`` is the row's place in the result as it comes."""
+    rows = history.metric_history(history.metric_rows(view(spark, folder, "versions")))
+    seen = rows.withColumn("seen", F.monotonically_increasing_id())
+    return rounded(seen.withColumn("place", F.row_number().over(Window.orderBy("seen")).cast("long")).drop("seen"))
+
+
+@query("evaluate_groups", f"""WITH g0 AS (SELECT CASE WHEN loan_id % 5 = 0 THEN 'a' WHEN loan_id % 5 = 1 THEN 'b' END AS version, 1 AS registered_at, y_true,
+ CASE WHEN loan_id % 5 <> 1 THEN p1 END AS p1 FROM scored), {_metric_ctes('g0')}
+SELECT f.version AS part, round(coalesce(f1, 0), 6) AS f1, round(CASE WHEN f.version IS DISTINCT FROM 'b' THEN roc_auc END, 6) AS roc_auc
+FROM f JOIN a ON f.version IS NOT DISTINCT FROM a.version""", ("scored",))
+def evaluate_groups(spark, folder):
+    """Groups without scores and without a name keep their row."""
+    fifth = F.col("loan_id") % 5
+    rows = view(spark, folder, "scored").select(
+        F.when(fifth == 0, "a").when(fifth == 1, "b").alias("part"), "y_true", F.when(fifth != 1, F.col("p1")).alias("p1"))
+    return rounded(evaluate(rows, "y_true", "p1", ["part"]).withColumn("f1", F.coalesce("f1", F.lit(0.0))))
 
 
 @query("compare_versions", f"""WITH {_metric_ctes('versions')}, m AS (
@@ -317,11 +351,42 @@ SELECT count(*) FILTER (WHERE drifted) / count(*) >= 0.5 AS drift_detected,
  coalesce(string_agg(CASE WHEN drifted THEN feature END, ',' ORDER BY feature), '') AS drifted_features,
  count(*) FILTER (WHERE drifted) / count(*) AS drift_share, count(*) AS total_features FROM r""")
 def stream_drift(spark, folder):
+    """The whole stream as one micro-batch."""
     out = new_path(spark, "stream-drift")
     reference = view(spark, folder, "events").withColumn("value", F.col("value") * 2)
     _run(jobs.stream_drift(
         _incoming(spark, folder), reference, ["value", "event_type"], out, new_path(spark, "stream-drift-state"),
-        small_reference=ALWAYS_MEASURE,
+        method="distance",
     ))
     results = spark.read.parquet(out).drop("batch_id")
     return results.withColumn("drifted_features", F.array_join("drifted_features", ","))
+
+
+def _batch_drift(k: int) -> str:
+    """Drift of the events whose id leaves ``k`` modulo 2, as SQL."""
+    return f"""SELECT {k} AS batch_id, count(*) FILTER (WHERE drifted) / count(*) AS drift_share, count(*) AS total_features,
+ round(max(d) FILTER (WHERE feature = 'value'), 6) > 0 AS moved FROM (
+ SELECT 'value' AS feature, d, d >= 0.1 AS drifted FROM (SELECT sum(gap * (nxt - v)) / (SELECT stddev_pop(value * 2) FROM events) AS d FROM (
+  SELECT v, lead(v) OVER (ORDER BY v) AS nxt, abs(sum(r) OVER (ORDER BY v) / (SELECT count(*) FROM events)
+    - sum(c) OVER (ORDER BY v) / (SELECT count(*) FROM events WHERE event_id % 2 = {k})) AS gap FROM (
+   SELECT v, sum(r) AS r, sum(c) AS c FROM (SELECT value * 2 AS v, 1 AS r, 0 AS c FROM events
+    UNION ALL SELECT value, 0, 1 FROM events WHERE event_id % 2 = {k}) u GROUP BY v) g) x) w
+ UNION ALL SELECT 'event_type', d, d >= 0.1 FROM (SELECT sqrt(sum(
+   CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2) AS d FROM (
+  SELECT event_type, count(*) / (SELECT count(*) FROM events) AS p, count(*) FILTER (WHERE event_id % 2 = {k})
+    / (SELECT count(*) FROM events WHERE event_id % 2 = {k}) AS q FROM events GROUP BY event_type) y) t) r"""
+
+
+@query("stream_drift_batches", f"SELECT batch_id, drift_share, total_features FROM ({_batch_drift(0)} UNION ALL {_batch_drift(1)}) b")
+def stream_drift_batches(spark, folder):
+    """Two files, two micro-batches, two summaries."""
+    events, source = view(spark, folder, "events"), new_path(spark, "events")
+    for k in (0, 1):
+        events.filter(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(source)
+    out = new_path(spark, "stream-drift")
+    incoming = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    _run(jobs.stream_drift(
+        incoming, events.withColumn("value", F.col("value") * 2), ["value", "event_type"], out,
+        new_path(spark, "stream-drift-state"), method="distance",
+    ))
+    return spark.read.parquet(out).select(F.col("batch_id").cast("int").alias("batch_id"), "drift_share", "total_features")

@@ -86,12 +86,14 @@ def valid_applications(spark, folder):
 
 @query("rejected_applications", REASONS + """
 SELECT loan_id, concat_ws(',', CASE WHEN int_rate IS NOT NULL AND rate IS NULL THEN 'type:int_rate' END,
-  CASE WHEN annual_inc IS NULL THEN 'missing:annual_inc' END, CASE WHEN dti IS NULL THEN 'missing:dti' END) AS reasons
+  CASE WHEN annual_inc IS NULL THEN 'missing:annual_inc' END, CASE WHEN dti IS NULL THEN 'missing:dti' END) AS reasons,
+  CASE WHEN int_rate IS NOT NULL AND rate IS NULL THEN 'int_rate=' || int_rate ELSE '' END AS refused
 FROM t WHERE rate IS NULL OR annual_inc IS NULL OR dti IS NULL""", ("applications",))
 def rejected_applications(spark, folder):
     checked = intake.check_applications(view(spark, folder, "applications"))
     rejected = intake.rejected_applications(checked)
-    return rejected.select("loan_id", F.array_join("reasons", ",").alias("reasons"))
+    joined = {c: F.array_join(c, ",") for c in ("reasons", "refused")}
+    return rejected.select("loan_id", *[text.alias(c) for c, text in joined.items()])
 
 
 @query("rejection_counts", REASONS + """
@@ -272,6 +274,19 @@ def weakest_correlations(spark, folder):
     return rounded(eda.weakest(rounded(eda.correlation_with(_with_default(spark, folder), "default")), 4))
 
 
+WIDE = tuple(f"x{i}" for i in range(1, 31))
+WIDE_COLUMNS = ", ".join(f"l_quantity * {i} + l_partkey % {i + 7} + l_discount * l_linenumber AS {c}" for i, c in enumerate(WIDE, 1))
+
+
+@query("wide_target_correlation", f"WITH w AS (SELECT l_extendedprice, {WIDE_COLUMNS} FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(corr({c}, l_extendedprice), 6) AS correlation FROM w" for c in (*WIDE, "l_extendedprice")
+))
+def wide_target_correlation(spark, folder):
+    """More numeric columns than a chart shows: every one has its row."""
+    rows = spark.sql(f"SELECT l_extendedprice, {WIDE_COLUMNS} FROM {{lineitem}}", lineitem=view(spark, folder, "lineitem"))
+    return rounded(eda.correlation_with(rows, "l_extendedprice"))
+
+
 MATRIX = ["loan_amnt", "int_rate", "annual_inc", "dti", "revol_bal", '"default"']
 
 

@@ -76,8 +76,8 @@ FROM {events}
 REFERENCE = "SELECT * FROM {loans} WHERE issue_ts < TIMESTAMP '1998-07-01 00:00:00'"
 
 CURRENT = """
-SELECT loan_id, loan_amnt * 2 AS loan_amnt, term, installment, grade, emp_length, annual_inc, dti,
-       delinq_2yrs, fico_range_high, revol_bal, loan_status
+SELECT loan_id, loan_amnt * 2 AS loan_amnt, term, int_rate, installment, grade, emp_length, annual_inc, dti,
+       delinq_2yrs, fico_range_high, revol_bal, revol_util, note, half_note, total_pymnt, recoveries, loan_status
 FROM {loans} WHERE issue_ts >= TIMESTAMP '1998-07-01 00:00:00'
 """
 
