@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +45,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables that are written inside, when the block ends.
+
+    For jobs that write their results before they leave the block: what a DataFrame still has to
+    read is gone afterwards.
+    """
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNERS.pop():
+            remove(spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has written to yet."""
-    return f"{shared_folder(spark).rstrip('/')}/riskspark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/riskspark/{name}-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:

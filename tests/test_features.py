@@ -172,3 +172,16 @@ def test_log_appends_and_aligns(spark):
     assert read_log(spark, path).count() == 2
     wider = append_aligned(rows, spark.createDataFrame([(3,)], "a int"))
     assert [tuple(r) for r in wider.collect()] == [(1, 2.0), (3, None)]
+
+
+def test_intermediate_tables_go_with_their_owner(spark, tmp_path):
+    import glob
+
+    from riskspark.session import cut_lineage, intermediates, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:").rstrip("/")
+    before = set(glob.glob(f"{folder}/riskspark/*"))
+    with intermediates(spark):
+        cut_lineage(spark.range(10), "owned").write.parquet(str(tmp_path / "result"))
+    assert set(glob.glob(f"{folder}/riskspark/*")) == before
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 10
