@@ -12,8 +12,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,28 +77,35 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFra
 
 def _runs(sources: DataFrame, seed: int, shards: int) -> DataFrame:
     """Draw each source's slots over the shards; a row is a run of a shard's slots of a source."""
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, number, slots in zip(frame["source"], frame["number"], frame["slots"]):
-                rng = np.random.default_rng([seed, int(number)])
-                counts = rng.multinomial(int(slots), np.full(shards, 1 / shards))
-                starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
-                yield pd.DataFrame({
-                    "number": int(number), "shard": np.arange(shards, dtype=np.int32), "first": starts, "count": counts})
-
-    drawn = sources.select("source", "number", "slots").mapInPandas(draw, "number long, shard int, first long, count long")
+    names = ["number", "shard", "first", "count"]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, slots in zip(batch.column("number").to_pylist(), batch.column("slots").to_pylist()):
+                counts = np.random.default_rng([seed, number]).multinomial(slots, np.full(shards, 1 / shards))
+                counts = counts.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(shards, number)), pa.array(np.arange(shards, dtype=np.int32)),
+                    pa.array(np.cumsum(counts) - counts), pa.array(counts)], names=names)
+
+    drawn = sources.select("number", "slots").mapInArrow(draw, "number long, shard int, first long, count long")
     runs = F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("count") - 1) / RUN).cast("long")))
     return drawn.where("count > 0").withColumn("run", runs)
 
 
-def _key(number: Column, turn: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), number, turn)
+def _moved(slots: DataFrame) -> DataFrame:
+    """Add ``moved``: the full block that the permutation ``key`` puts at ``turn``; -1 past the full blocks."""
+    schema = T.StructType([*slots.schema.fields, T.StructField("moved", T.LongType())])
 
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turn, full, key = (batch.column(c).to_numpy() for c in ("turn", "full", "key"))
+            inside = np.flatnonzero(turn < full)
+            moved = np.full(len(turn), -1, np.int64)
+            moved[inside] = permuted(turn[inside], full[inside], key[inside].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(moved)], names=schema.names)
 
-@F.pandas_udf(T.LongType())
-def _permuted(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series(permuted(index.to_numpy(), size.to_numpy(), key.to_numpy().astype(np.uint64)))
+    return slots.mapInArrow(move, schema)
 
 
 def mix_sources(
@@ -151,15 +158,13 @@ def mix_sources(
     turn = F.col("slot") - F.col("pass") * F.col("blocks")
     # The block that may be short is the last of every pass, so what stands before a slot is known.
     full = F.floor(F.col("source_size") / block_words)
-    whole = _permuted(F.least("turn", F.col("full") - 1), F.col("full"), _key(F.col("number"), F.col("pass"), seed))
     before = F.col("pass") * F.col("source_size") + F.col("turn") * block_words
     length = F.least(F.lit(block_words), F.col("source_size") - F.col("turn") * block_words)
-    dealt = dealt.withColumns({"turn": turn, "full": full})
-    moved = dealt.where("full > 0").withColumn("moved", whole).unionByName(
-        dealt.where("full = 0").withColumn("moved", F.lit(0).cast("long")))
-    moved = moved.select(
+    key = F.xxhash64(F.lit(seed), "number", "pass")
+    dealt = _moved(dealt.withColumns({"turn": turn, "full": full, "key": key}))
+    moved = dealt.select(
         "shard", "number", "slot", "pass",
-        F.when(F.col("turn") < F.col("full"), F.col("moved")).otherwise(F.col("full")).alias("block"),
+        F.when(F.col("moved") >= 0, F.col("moved")).otherwise(F.col("full")).alias("block"),
         F.least(length, F.col("taken") - before).alias("words"),
     )
     slots = cut_lineage(moved, "slots")
