@@ -20,7 +20,7 @@ from riskspark.llm.common import extended, slices
 
 #: A block with more of its characters in links is no main text; so is a short block with any.
 MOST_LINKS = 0.5
-#: Characters up to which a block is short, and from which one rich in stop words is surely main text.
+#: Characters up to which a block is short, and from which one without many links is main text in any language.
 SHORT, LONG = 70, 200
 #: Share of stop words from which a block reads like prose, and from which it surely does.
 SOME_STOPS, MANY_STOPS = 0.15, 0.3
@@ -37,6 +37,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split())
+#: Elements that are looked at only if they have attributes.
+_PLAIN = _INLINE | {"p", "li"}
 #: Elements whose content is never main text.
 _DROPPED = frozenset(
     "head nav footer aside form button select textarea input fieldset menu menuitem dialog noscript template iframe object "
@@ -46,11 +48,11 @@ _RAW = frozenset("script style xmp textarea title noembed noframes iframe plaint
 #: Words of class, id or role that mark what is around the main text.
 _AROUND = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav "
-    "navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent notice notices gdpr newsletter "
-    "subscribe subscription signup share sharing social comment comments reply replies disqus discussion related "
+    "navbar topnav sidenav subnav navigation skip breadcrumb breadcrumbs footer masthead topbar cookie cookies consent notice notices gdpr newsletter "
+    "subscribe subscription signup share sharing social comment comments reply replies disqus discussion responses related "
     "recommended recommendations widget popup modal overlay login search pagination pager copyright toolbar "
-    "contentinfo complementary dialog alertdialog alert".split())
-_HEADERS = frozenset(["header", "banner"])
+    "disclaimer legal contentinfo complementary dialog alertdialog alert".split())
+_HEADERS = frozenset(["header"])
 _LANDMARK, _OF_LANDMARK = frozenset("article entry post story main".split()), frozenset("content body text".split())
 
 _TOKEN = re.compile(
@@ -141,11 +143,11 @@ def blocks_of(page: str) -> list[Block]:
         if name in ("p", "li", "a", "option", "dd", "dt", "tr", "td", "th") and stack[-1][0] == name:
             pop_to(name)
         _, around, landmark, link, heading = stack[-1]
-        if not around and name not in _INLINE | {"p", "li", "b", "br"} or "=" in inside:
+        if not around and name not in _PLAIN or "=" in inside:
             words, found = _marks(inside)
-            around = around or name in _DROPPED or bool(words & (_AROUND - _HEADERS)) and not _is_landmark(name, words, found)
+            around = around or name in _DROPPED or bool(words & _AROUND) and not _is_landmark(name, words, found)
             header = name == "header" or bool(words & _HEADERS)
-            around = around or header and not landmark and not words & _LANDMARK
+            around = around or header and not landmark and not words & (_LANDMARK - {"main"})
             around = around or "aria-hidden" in found and found["aria-hidden"] == "true"
             around = around or bool(re.search(r"\shidden(\s|$|=)", inside)) or "display:none" in found.get(
                 "style", "").replace(" ", "").lower()
@@ -160,7 +162,7 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _is_landmark(name: str, words: set[str], found: dict[str, str]) -> bool:
-    if words & (_AROUND - {"banner"}):
+    if words & _AROUND:
         return False
     return name in ("article", "main") or "main" in words and found.get("role", "").lower() == "main" or found.get(
         "itemprop", "").lower() == "articlebody" or bool(words & _LANDMARK and words & _OF_LANDMARK)
@@ -184,7 +186,7 @@ def labels_of(blocks: list[Block]) -> list[bool]:
             labels.append(True)  # the page itself says where its article is
         elif len(block.text) <= SHORT:
             labels.append(False if density > 0 and not within else None)
-        elif stops >= MANY_STOPS or stops >= SOME_STOPS and len(block.text) > LONG:
+        elif stops >= MANY_STOPS or len(block.text) > LONG:
             labels.append(True)
         else:
             labels.append(None)
