@@ -27,8 +27,10 @@ from pyspark.sql import types as T
 from riskspark.llm.vectors import by_width, drawn, matrix, usable
 from riskspark.session import cut_lineage
 
-#: Routing objects at the top (the bound of the sample), vectors of a page, entries of a leaf and of a node.
-ROUTES, PAGE, LEAF, FANOUT = 256, 4096, 64, 16
+#: Routing objects at the top (the bound of the sample), and the vectors that ask for one more of them.
+ROUTES, PER_ROUTE = 256, 2048
+#: Vectors of a page, entries of a leaf and of a node.
+PAGE, LEAF, FANOUT = 4096, 64, 16
 #: Queries that search a page together.
 QUERIES = 4096
 #: Rounding errors of distances are far smaller; squared distances of different scores differ by 2 at least.
@@ -271,8 +273,10 @@ def top_k(
     entries = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = cut_lineage(entries.withColumn("width", F.size("vector")), "entries")
     square = F.aggregate("vector", F.lit(0).cast("long"), lambda total, x: total + x * x)
-    norm = float(entries.agg(F.max(square)).first()[0] or 0)
-    sample = drawn(entries, F.xxhash64("vector"), ROUTES).select("vector").collect()
+    total, norm = entries.agg(F.count("*"), F.max(square)).first()
+    norm = float(norm or 0)
+    most = min(ROUTES, -(-total // PER_ROUTE) or 1)
+    sample = drawn(entries, F.xxhash64("vector"), most).select("vector").collect()
     points: dict[int, list] = {}
     for row in sample:
         points.setdefault(len(row["vector"]), []).append(row["vector"])
