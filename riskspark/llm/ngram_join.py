@@ -7,9 +7,9 @@ shingle that both prefixes hold, are filtered by size and by the place of the sh
 their members. Members pass a bound from parity bitmaps before the texts themselves are compared.
 
 Exact copies of a set are one node. In a first round each list gives only a spanning forest of the pairs
-that pass; in a second one all pairs that pass and are not connected yet. So no list gives all of its
-pairs, and no pair that could connect two components is left out. A list is worked on in blocks of
-BLOCK members against BLOCK members, so that a frequent shingle is neither one task nor one array.
+that pass, the closest ones first; in a second one all pairs that pass and are not connected yet. So no
+list gives all of its pairs, and no pair that could connect two components is left out. A list is worked on
+in blocks of BLOCK members against BLOCK members, so that a frequent shingle is neither one task nor one array.
 """
 
 from __future__ import annotations
@@ -26,14 +26,17 @@ from riskspark.llm.common import mix, shingles_of, slices
 from riskspark.llm.graph import components
 from riskspark.session import cut_lineage
 
-#: Counters of shingle frequency. Several shingles share one; it only orders shingles and changes no result.
-COUNTERS = 1 << 16
+#: Counters of shingle frequency, and those that travel in one row. Several shingles share a counter; it only
+#: orders shingles and changes no result.
+COUNTERS, SEGMENT = 1 << 20, 1 << 10
 #: Members of a list that are held against each other at once.
 BLOCK = 1024
+#: Lists up to this length are compared many at a time.
+SMALL = 64
 #: Bits of a set's parity bitmap.
-BITS = 2048
+BITS = 1024
 
-_WEIGHTS = T.StructType([T.StructField("counter", T.IntegerType()), T.StructField("n", T.LongType())])
+_SEGMENTS = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 _SETS = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("size", T.LongType()),
@@ -61,20 +64,31 @@ def _counters(shingles: np.ndarray) -> np.ndarray:
 
 
 def _weights(docs: DataFrame, width: int) -> np.ndarray:
-    """Occurrences per counter over all documents: a table of fixed size."""
+    """A coarse logarithm of the occurrences per counter over all documents: a table of fixed size."""
+
+    def packed(totals: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for segment, counts in totals.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([segment], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=_SEGMENTS.names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in slices(batches, "text"):
-            sets = shingles_of(batch.column("text"), width)
-            total += np.bincount(_counters(np.concatenate(sets)), minlength=COUNTERS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["counter", "n"])
+            total += np.bincount(_counters(np.concatenate(shingles_of(batch.column("text"), width))), minlength=COUNTERS)
+        yield from packed(dict(enumerate(total.reshape(-1, SEGMENT))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, counts in zip(batch.column("segment").to_pylist(), batch.column("counts").to_pylist()):
+                totals[segment] = totals.get(segment, 0) + np.frombuffer(counts, np.int64)
+        yield from packed(totals)
 
-    out = np.zeros(COUNTERS, np.int64)
-    counted = docs.select("text").mapInArrow(count, _WEIGHTS).groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    out[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
-    return out
+    counted = docs.select("text").mapInArrow(count, _SEGMENTS).repartition("segment").mapInArrow(add, _SEGMENTS)
+    out = np.zeros((COUNTERS // SEGMENT, SEGMENT), np.int64)
+    for row in counted.collect():  # COUNTERS numbers, whatever the input
+        out[row["segment"]] = np.frombuffer(row["counts"], np.int64)
+    return np.minimum(8 * np.log2(out.ravel() + 1), 255).astype(np.uint8)
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -87,7 +101,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
             prefixes = []
             for shingles in sets:
                 first = len(shingles) - -(-percent * len(shingles) // 100) + 1 if len(shingles) else 0
-                order = np.lexsort((shingles, weights.value[_counters(shingles)]))[:first]
+                order = np.argsort(weights.value[_counters(shingles)], kind="stable")[:first]  # then by hash
                 prefixes.append(shingles[order])
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes).astype(np.int64)
@@ -108,65 +122,71 @@ def _bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _members(texts: DataFrame, width: int) -> DataFrame:
+def _members(met: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """A text and a bitmap for each set in ``met``, from the document that stands for it."""
+    told = docs.withColumn("print", F.xxhash64("text")).join(met.select("doc_id", "set_id"), "doc_id")
+    told = told.dropDuplicates(["doc_id", "set_id", "print"]).select("set_id", "text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingles_of(batch.column("text"), width)
+            own = np.array([_signature(s) for s in sets]) == batch.column("set_id").to_numpy()
             yield pa.RecordBatch.from_arrays([
-                pa.array([_signature(s) for s in sets], pa.int64()),
-                pa.array([_bitmap(s) for s in sets], pa.binary()),
-                batch.column("text"),
-            ], names=_MEMBERS.names)
+                batch.column("set_id"), pa.array([_bitmap(s) for s in sets], pa.binary()), batch.column("text"),
+            ], names=_MEMBERS.names).filter(pa.array(own))
 
-    return texts.mapInArrow(run, _MEMBERS)
+    return told.mapInArrow(run, _MEMBERS)
 
 
 def _postings(groups: DataFrame) -> DataFrame:
-    """Each group in the lists of its prefix; lists that hold one member in all are left out."""
-    every = groups.select(F.posexplode("prefix").alias("place", "shingle"), "prefix_id", "size", "members")
-    total = F.sum("members").over(Window.partitionBy("shingle"))
-    return every.withColumn("total", total).where("total > 1")
+    """Each group in the lists of its prefix. Lists of one group are left out, but one per group of several sets."""
+    place = F.col("at") * 2 + F.when(F.col("several"), 1).otherwise(0)
+    every = groups.select(F.posexplode("prefix").alias("at", "shingle"), "prefix_id", "several")
+    every = every.select("shingle", "prefix_id", place.alias("packed"))
+    total = F.count("*").over(Window.partitionBy("shingle"))
+    met = every.withColumn("total", total).where("total > 1 OR packed = 1")
+    return met.select("shingle", "prefix_id", F.expr("packed div 2").cast("int").alias("place"))
 
 
-def _lists(postings: DataFrame, members: DataFrame) -> DataFrame:
+def _lists(postings: DataFrame, met: DataFrame) -> DataFrame:
     """Members of each shingle's list, with the block of the list they are compared in.
 
     A list of up to BLOCK members is one block. A longer one is dealt into parts; a member goes to the block
     of its own part with every part.
     """
-    parts = F.ceil(F.col("total") / BLOCK).cast("int")
-    entries = postings.join(members.select("prefix_id", "set_id", "bitmap"), "prefix_id").withColumn("parts", parts)
+    entries = cut_lineage(postings.join(met.select("prefix_id", "size", "set_id"), "prefix_id"), "entries")
+    long = entries.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    entries = entries.join(long, "shingle", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     entries = entries.withColumn("own", F.pmod(F.xxhash64("set_id"), "parts").cast("int"))
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return entries.select(
         "shingle", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"), "own",
-        "prefix_id", "size", "place", "set_id", "bitmap",
+        "prefix_id", "size", "place", "set_id",
     )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The blocks of sorted rows, one after the other."""
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted rows as arrays, cut between blocks; ``start`` is the place of each block, and the end."""
     held = None
     for batch in _and_then(batches, None):
         if batch is not None:
             held = batch if held is None else pa.concat_batches([held, batch])
-            if not held.num_rows:
-                continue
         if held is None or not held.num_rows:
             continue
         rows = {c: held.column(c).to_numpy(zero_copy_only=False) for c in held.schema.names if c != "bitmap"}
-        packed = held.column("bitmap").cast(pa.binary(BITS // 8))
-        rows["bitmap"] = np.frombuffer(packed.buffers()[1], np.uint64).reshape(-1, BITS // 64)[
-            packed.offset : packed.offset + len(packed)]
+        if "bitmap" in held.schema.names:
+            packed = held.column("bitmap").cast(pa.binary(BITS // 8))
+            words = np.frombuffer(packed.buffers()[1], np.uint64).reshape(-1, BITS // 64)
+            rows["bitmap"] = words[packed.offset : packed.offset + len(packed)]
         change = np.zeros(held.num_rows - 1, bool)
         for c in ("shingle", "row", "column"):
             change |= rows[c][1:] != rows[c][:-1]
-        edges = [0, *(np.flatnonzero(change) + 1).tolist(), held.num_rows]
-        last = len(edges) - 1 if batch is None else len(edges) - 2
-        for start, end in zip(edges[:last], edges[1 : last + 1]):
-            if end - start > 1:
-                yield {c: values[start:end] for c, values in rows.items()}
-        held = held.slice(edges[last])
+        start = np.concatenate([[0], np.flatnonzero(change) + 1, [held.num_rows]])
+        if batch is not None:
+            start = start[:-1]  # the last block may go on
+        if len(start) > 1:
+            yield {c: values[: start[-1]] for c, values in rows.items()} | {"start": start}
+        held = held.slice(int(start[-1]))
 
 
 def _and_then(batches: Iterator, last: object) -> Iterator:
@@ -174,60 +194,114 @@ def _and_then(batches: Iterator, last: object) -> Iterator:
     yield last
 
 
-def _passing(block: dict[str, np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of members and of those they may be linked with: first group by group, then member by member."""
-    own, size, place, bitmaps = block["own"], block["size"], block["place"].astype(np.int64), block["bitmap"]
-    same = block["row"][0] == block["column"][0]
-    left, right = np.flatnonzero(own == block["row"][0]), np.flatnonzero(own == block["column"][0])
-    _, first, group = np.unique(block["prefix_id"], return_index=True, return_inverse=True)
-    a, b = size[first][:, None], size[first][None, :]
+def _close(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Of pairs of places, those that may be linked: by size and place of their groups, then by bitmaps.
+
+    The third array tells how much of what two linked sets may differ in the bitmaps already differ.
+    """
+    a, b = rows["size"][x], rows["size"][y]
     need = -(-percent * (a + b) // (100 + percent))  # members that linked sets of these sizes share
-    i, j = place[first][:, None], place[first][None, :]
+    i, j = rows["place"][x].astype(np.int64), rows["place"][y].astype(np.int64)
     most = np.minimum(i, j) + 1 + np.minimum(a - 1 - i, b - 1 - j)
-    meet = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (most >= need)
-    spare = a + b - 2 * need
-    for x in left.tolist():
-        others = right[right > x] if same else right
-        others = others[meet[group[x], group[others]]]
-        if len(others):
-            apart = np.bitwise_count(bitmaps[others] ^ bitmaps[x]).sum(axis=1, dtype=np.int64)
-            others = others[apart <= spare[group[x], group[others]]]
-            if len(others):
-                yield x, others
+    meet = np.flatnonzero((100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (most >= need))
+    x, y, spare = x[meet], y[meet], (a + b - 2 * need)[meet]
+    if "bitmap" not in rows:
+        return x, y, spare
+    apart = np.bitwise_count(rows["bitmap"][x] ^ rows["bitmap"][y]).sum(axis=1, dtype=np.int64)
+    chosen = apart <= spare
+    return x[chosen], y[chosen], ((apart + 1) / (spare + 1))[chosen]
+
+
+def _joint(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(arrays) for arrays in zip(*parts))
+
+
+def _passing(rows: dict[str, np.ndarray], percent: int, short: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of places that may be linked: those of all small lists, then those of each longer block."""
+    start = rows["start"]
+    sizes = np.diff(start)
+    left = np.repeat(np.where(sizes <= SMALL, start[1:], start[:-1]), sizes) - np.arange(start[-1])  # rows to the block's end
+    within = rows["row"] == rows["column"]
+    parts = []
+    for step in range(1, min(SMALL, int(sizes.max()))):
+        x = np.flatnonzero((left > step) & (within | (rows["own"] != np.roll(rows["own"], -step))))
+        if len(x):
+            parts.append(_close(rows, x, x + step, percent))
+    if parts:
+        yield _joint(parts)
+    if short:
+        return
+    for first, end in zip(start[:-1][sizes > SMALL].tolist(), start[1:][sizes > SMALL].tolist()):
+        places, parts = np.arange(first, end), []
+        own, row = rows["own"][first:end], rows["row"][first]
+        for x in places[own == row].tolist():
+            others = places[places > x] if row == rows["column"][first] else places[own != row]
+            parts.append(_close(rows, np.full(len(others), x), others, percent))
+        if parts:
+            yield _joint(parts)
+
+
+def _sorted_blocks(lists: DataFrame) -> DataFrame:
+    block = ("shingle", "row", "column")
+    return lists.repartition(*block).sortWithinPartitions(*block)
 
 
-def _candidates(lists: DataFrame, percent: int, labelled: bool) -> DataFrame:
-    """Pairs to verify: a spanning forest per block, or with labels each pair of two components."""
+def _open_lists(lists: DataFrame, percent: int) -> DataFrame:
+    """Of the entries of short lists, those with another one that size and place allow a link with."""
+    names = lists.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            ids = block["set_id"]
-            found: list[tuple[int, int]] = []
-            root = list(range(len(ids)))
-            for x, others in _passing(block, percent):
+        for rows in _whole_blocks(batches):
+            sizes = np.diff(rows["start"])
+            kept = np.repeat(sizes > SMALL, sizes)
+            for x, y, _ in _passing(rows, percent, short=True):
+                kept[x] = kept[y] = True
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c][kept]) for c in names], names=names)
+
+    return _sorted_blocks(lists).mapInArrow(run, lists.schema)
+
+
+def _forest(xs: np.ndarray, ys: np.ndarray, apart: np.ndarray, size: int) -> np.ndarray:
+    """A spanning forest of pairs of places, the closest pairs first."""
+    order = np.argsort(apart, kind="stable")
+    root, forest = list(range(size)), []
+    for x, y in zip(xs[order].tolist(), ys[order].tolist()):
+        p, q = x, y
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        while root[q] != q:
+            root[q] = q = root[root[q]]
+        if p != q:
+            root[q] = p
+            forest.append((x, y))
+    return np.array(forest, np.int64).reshape(-1, 2)
+
+
+def _candidates(lists: DataFrame, members: DataFrame, percent: int, labelled: bool) -> DataFrame:
+    """Pairs to verify: a spanning forest of each block, or with labels each pair of two components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_blocks(batches):
+            found = []
+            for xs, ys, apart in _passing(rows, percent):
                 if labelled:
-                    found += [(x, y) for y in others[block["component"][others] != block["component"][x]].tolist()]
-                    continue
-                for y in others.tolist():
-                    p, q = x, y
-                    while root[p] != p:
-                        root[p] = p = root[root[p]]
-                    while root[q] != q:
-                        root[q] = q = root[root[q]]
-                    if p != q:
-                        root[q] = p
-                        found.append((x, y))
+                    two = rows["component"][xs] != rows["component"][ys]
+                    found.append(np.stack([xs[two], ys[two]], axis=1))
+                else:
+                    found.append(_forest(xs, ys, apart, int(rows["start"][-1])))
             if found:
-                pairs = np.sort(ids[np.array(found)], axis=1)
+                pairs = np.unique(np.sort(rows["set_id"][np.concatenate(found)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=_PAIRS.names)
 
-    block = ("shingle", "row", "column")
-    return lists.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, _PAIRS).distinct()
+    marked = lists.join(members.select("set_id", "bitmap"), "set_id")
+    return _sorted_blocks(marked).mapInArrow(run, _PAIRS).distinct()
 
 
 def _verified(pairs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs, those whose sets are similar enough, by the texts themselves."""
-    texts = members.select("set_id", "text")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    texts = members.select("set_id", "text").join(wanted, "set_id", "left_semi")
     both = (
         pairs.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("second")), "b")
         .join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("first")), "a")
@@ -265,28 +339,27 @@ def similar_groups(
     sets = cut_lineage(_sets(docs, width, percent), "sets")
     filled = sets.where("size > 0 AND doc_id IS NOT NULL")
     nodes = filled.groupBy("set_id", "size", "prefix_id").agg(F.min("doc_id").alias("doc_id"))
-    groups = filled.groupBy("prefix_id", "size").agg(
-        F.any_value("prefix").alias("prefix"), F.approx_count_distinct("set_id").alias("about"),
-        F.min("set_id").alias("least"), F.max("set_id").alias("most"),
-    )
-    one = F.col("least") == F.col("most")
-    groups = groups.withColumn("members", F.when(one, 1).otherwise(F.greatest("about", F.lit(2))))
+    groups = filled.groupBy("prefix_id").agg(
+        F.any_value("prefix").alias("prefix"), (F.min("set_id") != F.max("set_id")).alias("several"))
     postings = cut_lineage(_postings(groups), "postings")
     met = cut_lineage(nodes.join(postings.select("prefix_id").distinct(), "prefix_id", "left_semi"), "met")
-    texts = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    members = _members(texts, width).dropDuplicates(["set_id"]).join(met.select("set_id", "prefix_id"), "set_id")
-    members = cut_lineage(members, "members")
-    lists = cut_lineage(_lists(postings, members), "lists")
+    lists = cut_lineage(_open_lists(_lists(postings, met), percent), "lists")
+    met = met.join(lists.select("set_id").distinct(), "set_id", "left_semi")
+    members = cut_lineage(_members(met, docs, width), "members")
 
-    tried = cut_lineage(_candidates(lists, percent, False), "tried")
+    tried = cut_lineage(_candidates(lists, members, percent, False), "tried")
     links = cut_lineage(_verified(tried, members, width, percent), "links")
     repeated = filled.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a != b")
     repeated = filled.select("doc_id", F.col("set_id").alias("b")).join(repeated.select("doc_id", "a"), "doc_id")
     edges = links.unionByName(repeated.select("a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = components(edges)
     component = F.coalesce("component", "set_id").alias("component")
+    block = ["shingle", "row", "column"]
     joined = lists.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", component)
-    rest = _candidates(joined, percent, True).join(tried, ["a", "b"], "left_anti")
+    joined = cut_lineage(joined, "labelled")
+    open_blocks = joined.groupBy(*block).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    joined = joined.join(open_blocks.where("low != high").select(*block), block, "left_semi")
+    rest = _candidates(joined, members, percent, True).join(tried, ["a", "b"], "left_anti")
     more = cut_lineage(_verified(rest, members, width, percent), "links")
     edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(
         more.select(F.col("a").alias("u"), F.col("b").alias("v")))
