@@ -266,7 +266,7 @@ def metric_history(spark, folder):
 
 @query("evaluate_groups", f"""WITH g0 AS (SELECT CASE WHEN loan_id % 5 = 0 THEN 'a' WHEN loan_id % 5 = 1 THEN 'b' END AS version, 1 AS registered_at, y_true,
  CASE WHEN loan_id % 5 <> 1 THEN p1 END AS p1 FROM scored), {_metric_ctes('g0')}
-SELECT f.version AS part, round(coalesce(f1, 0), 6) AS f1, round(CASE WHEN f.version IS DISTINCT FROM 'b' THEN roc_auc END, 6) AS roc_auc
+SELECT f.version AS part, round(CASE WHEN f.version = 'b' THEN CAST(0 AS DOUBLE) ELSE f1 END, 6) AS f1, round(CASE WHEN f.version IS DISTINCT FROM 'b' THEN roc_auc END, 6) AS roc_auc
 FROM f JOIN a ON f.version IS NOT DISTINCT FROM a.version""", ("scored",))
 def evaluate_groups(spark, folder):
     """Groups without scores and without a name keep their row."""
