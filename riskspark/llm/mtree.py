@@ -30,7 +30,7 @@ from riskspark.session import cut_lineage
 #: Routing objects at the top (the bound of the sample), and the vectors that ask for one more of them.
 ROUTES, PER_ROUTE = 256, 2048
 #: Vectors of a page, entries of a leaf and of a node.
-PAGE, LEAF, FANOUT = 4096, 64, 16
+PAGE, LEAF, FANOUT = 4096, 512, 16
 #: Queries that search a page together.
 QUERIES = 4096
 #: Rounding errors of distances are far smaller; squared distances of different scores differ by 2 at least.
@@ -111,8 +111,12 @@ class Page:
                     turn += 1
                     heapq.heappush(queue, (float(lowest[i]), turn, node.children[open_at[i]], float(far[i])))
                 continue
-            places = node.places[gap <= reach]
+            near = gap <= reach
+            places = node.places if near.all() else node.places[near]
             scores = self.vectors[places] @ query
+            if len(scores) > k + 1:
+                # One entry may be the query's own; what is below the next k is not among the best.
+                floor = max(floor, float(np.partition(scores, -k - 1)[-k - 1]))
             for i in np.flatnonzero(scores >= floor).tolist():
                 score = int(scores[i])
                 for other in self.ids[places[i]].tolist():
@@ -124,7 +128,7 @@ class Page:
                         heapq.heapreplace(best, (score, -other))
                     else:
                         break  # further ids of an entry are larger
-            if len(best) == k and best[0][0] > floor:
+            if len(best) == k and best[0][0] >= floor:
                 floor = float(best[0][0])
                 reach = np.sqrt(max(whole - 2 * floor, 0)) + SLACK
         return [(score, -other) for score, other in sorted(best, reverse=True)]
@@ -230,13 +234,15 @@ def _searched(visits: DataFrame, entries: DataFrame, tops: DataFrame, norm: floa
     def run(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
         if len(asking) and len(held):
-            vectors = np.stack(held["vector"].to_list()).astype(np.int64)
+            # Doubles are exact as long as all inner products are whole numbers below 2^53.
+            kind = np.float64 if norm < 2**52 else np.int64
+            vectors = np.stack(held["vector"].to_list()).astype(kind)
             points = _lifted(vectors, norm)
             root = build(points, np.arange(len(points)), points[0])
             page = Page(root, vectors, [np.asarray(x) for x in held["ids"]], norm)
             for name, vector, least in zip(asking["query_id"], asking["vector"], asking["least"]):
                 least = None if pd.isna(least) else int(least)
-                query = np.asarray(vector, np.int64)
+                query = np.asarray(vector, kind)
                 found += [(name, other, score) for score, other in page.search(query, name, k, least)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
 

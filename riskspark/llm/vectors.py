@@ -1,4 +1,4 @@
-"""What the two vector operators share: usable vectors, and pages of rows that are held against others."""
+"""What the two vector operators share: usable vectors, vectors as matrices, bounded samples."""
 
 from __future__ import annotations
 
