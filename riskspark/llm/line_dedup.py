@@ -46,11 +46,8 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     """Hashes of the lines on ``min_sites`` distinct sites or more."""
     if min_sites <= 1:
         return lines.select("h1", "h2").distinct()
-    # Most lines stand on one site. A line whose lowest and highest site agree needs no sketch.
-    seen = lines.groupBy("h1", "h2").agg(
-        F.min("site").alias("low"), F.max("site").alias("high"), F.count("*").alias("n"))
-    often = seen.where((F.col("low") != F.col("high")) & (F.col("n") >= min_sites)).select("h1", "h2")
-    sketched = lines.join(often, ["h1", "h2"]).groupBy("h1", "h2").agg(
+    # Each task sketches the sites of its own lines; a line that stands everywhere is one sketch a task.
+    sketched = lines.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_SIZE))).alias("about"))
     sketched = cut_lineage(sketched.where(F.col("about") >= min_sites * (1 - MARGIN)), "spread")
     sure = sketched.where(F.col("about") > min_sites * (1 + MARGIN)).select("h1", "h2")
