@@ -26,7 +26,7 @@ from riskspark.llm.common import extended, slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces and pairs that a worker keeps; both memories are emptied when full.
-KEPT_PIECES, KEPT_PAIRS = 1 << 18, 1 << 20
+KEPT_PIECES, KEPT_PAIRS = 1 << 17, 1 << 17
 
 
 class _Pieces(dict):

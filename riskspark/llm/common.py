@@ -21,7 +21,7 @@ BUCKET_ROWS = 8192
 #: Buckets whose sums one window adds up.
 FAN = 4096
 #: Bytes of text that a task works on at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
