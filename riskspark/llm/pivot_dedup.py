@@ -1,6 +1,6 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A sample of the vectors are the pivots. A vector is described by its nearest pivots in order of distance, and
+A sample of the vectors, less those near one already taken, are the pivots. A vector is described by its nearest pivots in order of distance, and
 stands in the inverted list of each. Vectors that share a list meet there, and those that share enough
 pivots are verified by their cosine. A pair that meets in several lists is worked on in that of its
 smallest common pivot only.
@@ -26,6 +26,9 @@ from riskspark.session import cut_lineage
 
 #: Pivots per square root of the number of vectors, and their bounds (the upper one bounds the sample).
 PIVOTS, FEWEST_PIVOTS, MOST_PIVOTS = 4, 64, 4096
+#: Cosine from which a sampled vector is too near a pivot to be one: a group of near copies, whatever its size, has
+#: few pivots, as the nearest of many almost equal ones would be told by each vector's noise.
+NEAR = 0.8
 #: Nearest pivots that describe a vector, and pivots that a pair shares to be verified.
 NEAREST, SHARED = 8, 2
 #: Rows that are held against each other at once.
@@ -40,6 +43,17 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
+def _apart(points: np.ndarray) -> np.ndarray:
+    """The points, in their order, whose cosine to every one taken before is below NEAR."""
+    points = _unit(points)
+    taken, covered = [], np.zeros(len(points), bool)
+    for i in range(len(points)):
+        if not covered[i]:
+            taken.append(i)
+            covered |= points @ points[i] >= NEAR
+    return points[taken]
+
+
 def _described(nodes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """Add ``pivots``: the nearest ones, nearest first; a length of vector that the sample lacks has one list."""
     shared = nodes.sparkSession.sparkContext.broadcast(pivots)  # MOST_PIVOTS vectors at most
@@ -128,7 +142,7 @@ def near_duplicates(
     chosen: dict[int, list] = {}
     for row in drawn(nodes, F.col("node"), most).select("vector").collect():
         chosen.setdefault(len(row["vector"]), []).append(row["vector"])
-    described = _described(nodes, {w: _unit(np.array(v, float)) for w, v in chosen.items()})
+    described = _described(nodes, {w: _apart(np.array(v, float)) for w, v in chosen.items()})
     described = cut_lineage(described, "described")
     listed = described.withColumns({"width": F.size("vector"), "pivot": F.explode("pivots")})
     # One row per pivot: MOST_PIVOTS at most, and one per length of vector that the sample lacks.

@@ -112,6 +112,19 @@ def test_recall_just_above_the_threshold(spark):
     assert pivot_dedup.near_duplicates(table).where("n_links > 0").count() >= 0.97 * len(pairs)
 
 
+@pytest.mark.parametrize("size, noise", [(1500, 0.23), (4500, 0.23), (4500, 0.33)])
+def test_a_group_of_near_copies_with_a_third_of_all_rows_keeps_its_links(spark, size, noise):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(size, 64))
+    vectors[: size // 3] = rng.normal(size=64) + noise * rng.normal(size=(size // 3, 64))
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    table = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in pivot_dedup.near_duplicates(table.repartition(3)).collect()}
+    assert all(found[i] <= n for i, n in enumerate(links))
+    assert sum(found.values()) >= 0.99 * links.sum() > 0
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mtree.top_k(empty, empty).collect() == [] and pivot_dedup.near_duplicates(empty).collect() == []
