@@ -52,6 +52,11 @@ _AROUND = frozenset(
     "subscribe subscription signup share sharing social comment comments reply replies disqus discussion responses related "
     "recommended recommendations widget popup modal overlay login search pagination pager copyright toolbar "
     "disclaimer legal contentinfo complementary dialog alertdialog alert".split())
+#: A class or id with one of these tells of a page's layout or state, not of what the element is.
+_MODIFIERS = frozenset("has no with without open opened closed enabled disabled collapsed expanded layout".split())
+#: Words whose elements stay around the text however much they hold.
+_TALK = frozenset("comment comments reply replies disqus discussion responses".split())
+_WRAPPERS = frozenset("wrapper wrap container page layout site".split())
 _HEADERS = frozenset(["header"])
 _LANDMARK, _OF_LANDMARK = frozenset("article entry post story main".split()), frozenset("content body text".split())
 
@@ -63,6 +68,17 @@ _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@dataclass
+class Mark:
+    """An element that reads as around the main text, within the mark ``outer`` (0: none)."""
+
+    outer: int
+    sure: bool
+    wraps: bool
+    own: int = 0
+    prose: int = 0
+
+
 @dataclass
 class Block:
     """A run of text between block-level tags."""
@@ -74,10 +90,16 @@ class Block:
     heading: bool
 
 
-def _marks(rest: str) -> tuple[set[str], dict[str, str]]:
+def _marks(rest: str) -> tuple[set[str], set[str], dict[str, str]]:
+    """Words of class, id and role; those of them that are no modifiers' company; all attributes."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest.strip() else {}
-    words = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    return {w.lower() for w in _NAME_WORD.findall(words)}, found
+    words, telling = set(), set()
+    for name in " ".join(found.get(k, "") for k in ("class", "id", "role")).split():
+        own = {w.lower() for w in _NAME_WORD.findall(name)}
+        words |= own
+        if not own & _MODIFIERS:
+            telling |= own
+    return words, telling, found
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -85,15 +107,18 @@ def blocks_of(page: str) -> list[Block]:
     blocks: list[Block] = []
     runs: list[str] = []
     linked = 0
-    # Open elements: name, whether around the main text, landmark, whether in a link, whether in a heading.
-    stack: list[tuple[str, bool, str, bool, bool]] = [("", False, "", False, False)]
+    marks = [Mark(0, False, False)]
+    held: list[int] = []  # the mark of each block
+    # Open elements: name, innermost mark, landmark, whether in a link, whether in a heading.
+    stack: list[tuple[str, int, str, bool, bool]] = [("", 0, "", False, False)]
     open_names: dict[str, int] = {}
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(runs).split())
         if text:
-            blocks.append(Block(text, linked, stack[-1][1], stack[-1][2], stack[-1][4]))
+            blocks.append(Block(text, linked, False, stack[-1][2], stack[-1][4]))
+            held.append(stack[-1][1])
         runs.clear()
         linked = 0
 
@@ -142,28 +167,66 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in ("p", "li", "a", "option", "dd", "dt", "tr", "td", "th") and stack[-1][0] == name:
             pop_to(name)
-        _, around, landmark, link, heading = stack[-1]
-        if not around and name not in _PLAIN or "=" in inside:
-            words, found = _marks(inside)
-            around = around or name in _DROPPED or bool(words & _AROUND) and not _is_landmark(name, words, found)
-            header = name == "header" or bool(words & _HEADERS)
-            around = around or header and not landmark and not words & (_LANDMARK - {"main"})
-            around = around or "aria-hidden" in found and found["aria-hidden"] == "true"
-            around = around or bool(re.search(r"\shidden(\s|$|=)", inside)) or "display:none" in found.get(
+        _, mark, landmark, link, heading = stack[-1]
+        if (name not in _PLAIN or "=" in inside) and name not in ("html", "body"):
+            words, telling, found = _marks(inside)
+            role = set(found.get("role", "").lower().split())
+            sure = name in _DROPPED and name != "form" or bool(role & _AROUND)
+            sure = sure or bool(telling & _TALK) and not (name in ("article", "main") and words & _LANDMARK)
+            sure = sure or "aria-hidden" in found and found["aria-hidden"] == "true"
+            sure = sure or bool(re.search(r"\shidden(\s|$|=)", inside)) or "display:none" in found.get(
                 "style", "").replace(" ", "").lower()
-            if not around and _is_landmark(name, words, found):
+            header = (name == "header" or bool(telling & _HEADERS)) and not landmark and not words & (_LANDMARK - {"main"})
+            sure = sure or header and name == "header"
+            marked = sure or header or name == "form" or bool(telling & _AROUND)
+            lands = _is_landmark(name, words, found)
+            if mark:
+                marks[mark].wraps |= marked or lands or name == "h1"
+            if marked:
+                wraps = name == "form" or lands or bool(words & _WRAPPERS and not sure)
+                marks.append(Mark(mark, sure, wraps))
+                mark = len(marks) - 1
+            if lands:
                 landmark = "article" if name != "main" and "main" not in words or landmark == "article" else "main"
         link = link or name == "a" and "href" in inside.lower()
         heading = heading or len(name) == 2 and name[0] == "h" and name[1] in "123456"
-        stack.append((name, around, landmark, link, heading))
+        stack.append((name, mark, landmark, link, heading))
         open_names[name] = open_names.get(name, 0) + 1
     close()
+    _lift(blocks, held, marks)
     return blocks
 
 
+def _lift(blocks: list[Block], held: list[int], marks: list[Mark]) -> None:
+    """Tell which blocks are around the text, passing over marks on what wraps the text itself.
+
+    A mark that is not sure is passed over if its element holds more than half of the prose, if nearly none stands
+    outside of marks, and if the element reads as a wrapper: an article or form, or with a landmark, a main heading
+    or further marks in it.
+    """
+    for block, mark in zip(blocks, held):
+        marks[mark].own += len(block.text) - block.linked
+    for mark in marks[1:]:
+        mark.sure = mark.sure or marks[mark.outer].sure
+        mark.prose = 0 if mark.sure else mark.own
+    for i in range(len(marks) - 1, 0, -1):
+        marks[marks[i].outer].prose += marks[i].prose
+        marks[marks[i].outer].wraps |= marks[i].wraps and not marks[i].sure
+    total, outside = marks[0].prose + marks[0].own, marks[0].own
+    told = any(not m and b.landmark == "article" and not b.heading for b, m in zip(blocks, held))
+    around = [False] * len(marks)
+    for i, mark in enumerate(marks[1:], 1):
+        inner = around[mark.outer]
+        lifted = not (inner or mark.sure or told) and mark.wraps and 2 * mark.prose > total and 10 * outside <= mark.prose
+        around[i] = inner or not lifted
+        if lifted:
+            outside += mark.own
+            told = any(m == i and b.landmark == "article" and not b.heading for b, m in zip(blocks, held))
+    for block, mark in zip(blocks, held):
+        block.around = around[mark]
+
+
 def _is_landmark(name: str, words: set[str], found: dict[str, str]) -> bool:
-    if words & _AROUND:
-        return False
     return name in ("article", "main") or "main" in words and found.get("role", "").lower() == "main" or found.get(
         "itemprop", "").lower() == "articlebody" or bool(words & _LANDMARK and words & _OF_LANDMARK)
 

@@ -36,6 +36,37 @@ def test_without_an_article_density_decides_and_short_blocks_inherit():
     assert main_text(page) == f"Title {PROSE} Short. {PROSE}"
 
 
+ARTICLE = f"<h1>Title</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p>"
+AROUND = f"<nav><a href=/>Home</a></nav><div class=sidebar>{PROSE}</div><footer>{PROSE}</footer>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html class=no-ads><body class='single has-sidebar'>{AROUND}<article>{ARTICLE}</article></body>",
+    f"<body class='login menu'>{AROUND}<div>{ARTICLE}</div></body>",
+    f"<body><div class='layout-sidebar-right'>{AROUND}<article>{ARTICLE}</article></div></body>",
+    f"<body><div class='wrapper sidebar-right'>{AROUND}<div>{ARTICLE}</div></div></body>",
+    f"<body>{AROUND}<article class='post comments-open'>{ARTICLE}</article></body>",
+    f"<body>{AROUND}<article class='post share'>{ARTICLE}</article></body>",
+    f"<body><div id=page class=nav-open>{AROUND}<div>{ARTICLE}</div></div></body>",
+    f"<body><form id=f action=/><div>{AROUND}{ARTICLE}</div></form></body>",
+    f"<body><form><div class=widget>{AROUND}<article class='post social'>{ARTICLE}</article></div></form></body>",
+])
+def test_marks_on_what_wraps_the_text_do_not_drop_it(page):
+    assert main_text(page) == f"Title {PROSE} Short. {PROSE}"
+
+
+@pytest.mark.parametrize("around", [
+    f"<div id=comments>{f'<article class=comment><h1>x</h1><p>{PROSE}</p></article>' * 9}</div>",
+    f"<div class='post-comments'>{f'<article><p>{PROSE}</p></article>' * 30}</div>",
+    f"<div class='sidebar-right'><h1>More</h1>{f'<p>{PROSE}</p>' * 9}</div>",
+    f"<form><p>{PROSE}</p></form>", f"<div class=wrapper hidden>{f'<p>{PROSE}</p>' * 9}</div>",
+])
+@pytest.mark.parametrize("text", ["<article>{}</article>", "<div>{}</div>"])
+def test_long_surroundings_still_go(around, text):
+    assert main_text(f"<body>{text.format(ARTICLE)}{around}</body>") == f"Title {PROSE} Short. {PROSE}"
+    assert main_text(f"<body><div class=layout-sidebar>{around}{text.format(ARTICLE)}</div></body>") == f"Title {PROSE} Short. {PROSE}"
+
+
 def test_article_without_stop_words_is_kept():
     assert main_text("<nav>the of and</nav><article><p>xx | yy | zz</p></article>") == "xx | yy | zz"
 
