@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,9 @@ from riskspark.llm.common import extended, slices, uniform
 
 #: Labelled documents looked at per language, and the bytes of them that are learned (bounds of the sample).
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TOTAL = 400, 32_768, 1 << 20
-#: A document of more characters is not learned from; it would be most of a language's sample.
-SAMPLE_CHARS = 8_192
+#: A document of more characters would be most of a language's sample; it is learned from only if shorter ones do not
+#: fill the bytes, and then a language's LONG_ROWS shortest such are looked at.
+SAMPLE_CHARS, LONG_ROWS = 8_192, 4
 #: Languages learned, the most frequent first.
 LANGUAGES = 256
 #: Bytes in a block; phrases end at its edges for every language alike.
@@ -58,15 +59,21 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     """Learn from whole documents drawn by a hash of ``key``, SAMPLE_BYTES of them per language at most.
 
     Rows whose text or label is null are not learned from. The sample is bounded by SAMPLE_ROWS documents
-    of SAMPLE_CHARS characters per language, whatever the size of the table.
+    of SAMPLE_CHARS characters per language, whatever the size of the table. A language whose documents of
+    that length do not fill its bytes also takes its shortest longer ones that fit; if it has only longer ones
+    and none fits, it takes the start of the shortest.
     """
     rows = docs.select(F.col(label).alias("lang"), F.col(text).alias("text"), uniform(F.col(key), seed=10).alias("u"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.length("text").between(1, SAMPLE_CHARS)))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") >= 1))
+    rows = rows.withColumn("short", F.length("text") <= SAMPLE_CHARS)
+    size = F.octet_length("text").cast("long") + 1
+    counts = rows.groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_if("short").alias("n_short"), F.sum(F.when(F.col("short"), size)).alias("bytes"))
+    counts = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return LanguageModel((), ())
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(SAMPLE_ROWS / r["n"]))))
-    drawn = rows.where(F.col("u") < share[F.col("lang")]).select("lang", "text", "u")
+    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(SAMPLE_ROWS / max(r["n_short"], 1)))))
+    drawn = rows.where(F.col("short") & (F.col("u") < share[F.col("lang")])).select("lang", "text", "u")
     most = 2 * SAMPLE_ROWS * len(counts)
     learned: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
     budget = min(SAMPLE_BYTES, SAMPLE_TOTAL // len(counts))
@@ -76,10 +83,28 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
         if not learned[row["lang"]] or len(part) < room[row["lang"]]:
             learned[row["lang"]].append(part)
             room[row["lang"]] -= len(part) + 1
+    lacking = [r["lang"] for r in counts if r["n_short"] < r["n"] and (r["bytes"] or 0) < budget]
+    for row in _shortest_long(rows, lacking) if lacking else []:
+        part = row["text"].lower().encode()
+        if not learned[row["lang"]]:
+            part = part[:budget].decode(errors="ignore").encode()
+        elif row["size"] > budget or len(part) >= room[row["lang"]]:
+            continue
+        learned[row["lang"]].append(part)
+        room[row["lang"]] -= len(part) + 1
     names = sorted(name for name, parts in learned.items() if parts)
     return LanguageModel(tuple(names), tuple(b"\n".join(learned[n]) for n in names))
 
 
+def _shortest_long(rows: DataFrame, languages: list[str]) -> list:
+    """The LONG_ROWS shortest long documents of each language, shortest first, up to SAMPLE_BYTES characters of each."""
+    long = rows.where(~F.col("short") & F.col("lang").isin(languages)).select(
+        "lang", "u", F.octet_length("text").alias("size"), F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+    order = Window.partitionBy("lang").orderBy("size", "u", "text")
+    found = long.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LONG_ROWS).collect()
+    return sorted(found, key=lambda r: (r["lang"], r["place"]))
+
+
 def _alphabet(texts: tuple[bytes, ...]) -> np.ndarray:
     """A symbol per byte: white space, digits and ASCII punctuation are one, bytes never learned another."""
     symbols = np.full(256, _UNKNOWN, np.uint8)

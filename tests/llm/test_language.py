@@ -45,6 +45,21 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_languages_of_long_documents_are_learned(spark):
+    english, german, french = "the cat sat on the mat ", "der hund liegt auf dem boden ", "le chat dort sur la table "
+    rows = [(i, english * 20, "en") for i in range(30)] + [(100 + i, german * (400 + i), "de") for i in range(6)]
+    rows += [(200, french * 4000, "fr"), (201, "où " * 9, "xx"), (202, "zwölf boxkämpfer " * 600, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs)
+    learned = dict(zip(model.languages, model.texts))
+    assert set(learned) == {"de", "en", "fr", "xx"}
+    assert learned["de"] == b"\n".join((german * n).encode() for n in (400, 401))
+    assert learned["fr"] == (french * 4000).encode()[: langid.SAMPLE_BYTES]
+    assert learned["xx"] == ("où " * 9 + "\n" + "zwölf boxkämpfer " * 600).encode()
+    asked = spark.createDataFrame([("der hund liegt",), ("le chat dort",), ("the cat sat",)], "text string")
+    assert [r.lang_pred for r in langid.identify(asked, model).collect()] == ["de", "fr", "en"]
+
+
 def test_odd_rows(odd, empty):
     model = langid.fit(odd)
     out = langid.identify(odd, model).collect()
