@@ -3,7 +3,8 @@
 Rows are shuffled by a seeded hash and ranked within their source. All rows are then sorted by their rank as a
 fraction of the source's size, and the sorted rows are cut into shards of equal length. A shard so takes
 the same fraction of every source. Only DataFrame functions are used. Ranks are made bucket by bucket:
-hashes and fractions are uniform, so that no bucket is larger than the others, however large a source is.
+hashes are uniform, so that no bucket is larger than the others, however large a source is. Places are made
+range by range of fraction and source, as many sources of few rows have the same fractions.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import bucket_count, running_offsets
+from riskspark.llm.common import bucket_count, numbered, running_offsets
 from riskspark.session import cut_lineage
 
 #: Shards that rows are dealt into, and the seed of the shuffle.
@@ -51,9 +52,8 @@ def interleaved_shards(
     sizes = rows.groupBy("source").agg(F.count("*").alias("of")).withColumnRenamed("source", "__source")
     ranked = ranked.join(sizes, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "bucket", "draw")
     ranked = ranked.withColumn("fraction", (F.col("rank") + 0.5) / F.col("of"))
-    ranked = cut_lineage(ranked.withColumn("slice", F.floor(F.col("fraction") * buckets)), "ranked")
-    ranked = ranked.withColumn("last", F.col("source").isNull())
-    placed = running_offsets(ranked, [], "slice", ["fraction", "last", "source"], F.lit(1), "place")
+    ranked = cut_lineage(ranked.withColumn("last", F.col("source").isNull()), "ranked")
+    placed = numbered(ranked, [F.col("fraction"), F.col("last"), F.col("source")], "place")
     return placed.withColumn("shard", _whole(F.col("place"), shards, total)).select(
         "doc_id", "source", "size", "text_crc32", "shard", (F.col("place") - _first(F.col("shard"), shards, total)).alias("slot"))
 

@@ -49,6 +49,25 @@ def test_shards_match_the_mixture(spark):
     assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s])) for s in counts)
 
 
+def test_sources_of_one_row_spread_over_windows(spark, monkeypatch):
+    stored = []
+
+    def kept(df, name):
+        stored.append((name, cut(df, name)))
+        return stored[-1][1]
+
+    cut = common.cut_lineage
+    monkeypatch.setattr(common, "cut_lineage", kept)
+    monkeypatch.setattr(sharding, "cut_lineage", kept)
+    monkeypatch.setattr(common, "BUCKET_ROWS", 100)
+    rows = [(i, "x", f"s{i * 7919 % 4001}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(tuple, sharding.interleaved_shards(docs).collect()), key=str) == expected(rows, 8)
+    name, column = ("ranges", "__part") if stored[-1][0] == "ranges" else ("ranked", "slice")
+    windows = [r["count"] for r in dict(stored)[name].groupBy(column).count().collect()]
+    assert max(windows) < 1000 and sum(windows) == 4000
+
+
 def test_empty_table(empty):
     assert sharding.interleaved_shards(empty).collect() == []
 
