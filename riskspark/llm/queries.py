@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm import (
-    bpe, html_text, langid, line_dedup, mixing, mtree, ngram_join, pivot_dedup, quality_fm, sharding,
+    bpe, host_rules, html_text, langid, line_dedup, mixing, mtree, ngram_join, periodic_runs, pivot_dedup, quality_fm,
+    sharding,
 )
 from riskspark.llm.common import table
+from riskspark.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,6 +152,136 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(named, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+#: The 256 steps of the checksum, and the checksum of a decimal number as text.
+_CRC_STEPS = """
+bits AS (SELECT range AS byte FROM range(256)),
+steps AS (
+  SELECT list(list_reduce(range(8), lambda acc, b: CASE WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END, byte)
+              ORDER BY byte) AS t FROM bits
+)"""
+
+
+def _crc(number: str) -> str:
+    return f"""xor(list_reduce(list_transform(regexp_extract_all(hex(encode(({number})::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT),
+        lambda acc, b: xor(acc >> 8, t[xor(acc & 255, b) + 1]), 4294967295::BIGINT), 4294967295)"""
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+#: The lengths of factors that the SQL goes through: runs of periods up to the last one.
+_LENGTHS = [1 << k for k in range(18)]
+
+
+def _factor_levels() -> str:
+    out = ["""l1 AS MATERIALIZED (
+  SELECT rid, i, hash(word) AS name FROM words QUALIFY count(*) OVER (PARTITION BY rid, word) > 1)"""]
+    for n in _LENGTHS[:-1]:
+        out.append(f"""l{2 * n} AS MATERIALIZED (
+  SELECT a.rid, a.i, hash(a.name, b.name) AS name FROM l{n} a JOIN l{n} b ON b.rid = a.rid AND b.i = a.i + {n}
+  QUALIFY count(*) OVER (PARTITION BY a.rid, hash(a.name, b.name)) > 1)""")
+    return ",\n".join(out)
+
+
+_STEPS_OF_LEVELS = " UNION ALL ".join(
+    f"SELECT {n} AS size, rid, i, lead(i) OVER (PARTITION BY rid, name ORDER BY i) - i AS step FROM l{n}" for n in _LENGTHS)
+
+
+@query("op11_periodic_runs", f"""
+WITH {_CRC_STEPS.strip()},
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS own, coalesce({_crc("doc_id")}, 1) AS h FROM documents, steps),
+shaped AS (SELECT *, len(own) AS n, CASE WHEN h % 10 = 0 AND len(own) > 0 THEN (h // 10) % len(own) END AS a FROM docs),
+listed AS (
+  SELECT rid, doc_id, CASE WHEN a IS NULL THEN own ELSE list_transform(range(n), lambda i:
+    own[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS ws FROM shaped
+),
+words AS MATERIALIZED (SELECT rid, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM listed),
+{_factor_levels()},
+near AS (
+  SELECT *, i - row_number() OVER (PARTITION BY size, rid, step ORDER BY i) AS island
+  FROM ({_STEPS_OF_LEVELS}) WHERE 2 * step > size AND step <= size
+),
+runs AS MATERIALIZED (
+  SELECT rid, min(i) AS start, max(i) + step + size - min(i) AS length, step AS period
+  FROM near GROUP BY rid, size, step, island
+  HAVING length >= {periodic_runs.LEAST_WORDS} AND length >= {periodic_runs.LEAST_TIMES} * step
+),
+dropped AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (rid, i) GROUP BY rid
+),
+told AS (
+  SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text
+  FROM runs GROUP BY rid
+),
+best AS (
+  SELECT * FROM runs
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length::DOUBLE / period DESC, start, period) = 1
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(told.text, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN told USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of words that repeat, over every whole text, one in ten of which is made periodic first."""
+    docs = table(spark, folder, "documents")
+    shaped = docs.select("doc_id", periodic_runs.looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.digests(periodic_runs.periodic_runs(shaped))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+@query("op13_host_rules", f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, text, {_WORDS} AS ws FROM documents),
+grams AS (
+  SELECT rid, i, md5(array_to_string(ws[i : i + {host_rules.WINDOW - 1}], ' ')) AS gram
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - {host_rules.WINDOW - 2})) AS i FROM docs)
+),
+again AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+repeated AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, range({host_rules.WINDOW}) AS s(k) GROUP BY rid),
+measured AS (
+  SELECT doc_id, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols,
+         len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) AS n_lines,
+         len(list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))))
+           AS n_distinct, coalesce(repeated.n, 0) AS n_repeat_words
+  FROM docs LEFT JOIN repeated USING (rid)
+),
+judged AS (
+  SELECT *, n_lines - n_distinct AS n_dup_lines,
+         n_words < {host_rules.LEAST_WORDS} OR 100 * n_repeat_words > {host_rules.MOST_REPEATED} * n_words AS base_failed
+  FROM measured
+),
+hosts AS (
+  SELECT source, count(*)::DOUBLE AS n, (count(*) FILTER (
+    WHERE base_failed OR 100 * n_symbols > {host_rules.MOST_SYMBOLS} * n_words OR 100 * n_dup_lines > {host_rules.MOST_LINES} * n_words
+      OR (n_words > 0 AND (word_chars < {host_rules.WORD_LENGTHS[0]} * n_words OR word_chars > {host_rules.WORD_LENGTHS[1]} * n_words))
+  ))::DOUBLE AS f
+  FROM judged WHERE source IS NOT NULL GROUP BY source
+),
+sums AS (
+  SELECT count(*) - 1 AS others, sum(n) AS docs, sum(f) / sum(n) AS mean, sum(n) - sum(n * n) / sum(n) AS room,
+         sum(f * f / n) - sum(f) * sum(f) / sum(n) AS between FROM hosts
+),
+spread AS (
+  SELECT mean, CASE WHEN room > others THEN (between - mean * (1 - mean) * others) / (room - others) ELSE 0 END AS spread FROM sums
+),
+prior AS (
+  SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, {host_rules.PRIOR_WEIGHTS[0]}),
+    {host_rules.PRIOR_WEIGHTS[1]}) ELSE {host_rules.PRIOR_WEIGHTS[1]} END AS weight FROM spread
+),
+refused AS (SELECT source FROM hosts, prior WHERE (f + mean * weight) / (n + weight) >= {host_rules.REFUSED_RATE})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND refused.source IS NULL AS kept
+FROM judged LEFT JOIN refused ON judged.source = refused.source
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures of every whole text, and what its own rules and its host's say of it."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    # Texts are measured once, for the hosts and for the documents: the numbers are stored without the texts.
+    measured = cut_lineage(host_rules.measure(docs).drop("text"), "measured")
+    judged = host_rules.judge(measured, host_rules.host_verdicts(measured))
+    return judged.select("doc_id", *host_rules.MEASURES, "base_failed", "kept")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
