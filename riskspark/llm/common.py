@@ -97,9 +97,9 @@ def bucket_count(rows: int) -> int:
 
 
 def running_offsets(
-    df: DataFrame, group: list[str], bucket: str, order: list[str], size: Column, name: str
+    df: DataFrame, group: list[str], bucket: str, order: list[str], size: Column, name: str, kind: str = "long"
 ) -> DataFrame:
-    """Add ``name``: the sum of ``size`` over the rows of the same group that stand before the row.
+    """Add ``name``, of type ``kind``: the sum of ``size`` over the rows of the same group that stand before the row.
 
     Rows of a group are ordered by ``bucket`` (from 0) and then ``order``. Sums per bucket are added up
     first, and those of FAN buckets before them, so that a window holds a bucket's rows, FAN buckets or one
@@ -116,7 +116,7 @@ def running_offsets(
     placed = _joined(sized, totals, [*group, bucket])
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.sum("__size").over(inside), F.lit(0))
-    return placed.withColumn(name, (F.col("__before") + own).cast("long")).drop("__size", "__before")
+    return placed.withColumn(name, (F.col("__before") + own).cast(kind)).drop("__size", "__before")
 
 
 def _summed_before(sums: DataFrame, group: list[str], order: str, name: str) -> DataFrame:

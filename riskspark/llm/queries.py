@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm import (
-    bpe, host_rules, html_text, langid, line_dedup, mixing, mtree, ngram_join, periodic_runs, pivot_dedup, quality_fm,
-    sharding,
+    bpe, conversation_trie, host_rules, html_text, langid, line_dedup, mixing, mtree, ngram_join, periodic_runs,
+    pivot_dedup, quality_fm, sharding,
 )
 from riskspark.llm.common import table
 from riskspark.session import cut_lineage
@@ -229,6 +229,61 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
+@query("op12_conversation_trie", f"""
+WITH {_CRC_STEPS.strip()},
+turns AS (
+  SELECT conv_id, length(coalesce(text, '')) AS chars, turn,
+         md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) - 1 AS place FROM turns),
+convs AS (
+  SELECT conv_id, {_crc("conv_id")} % 6 AS h, conv_id - conv_id % 100 AS base FROM (SELECT DISTINCT conv_id FROM turns), steps
+),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, place, mark, chars FROM convs c JOIN placed p ON p.conv_id = c.base AND place < h
+  UNION ALL
+  SELECT c.conv_id, 1, place, mark, chars FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND place >= h
+),
+paths AS (
+  SELECT conv_id, chars, row_number() OVER w AS depth, string_agg(mark, '') OVER w AS path
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+),
+nodes AS (
+  SELECT path, depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs FROM paths GROUP BY path, depth
+),
+children AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT nodes.*, coalesce(n, 0) AS n_children, (n_convs - 1) * chars AS saved FROM nodes LEFT JOIN children USING (path)),
+above AS (SELECT path, n_children, saved, unnest(range(depth + 1)) AS k FROM counted),
+sums AS (
+  SELECT left(path, 32 * k) AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM above GROUP BY ALL
+),
+ends AS (
+  SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, path FROM paths QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY path
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM counted c JOIN sums USING (path) LEFT JOIN ends USING (path)
+LEFT JOIN nodes p ON c.depth > 0 AND p.depth = c.depth - 1 AND p.path = left(c.path, 32 * (c.depth - 1))
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of all conversations, after their first turns are taken from the first of each hundred."""
+    turns = conversation_trie.ordered_turns(table(spark, folder, "conversations"))
+    conv = F.col("conv_id")
+    turns, convs = conversation_trie.with_heads(
+        cut_lineage(turns, "ordered"), conv - conv % 100, F.crc32(conv.cast("string")) % 6)
+    trie = conversation_trie.prefix_trie(turns, convs)
+    digests = conversation_trie.end_digests(trie.ends).withColumnRenamed("node", "__node")
+    told = trie.nodes.join(digests, F.col("node") == F.col("__node"), "left")
+    none = F.sha2(F.lit(""), 256)
+    return told.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", none).alias("ends_sha256"))
+
+
 @query("op13_host_rules", f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, text, {_WORDS} AS ws FROM documents),
 grams AS (
