@@ -11,12 +11,16 @@ given up at most once, so the time is linear.
 from __future__ import annotations
 
 import base64
+import struct
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,21 +29,30 @@ from pyspark.sql import types as T
 from riskspark.llm.common import extended, slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces and pairs that a worker keeps; both memories are emptied when full.
-KEPT_PIECES, KEPT_PAIRS = 1 << 17, 1 << 17
+#: Pieces that a worker keeps at most, half of them the latest; and slots for what it knows of pairs (8 bytes each).
+KEPT_PIECES, PAIR_SLOTS = 1 << 18, 1 << 20
+#: Pieces that are encoded together; longer texts are cut part by part.
+PIECES_AT_ONCE = 1 << 16
 
 
 class _Pieces(dict):
-    """Packed ids by piece; pieces not seen yet are encoded, and kept unless they are very long."""
+    """Packed ids by piece. Pieces not seen lately are encoded, and kept unless they are very long.
+
+    When half of the room is full, its pieces become the older half, and what was older and not seen since is forgotten.
+    """
 
     def __init__(self, codec: BytePairCodec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.encode_piece(piece.encode()), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            tokens = self.codec.encode_piece(piece if piece.isascii() else piece.encode().decode("latin-1"))
+            ids = struct.pack(f"<{len(tokens)}I", *tokens)
         if len(piece) <= 64:
-            if len(self) >= KEPT_PIECES:
+            if len(self) >= KEPT_PIECES // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -49,25 +62,40 @@ class BytePairCodec:
     """Ranks of byte strings, and the pattern that cuts text before encoding."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         # White space by its Unicode property, so that the pattern cuts as other engines do.
-        self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
+        shape = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        self.cut, self.cut_one_by_one = shape.findall, shape.finditer
+        self.ranks = {token.decode("latin-1"): rank for token, rank in ranks.items()}
+        self.text_of = {rank: token for token, rank in self.ranks.items()}
+        self.size_of = {rank: len(token) for token, rank in self.ranks.items()}
         self.automaton = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
-        self.automaton.make_automaton()
+        for token, rank in self.ranks.items():
+            self.automaton.add_word(token, rank)
+        self.reach = max(map(len, self.ranks))
+        # The longest token that each text begins with which a token begins with: what a match leads to.
+        self.begins: dict[str, int] = {}
+        for token in sorted(self.ranks, key=len):
+            for n in range(1, len(token) + 1):
+                start = token[:n]
+                if start in self.ranks:
+                    best = self.begins[start] = self.ranks[start]
+                else:
+                    self.begins[start] = best
+        #: A pair of tokens as one number: the left one's rank times this, and the right one's.
+        self.base = max(ranks.values()) + 1
         self.halves: dict[int, tuple[int, int]] = {}
         self.shorter: dict[int, int] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        # Per slot the pair known last, plus 1, and below it in 24 bits the token that fits, plus 1: 8 bytes.
+        self.known = array("Q", bytes(8 * PAIR_SLOTS))
         self.pieces = _Pieces(self)
 
     def split(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge gives ``token``; a single byte gives itself twice."""
         if token not in self.halves:
-            parts = [bytes([b]) for b in self.bytes_of[token]]
+            parts = list(self.text_of[token])
             while len(parts) > 2:
-                found = [(self.ranks.get(a + b, len(self.ranks) + 1), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+                found = [(self.ranks.get(a + b, self.base), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
                 _, i = min(found)
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
             self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[-1]])
@@ -76,24 +104,16 @@ class BytePairCodec:
     def prefix(self, token: int) -> int:
         """The longest token that ``token`` begins with, itself excepted; -1 if there is none."""
         if token not in self.shorter:
-            text = self.bytes_of[token]
+            text = self.text_of[token]
             ends = range(len(text) - 1, 0, -1)
             self.shorter[token] = next((self.ranks[text[:n]] for n in ends if text[:n] in self.ranks), -1)
         return self.shorter[token]
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves ``left`` and ``right`` as they are, side by side."""
-        known = self.apart.get((left, right))
-        if known is None:
-            if len(self.apart) >= KEPT_PAIRS:
-                self.apart.clear()
-            known = self.apart[left, right] = self._compatible(left, right)
-        return known
-
-    def _compatible(self, left: int, right: int) -> bool:
-        limit = 1 << 62
+        ranks, text_of, limit = self.ranks, self.text_of, 1 << 62
         while True:
-            joined = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+            joined = ranks.get(text_of[left] + text_of[right])
             if joined is not None and joined < limit:
                 return False  # these two would have been merged before what holds them apart
             if left > right:
@@ -109,34 +129,98 @@ class BytePairCodec:
                     if left == limit:
                         return True
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def fitting(self, left: int, token: int) -> int:
+        """The longest of ``token`` and the tokens it begins with that is compatible with ``left`` before it; else -1."""
+        while token >= 0 and not self.compatible(left, token):
+            token = self.prefix(token)
+        return token
+
+    def encode_piece(self, piece: str) -> list[int]:
+        """The tokens of a piece whose bytes are given as Latin-1 characters."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        size = len(piece)
-        longest = [-1] * size
-        for end, (rank, length) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end + 1 - length] = rank  # of the tokens from one place the longest ends last
-        open_at = bytearray(b"\1") * (size + 1)
-        tokens: list[int] = []
-        place, token = 0, longest[0]
+        size, reach, match, begins = len(piece), self.reach, self.automaton.longest_prefix, self.begins
+        size_of, known, base, slots = self.size_of, self.known, self.base, PAIR_SLOTS - 1
+        closed = set()  # places that no tokens of the rest are compatible with
+        token = begins[piece[: match(piece[:reach])]]
+        tokens, place = [token], size_of[token]
         while place < size:
-            end = place + len(self.bytes_of[token])
-            if open_at[end] and (not tokens or self.compatible(tokens[-1], token)):
-                tokens.append(token)
-                place = end
-                token = longest[place] if place < size else -1
-                continue
-            token = self.prefix(token)
-            if token < 0:
-                open_at[place] = 0
+            ahead = piece[place : place + reach]
+            left, token = tokens[-1], begins[ahead[: match(ahead)]]
+            while token >= 0:
+                pair = left * base + token + 1
+                slot = (left * 40503 ^ token) & slots
+                seen = known[slot]
+                if seen >> 24 == pair:
+                    token = (seen & 0xFFFFFF) - 1
+                else:
+                    token = self.fitting(left, token)
+                    known[slot] = pair << 24 | token + 1
+                if token < 0 or not closed or place + size_of[token] not in closed:
+                    break
+                token = self.prefix(token)
+            while token < 0:
+                # Nothing goes on from here: the token before is shortened, or given up as well.
+                closed.add(place)
                 token = tokens.pop()
-                place -= len(self.bytes_of[token])
+                place -= size_of[token]
+                token = self.prefix(token)
+                while token >= 0 and (place + size_of[token] in closed or tokens and not self.compatible(tokens[-1], token)):
+                    token = self.prefix(token)
+            tokens.append(token)
+            place += size_of[token]
         return tokens
 
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after the other, and how many each has; a piece is looked up once."""
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        packed = [self.pieces[p] for p in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        starts = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[codes]
+        shift = np.repeat(starts[codes] - (np.cumsum(counts) - counts), counts)
+        return np.frombuffer(b"".join(packed), "<u4")[np.arange(len(shift)) + shift], counts
+
+    def encode_all(self, texts: list[str | None]) -> pa.Array:
+        """The ids of each text as little-endian unsigned 32-bit integers; none for null or empty texts."""
+        ends, parts, total = [0], [np.zeros(0, "<u4")], 0
+        pieces: list[str] = []
+        waiting: list[int] = []  # pieces up to the end of each text that is not encoded yet
+
+        def flush() -> None:
+            nonlocal total
+            ids, counts = self._encode_pieces(pieces)
+            upto = np.append(0, np.cumsum(counts))
+            ends.extend((total + upto[waiting]).tolist())
+            parts.append(ids)
+            total += len(ids)
+            pieces.clear()
+            waiting.clear()
+
+        for text in texts:
+            for found in self._cut_in_parts(text or ""):
+                pieces.extend(found)
+                if len(pieces) >= PIECES_AT_ONCE:
+                    flush()
+            waiting.append(len(pieces))
+        flush()
+        offsets = np.array(ends, np.int32) * 4
+        return pa.Array.from_buffers(
+            pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(parts).tobytes())])
+
+    def _cut_in_parts(self, text: str) -> Iterator[list[str]]:
+        if len(text) <= PIECES_AT_ONCE:
+            yield self.cut(text)
+        else:
+            found = (match[0] for match in self.cut_one_by_one(text))
+            while part := list(islice(found, PIECES_AT_ONCE)):
+                yield part
+
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
+        return self.encode_all([text])[0].as_py()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -174,9 +258,9 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(ranks.value, pattern)
         for batch in slices(batches, text):
-            ids = [known.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
-            columns = [batch.column(c) for c in kept]
-            columns += [pa.array(ids, pa.binary()), pa.array([len(b) // 4 for b in ids], pa.int64())]
+            ids = known.encode_all(batch.column(text).to_pylist())
+            n_tokens = pc.divide(pc.binary_length(ids).cast(pa.int64()), 4)
+            columns = [*(batch.column(c) for c in kept), ids, n_tokens]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "token_ids", "n_tokens"])
 
     return docs.mapInArrow(run, schema)
