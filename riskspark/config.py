@@ -36,6 +36,8 @@ BOOSTED = {
     "learning_rate": 0.05,
     "subsample": 0.8,
     "colsample": 0.8,
+    "reg_alpha": 0.1,
+    "reg_lambda": 1.0,
 }
 TUNING_GRID = {
     "n_estimators": (100, 200),

@@ -1,9 +1,8 @@
 """Drift of a current table against a reference table, column by column.
 
 Both tables are tagged and stacked, so each column is compared with grouped counts instead of
-a join of two frequency tables. Reference tables of up to 1,000 rows are compared with
-hypothesis tests (Kolmogorov-Smirnov, chi-square, two-proportion z), larger ones with
-distances (normed Wasserstein, Jensen-Shannon).
+a join of two frequency tables. Columns are compared by distances (normed Wasserstein, Jensen-Shannon) or,
+where a caller asks for them, by hypothesis tests (Kolmogorov-Smirnov, chi-square, two-proportion z).
 """
 
 from __future__ import annotations
@@ -213,11 +212,11 @@ def drift_report(
     small_reference: int = config.DRIFT_SMALL_REFERENCE,
     few_values: int = config.DRIFT_CATEGORICAL_UP_TO,
     buckets: int | None = None,
-    method: str = "by_size",
+    method: str = "distance",
 ) -> DataFrame:
     """One row per column: its kind, the test, its statistic, the p-value if any, and the verdict.
 
-    ``method`` is ``test`` (hypothesis tests), ``distance`` (distances between the distributions) or
+    ``method`` is ``distance`` (distances between the distributions), ``test`` (hypothesis tests) or, by name only,
     ``by_size``: tests up to ``small_reference`` reference rows, distances above.
 
     Missing and infinite values are left out. A column without values on one side has no

@@ -123,15 +123,17 @@ def weakest(correlations: DataFrame, n: int = 10) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Full symmetric matrix in long form; each pair is computed once."""
     names = available(df, columns)
-    pairs = list(combinations(names, 2))
-    rows = df.select(*[finite(df, c).alias(c) for c in names])
-    exprs = [pearson(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs]
-    exprs += [pearson(F.col(c), F.col(c)).alias(f"{c}|{c}") for c in names]
-    wide = rows.agg(*exprs)
-    pair = F.split("pair", r"\|")
-    long = wide.unpivot([], wide.columns, "pair", "correlation").select(
-        pair[0].alias("feature_a"), pair[1].alias("feature_b"), "correlation"
-    )
+    pairs = list(combinations(names, 2)) + [(c, c) for c in names]
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    rows = df.select(*[finite(df, c).alias(at[c]) for c in names])
+    # On the diagonal only whether a column varies at all matters.
+    entries = [
+        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), (
+            pearson(F.col(at[a]), F.col(at[b])) if a != b else F.when(F.max(at[a]) > F.min(at[a]), F.lit(1.0))
+        ).alias("correlation"))
+        for a, b in pairs
+    ]
+    long = rows.agg(F.array(*entries).alias("entries")).select(F.inline("entries"))
     mirror = long.filter("feature_a <> feature_b").select(
         F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "correlation"
     )

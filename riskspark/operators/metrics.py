@@ -70,6 +70,17 @@ def roc_auc(
         .groupBy(*by, "s__bucket", "s")
         .agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     )
+    return _area(counts, by)
+
+
+def auc_of_counts(counts: DataFrame, by: Sequence[str], score: str, buckets: int | None = None) -> DataFrame:
+    """ROC-AUC per group from ``pos`` and ``neg`` of each distinct score."""
+    rows = counts.select(*by, F.col(score).alias("s"), "pos", "neg")
+    return _area(add_buckets(rows, cut_points(rows, ["s"], buckets)), list(by))
+
+
+def _area(counts: DataFrame, by: list[str]) -> DataFrame:
+    """From a row per group and distinct score ``s`` with its bucket: wins over pairs, added up bucket by bucket."""
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     inside = F.coalesce(F.sum("neg").over(smaller_in_bucket(by, "s__bucket", "s")), F.lit(0))
     # A positive beats the negatives below it in its bucket and all in the buckets before, so

@@ -6,44 +6,23 @@ from collections.abc import Mapping, Sequence
 from itertools import product
 
 from pyspark.ml import Model
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark import config
 from riskspark.functions.columns import above, outcome, risk_level
+from riskspark.operators.boosting import BoostedTrees, Settings, fit_together
+from riskspark.operators.metrics import evaluate
 from riskspark.operators.split import add_balanced_weight, positive_weight, stratified_folds
-
-# Names of the boosted-tree settings and the spark.ml parameters they set.
-SETTINGS = {
-    "n_estimators": "maxIter",
-    "max_depth": "maxDepth",
-    "learning_rate": "stepSize",
-    "subsample": "subsamplingRate",
-    "colsample": "featureSubsetStrategy",
-}
-
+from riskspark.session import cut_lineage
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
-def _parameters(settings: Mapping[str, object]) -> dict[str, object]:
-    named = {SETTINGS[k]: v for k, v in settings.items()}
-    if "featureSubsetStrategy" in named:
-        named["featureSubsetStrategy"] = str(named["featureSubsetStrategy"])
-    return named
-
-
 def train_baseline(
     train: DataFrame,
     features: Sequence[str],
@@ -67,30 +46,22 @@ def train_baseline(
     ).fit(assemble(weighted, features).select("features", F.col(label).cast("double").alias(label), "weight"))
 
 
-def _boosted_input(train: DataFrame, features: Sequence[str], label: str, *keep: str) -> DataFrame:
-    factor = positive_weight(train, label).first()[0] or 1.0
-    weight = F.when(F.col(label) == 1, F.lit(float(factor))).otherwise(F.lit(1.0))
-    return assemble(train, features).select(
-        "features", F.col(label).cast("double").alias(label), weight.alias("weight"), *keep
-    )
-
-
 def train_boosted(
     train: DataFrame,
     features: Sequence[str],
     label: str,
     settings: Mapping[str, object] | None = None,
     seed: int = config.SEED,
-) -> GBTClassificationModel:
+    key: str | None = None,
+) -> BoostedTrees:
     """Gradient-boosted trees; positives weigh as many negatives as there are per positive.
 
-    ``settings`` override the defaults one by one. spark.ml has no leaf penalties and samples
-    columns per node, so scores are close to those of other libraries but not equal.
+    ``settings`` override the defaults one by one. Rows are drawn by a hash of ``key``, or of all features.
     """
-    merged = {**config.BOOSTED, **(settings or {})}
-    return GBTClassifier(
-        featuresCol="features", labelCol=label, weightCol="weight", seed=seed, **_parameters(merged)
-    ).fit(_boosted_input(train, features, label))
+    factor = float(positive_weight(train, label).first()[0] or 1.0)
+    own = Settings(**{**config.BOOSTED, **(settings or {})})
+    (model,), _ = fit_together(train, features, label, [own], key, factor, seed=seed)
+    return model
 
 
 def tune_boosted(
@@ -100,33 +71,46 @@ def tune_boosted(
     key: str,
     grid: Mapping[str, Sequence[object]] = config.TUNING_GRID,
     folds: int = 3,
-    parallelism: int = 4,
     seed: int = config.SEED,
 ) -> DataFrame:
     """Cross-validated F1 of every combination of the grid, over stratified folds.
 
-    One row per combination: its settings as text columns' native types and ``f1``.
+    One row per combination: its settings as columns and ``f1``, the mean over the folds. All folds and combinations are
+    fitted in the same passes, and a number of rounds is scored on the way to the largest one.
     """
-    base = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", seed=seed)
     names = list(grid)
     combos = [dict(zip(names, values)) for values in product(*grid.values())]
-    maps = [
-        {getattr(base, p): v for p, v in _parameters(combo).items()} for combo in combos
-    ]
-    data = _boosted_input(stratified_folds(train, key, label, folds), features, label, "fold")
-    fitted = CrossValidator(
-        estimator=base,
-        estimatorParamMaps=maps,
-        evaluator=MulticlassClassificationEvaluator(
-            labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0
-        ),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=seed,
-    ).fit(data)
-    rows = [{**combo, "f1": float(f1)} for combo, f1 in zip(combos, fitted.avgMetrics)]
-    return train.sparkSession.createDataFrame(rows).select(*names, "f1")
+    rounds = sorted({c.get("n_estimators", config.BOOSTED["n_estimators"]) for c in combos})
+    shapes = list(dict.fromkeys(tuple((k, v) for k, v in c.items() if k != "n_estimators") for c in combos))
+    runs = [
+        Settings(**{**config.BOOSTED, **dict(shape), "n_estimators": rounds[-1]}, without_fold=fold)
+        for shape in shapes for fold in range(folds)]
+    factor = float(positive_weight(train, label).first()[0] or 1.0)
+    rows = stratified_folds(train, key, label, folds)
+    _, f1 = fit_together(rows, features, label, runs, key, factor, "fold", seed=seed, f1_after=rounds)
+    found = []
+    for combo in combos:
+        at = shapes.index(tuple((k, v) for k, v in combo.items() if k != "n_estimators")) * folds
+        own = f1[combo.get("n_estimators", rounds[-1])][at : at + folds]
+        found.append({**combo, "f1": sum(own) / folds})
+    return train.sparkSession.createDataFrame(found).select(*names, "f1")
+
+
+def validation_curve(
+    df: DataFrame, model: BoostedTrees, label: str, keep: Sequence[str] = (), rounds: Sequence[int] | None = None
+) -> DataFrame:
+    """F1 and ROC-AUC after each round (from 1), or after the given ones, per group of ``keep``.
+
+    Each row's scores of all rounds are the running sum of its leaves' values, made in one pass. Without trees there is
+    no round and no row.
+    """
+    rounds = list(rounds or range(1, len(model.trees) + 1))
+    staged = df.select(*keep, label, model.staged().alias("__staged"))
+    chosen = F.array(*(F.struct(F.lit(r).alias("round"), F.get("__staged", F.lit(r - 1)).alias("margin")) for r in rounds))
+    long = staged.select(*keep, label, F.inline(chosen)) if rounds else staged.select(
+        *keep, label, F.lit(0).alias("round"), F.lit(0.0).alias("margin")).limit(0)
+    scored = long.withColumn("p1", 1 / (1 + F.exp(-F.col("margin"))))
+    return evaluate(cut_lineage(scored.drop("margin"), "staged"), label, "p1", [*keep, "round"])
 
 
 def best_settings(tuned: DataFrame) -> dict[str, object]:
@@ -137,8 +121,12 @@ def best_settings(tuned: DataFrame) -> dict[str, object]:
     return {**config.BOOSTED, **best}
 
 
-def predict(df: DataFrame, model: Model, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+def predict(df: DataFrame, model: Model | BoostedTrees, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """``keep`` columns with ``prediction``, ``p0`` and ``p1``. Rows in, rows out."""
+    if isinstance(model, BoostedTrees):
+        rows = df.select(*keep, model.log_odds().alias("__margin"))
+        p1 = 1 / (1 + F.exp(-F.col("__margin")))
+        return rows.select(*keep, (F.col("__margin") >= 0).cast("int").alias("prediction"), (1 - p1).alias("p0"), p1.alias("p1"))
     scored = model.transform(assemble(df, features))
     p = vector_to_array("probability")
     return scored.select(
@@ -155,23 +143,24 @@ def decide(scored: DataFrame, threshold: float | None = None) -> DataFrame:
     )
 
 
-def feature_importance(spark: SparkSession, model: GBTClassificationModel, features: Sequence[str]) -> DataFrame:
-    values = model.featureImportances.toArray()
-    return spark.createDataFrame(
-        [(f, float(v)) for f, v in zip(features, values)], "feature string, importance double"
-    )
+def feature_importance(spark: SparkSession, model: BoostedTrees, features: Sequence[str]) -> DataFrame:
+    """Mean gain of the splits on each feature, as a share of all."""
+    return spark.createDataFrame([(f, model.importance[f]) for f in features], "feature string, importance double")
 
 
 def top_importance(importance: DataFrame, n: int = 15) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def save_model(model: Model, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Model | BoostedTrees, path: str) -> None:
+    if isinstance(model, BoostedTrees):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_boosted(path: str) -> GBTClassificationModel:
-    return GBTClassificationModel.load(path)
+def load_boosted(path: str) -> BoostedTrees:
+    return BoostedTrees.load(SparkSession.active(), path)
 
 
 def load_baseline(path: str) -> LogisticRegressionModel:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark import config
+from riskspark.sources.sinks import DAY
 
 
 def log_sums(prediction: str = "prediction", p1: str = "p1", p0: str | None = "p0") -> list[Column]:
@@ -50,10 +51,14 @@ def batch_log(
 
 
 def recent(log: DataFrame, as_of: datetime | str, days: int = config.LOG_DAYS) -> DataFrame:
-    """Rows from ``days`` days before ``as_of`` on, that instant included. The filter reaches the files."""
+    """Rows from ``days`` days before ``as_of`` on, that instant included.
+
+    Of a log that lies by day (``sources.sinks``) only the folders of those days are read.
+    """
     kind = log.schema["timestamp"].dataType.simpleString()
-    moment = F.lit(as_of).cast(kind)
-    return log.filter(F.col("timestamp") >= moment - F.make_dt_interval(F.lit(days)))
+    start = F.lit(as_of).cast(kind) - F.make_dt_interval(F.lit(days))
+    rows = log.filter(F.col("timestamp") >= start)
+    return rows.filter(F.col(DAY) >= start.cast("date")) if DAY in log.columns else rows
 
 
 def performance_stats(

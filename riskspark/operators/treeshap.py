@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskspark.operators.boosting import BoostedTrees
 from riskspark.operators.models import assemble
 from riskspark.session import new_path
 
@@ -52,8 +53,10 @@ class TreeTables:
     groups: list[LeafGroup]
 
 
-def read_trees(spark: SparkSession, model: GBTClassificationModel) -> list[list[dict]]:
-    """The node tables of the model as it is saved. Their size is bounded by trees x 2^(depth+1)."""
+def read_trees(spark: SparkSession, model: GBTClassificationModel | BoostedTrees) -> list[list[dict]]:
+    """The node tables of the model, a library's as it is saved. Their size is bounded by trees x 2^(depth+1)."""
+    if isinstance(model, BoostedTrees):
+        return model.node_tables()
     path = new_path(spark, "trees")
     model.write().overwrite().save(path)
     node = F.col("nodeData")
@@ -188,7 +191,7 @@ def shapley(x: np.ndarray, tables: TreeTables) -> np.ndarray:
 
 def tree_attribution(
     df: DataFrame,
-    model: GBTClassificationModel,
+    model: GBTClassificationModel | BoostedTrees,
     features: Sequence[str],
     keep: Sequence[str] = (),
     partitions: int | None = None,

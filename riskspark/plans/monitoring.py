@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from riskspark.operators.drift import drift_report, drift_summary, drift_tests
 from riskspark.operators.perflog import batch_log
 from riskspark.session import cut_lineage
-from riskspark.sources.sinks import append_log, write_drift_results
+from riskspark.sources.sinks import append_batch, write_drift_results
 
 
 def check_drift(
@@ -26,5 +26,6 @@ def check_drift(
     return report, drift_summary(report)
 
 
-def log_scored(scored: DataFrame, timestamp: str, path: str) -> None:
-    append_log(batch_log(scored, timestamp), path)
+def log_scored(scored: DataFrame, timestamp: str, path: str, batch: str) -> None:
+    """Add a batch of scored rows to the log; the same batch logged again replaces itself."""
+    append_batch(batch_log(scored, timestamp), path, batch)

@@ -15,6 +15,7 @@ from riskspark.operators.attribution import (
     linear_attribution,
     top_factors,
 )
+from riskspark.operators.boosting import BoostedTrees
 from riskspark.operators.models import decide, predict
 from riskspark.operators.preprocess import Preprocessor, engineer_features, transform
 from riskspark.operators.treeshap import tree_attribution
@@ -23,7 +24,7 @@ from riskspark.operators.treeshap import tree_attribution
 def score(
     applications: DataFrame,
     state: Preprocessor,
-    model: Model,
+    model: Model | BoostedTrees,
     keep: Sequence[str],
     threshold: float | None = None,
     lenient: bool = False,
@@ -50,7 +51,7 @@ def _complete(applications: DataFrame, state: Preprocessor, lenient: bool) -> Da
 def explain(
     applications: DataFrame,
     state: Preprocessor,
-    model: Model,
+    model: Model | BoostedTrees,
     key: str,
     n: int = 5,
     background: DataFrame | None = None,
@@ -64,7 +65,7 @@ def explain(
     features = state.model_features
     rows = transform(_complete(applications, state, lenient), state, [key])
     scored = decide(predict(rows, model, features, [key, *features]))
-    if isinstance(model, GBTClassificationModel):
+    if isinstance(model, (GBTClassificationModel, BoostedTrees)):
         attributed = tree_attribution(scored, model, features, _outputs(key), partitions)
     else:
         if background is None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskspark import config
 from riskspark.operators import models
+from riskspark.operators.boosting import BoostedTrees
 from riskspark.operators.metrics import evaluate
 from riskspark.operators.preprocess import Preprocessor, engineer_features, fit, prepare, transform
 from riskspark.operators.split import stratified_split
@@ -36,7 +37,7 @@ class Features:
 
 @dataclass(frozen=True)
 class Trained:
-    model: Model
+    model: Model | BoostedTrees
     features: Features
 
     def scored(self) -> DataFrame:
@@ -47,6 +48,11 @@ class Trained:
         """F1 and ROC-AUC on train, validation and test."""
         return evaluate(cut_lineage(self.scored()), self.features.label, "p1", ["split"])
 
+    def validation_curve(self, rounds: Sequence[int] | None = None) -> DataFrame:
+        """F1 and ROC-AUC of the boosted model on the validation part after each round."""
+        f = self.features
+        return models.validation_curve(f.part("validation"), self.model, f.label, rounds=rounds)
+
 
 def build_features(
     loans: DataFrame,
@@ -76,11 +82,12 @@ def train(
     tune: bool = False,
     grid: Mapping[str, Sequence[object]] = config.TUNING_GRID,
 ) -> Trained:
-    """Fit the baseline or the boosted model on the train part; validation is only scored."""
+    """Fit the baseline or the boosted model on the train part; validation is only scored, see ``validation_curve``."""
     part = features.part("train")
     if kind == "baseline":
         return Trained(models.train_baseline(part, features.names, features.label), features)
     if tune:
         tuned = models.tune_boosted(part, features.names, features.label, features.key, grid)
         settings = {**models.best_settings(tuned), **(settings or {})}
-    return Trained(models.train_boosted(part, features.names, features.label, settings), features)
+    model = models.train_boosted(part, features.names, features.label, settings, key=features.key)
+    return Trained(model, features)

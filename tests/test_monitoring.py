@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.functions.pvalues import _upper_gamma
-from riskspark.operators import drift, perflog
+from riskspark.operators import drift, history, perflog
 from riskspark.session import new_path
+from riskspark.sources.sinks import append_batch, read_log
 from riskspark.streaming import jobs
 
 
@@ -27,7 +28,7 @@ def tables(spark):
 @pytest.mark.parametrize("small_reference", [1000, 0])
 def test_shift_is_found_in_the_shifted_column_only(tables, small_reference):
     reference, same, shifted = tables
-    limits = {"small_reference": small_reference}
+    limits = {"small_reference": small_reference, "method": "by_size"}
     found = {r["feature"]: r for r in drift.drift_report(reference, shifted, **limits).collect()}
     assert found["feature1"]["drifted"]
     assert not found["feature2"]["drifted"] and not found["feature3"]["drifted"]
@@ -39,7 +40,7 @@ def test_shift_is_found_in_the_shifted_column_only(tables, small_reference):
 
 def test_identical_tables_do_not_drift(tables):
     for small in (0, 1000):
-        report = drift.drift_report(tables[0], tables[0], small_reference=small).collect()
+        report = drift.drift_report(tables[0], tables[0], small_reference=small, method="by_size").collect()
         assert [r["statistic"] for r in report] == [0, 0, 0]
         assert not any(r["drifted"] for r in report)
 
@@ -53,7 +54,7 @@ def test_numeric_distances_equal_loops(tables, buckets):
     reference, _, shifted = tables
     a = [r[0] for r in reference.select("feature1").collect()]
     b = [r[0] for r in shifted.select("feature1").collect()]
-    ks = drift.drift_report(reference, shifted, ["feature1"], buckets=buckets).first()
+    ks = drift.drift_report(reference, shifted, ["feature1"], buckets=buckets, method="test").first()
     assert ks["statistic"] == pytest.approx(_ks(a, b)) and ks["test"] == "ks" and ks["p_value"] < 1e-6
     points = sorted(a + b)
     area = sum(
@@ -62,21 +63,21 @@ def test_numeric_distances_equal_loops(tables, buckets):
     )
     mean = sum(a) / len(a)
     dev = math.sqrt(sum((v - mean) ** 2 for v in a) / len(a))
-    w = drift.drift_report(reference, shifted, ["feature1"], small_reference=0, buckets=buckets).first()
+    w = drift.drift_report(reference, shifted, ["feature1"], small_reference=0, buckets=buckets, method="by_size").first()
     assert w["test"] == "wasserstein" and w["statistic"] == pytest.approx(area / dev)
 
 
 def test_category_tests(spark):
     ref = spark.createDataFrame([("a", "x")] * 60 + [("b", "y")] * 30 + [("c", "y")] * 10, "k string, two string")
     cur = spark.createDataFrame([("a", "x")] * 20 + [("b", "y")] * 20 + [("c", "x")] * 10, "k string, two string")
-    rows = {r["feature"]: r for r in drift.drift_report(ref, cur).collect()}
+    rows = {r["feature"]: r for r in drift.drift_report(ref, cur, method="test").collect()}
     expected = (20 - 30) ** 2 / 30 + (20 - 15) ** 2 / 15 + (10 - 5) ** 2 / 5
     assert rows["k"]["test"] == "chi_square" and rows["k"]["statistic"] == pytest.approx(expected)
     assert rows["k"]["p_value"] == pytest.approx(math.exp(-expected / 2))
     p, q, pooled = 60 / 100, 30 / 50, 90 / 150
     z = abs(p - q) / math.sqrt(pooled * (1 - pooled) * (1 / 100 + 1 / 50))
     assert rows["two"]["test"] == "z" and rows["two"]["statistic"] == pytest.approx(z)
-    far = drift.drift_report(ref, cur, ["k"], small_reference=0).first()
+    far = drift.drift_report(ref, cur, ["k"], small_reference=0, method="by_size").first()
     m = [(60 / 100 + 20 / 50) / 2, (30 / 100 + 20 / 50) / 2, (10 / 100 + 10 / 50) / 2]
     ps, qs = [0.6, 0.3, 0.1], [0.4, 0.4, 0.2]
     js = math.sqrt(sum(a * math.log(a / c) + b * math.log(b / c) for a, b, c in zip(ps, qs, m)) / 2)
@@ -86,7 +87,7 @@ def test_category_tests(spark):
 def test_new_category_is_drift_and_single_category_is_not(spark):
     ref = spark.createDataFrame([("a", "s")] * 50 + [("b", "s")] * 50, "k string, one string")
     cur = spark.createDataFrame([("a", "s")] * 20 + [("n", "s")] * 20 + [("b", "s")] * 9, "k string, one string")
-    rows = {r["feature"]: r for r in drift.drift_report(ref, cur).collect()}
+    rows = {r["feature"]: r for r in drift.drift_report(ref, cur, method="test").collect()}
     assert rows["k"]["drifted"] and rows["k"]["p_value"] == 0
     assert not rows["one"]["drifted"] and rows["one"]["p_value"] == 1
 
@@ -94,7 +95,7 @@ def test_new_category_is_drift_and_single_category_is_not(spark):
 def test_few_numbers_are_compared_as_categories(spark):
     ref = spark.range(100).select((F.col("id") % 3).alias("n"))
     cur = spark.range(100).select((F.col("id") % 4).alias("n"))
-    row = drift.drift_report(ref, cur).first()
+    row = drift.drift_report(ref, cur, method="test").first()
     assert row["kind"] == "numeric" and row["test"] == "chi_square"
 
 
@@ -103,7 +104,7 @@ def test_missing_reference_and_empty_sides(spark, tables):
         drift.drift_report(None, tables[0])
     holes = tables[1].withColumn("feature1", F.lit(None).cast("double"))
     for small in (0, 1000):
-        row = drift.drift_report(tables[0], holes, ["feature1"], small_reference=small).first()
+        row = drift.drift_report(tables[0], holes, ["feature1"], small_reference=small, method="by_size").first()
         assert row["statistic"] is None and not row["drifted"]
     none = drift.drift_summary(drift.drift_report(tables[0].select(F.lit(1).alias("q")), tables[1])).first()
     assert none["total_features"] == 0 and none["drift_share"] == 0 and not none["drift_detected"]
@@ -229,3 +230,42 @@ def test_sliding_stream_writes_closed_windows(spark, folder):
     whole = {r["window_start"]: r["num_predictions"] for r in jobs.windowed_log(batch, "ts", "1 day", "6 hours").collect()}
     assert len(whole) - 5 <= len(closed) <= len(whole)
     assert all(whole[k] == n for k, n in closed.items())
+
+
+def test_a_repeated_append_leaves_the_rows_once(spark):
+    path = new_path(spark, "log")
+    log = spark.sql("SELECT timestamp'2024-01-01' + make_dt_interval(id) AS timestamp, id AS num_predictions FROM range(40)")
+    append_batch(log, path, "a")
+    append_batch(log.where("num_predictions < 5"), path, "b")
+    append_batch(log, path, "a")
+    stored = read_log(spark, path)
+    assert stored.count() == 45 and stored.where("batch = 'a'").count() == 40
+    assert sorted(r["n"] for r in stored.groupBy("log_day").agg(F.count("*").alias("n")).collect()) == [1] * 35 + [2] * 5
+    with pytest.raises(ValueError):
+        append_batch(log, path, "a/b")
+
+
+def test_recent_rows_come_from_recent_days_only(spark, capsys):
+    path = new_path(spark, "log")
+    log = spark.sql("SELECT timestamp'2024-01-01 12:00:00' + make_dt_interval(id) AS timestamp, id AS n FROM range(40)")
+    append_batch(log, path, "a")
+    recent = perflog.recent(read_log(spark, path), "2024-02-09 12:00:00", 3)
+    assert sorted(r["n"] for r in recent.collect()) == [36, 37, 38, 39]
+    recent.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters" in plan and "log_day" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert len(recent.inputFiles()) <= 40 and len({r["log_day"] for r in recent.select("log_day").collect()}) == 4
+
+
+def test_history_from_counts_equals_the_whole_computation(spark):
+    rows = spark.sql(
+        "SELECT id, if(id % 3 = 0, 'a', 'b') AS version, '2024' AS registered_at, int(id % 7 < 3) AS y_true, "
+        "if(id % 11 = 0, NULL, round((id * 37 % 101) / 100.0D, 2)) AS p1 FROM range(5000)")
+    path = new_path(spark, "counts")
+    for part in (0, 1, 2, 1):
+        history.add_score_counts(rows.where(F.col("id") % 3 == part), path, f"p{part}")
+    history.add_score_counts(rows.where("false"), path, "none")
+    counted = history.metrics_of_counts(history.read_score_counts(spark, path))
+    whole = {(r["version"], r["metric"]): r["value"] for r in history.metric_rows(rows).collect()}
+    found = {(r["version"], r["metric"]): r["value"] for r in counted.collect()}
+    assert found.keys() == whole.keys() and all(found[k] == pytest.approx(whole[k]) for k in whole)

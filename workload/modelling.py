@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import product
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark import config
 from riskspark.functions.columns import above
 from riskspark.operators import attribution, models
+from riskspark.operators.boosting import Settings, fit_together
+from riskspark.operators.split import add_balanced_weight
 from riskspark.operators.treeshap import tree_attribution
 from riskspark.plans.scoring import explain, score
 from riskspark.plans.training import Trained, build_features, train
-from riskspark.session import new_path
+from riskspark.session import cut_lineage, new_path
 from riskspark.streaming import jobs
 from workload.registry import query, rounded
 from workload.views import view
@@ -30,6 +37,13 @@ def _boosted(spark, folder) -> Trained:
     return _TRAINED[key]
 
 
+def _baseline(spark, folder) -> Trained:
+    key = (spark.sparkContext.applicationId, f"baseline {folder}")
+    if key not in _TRAINED:
+        _TRAINED[key] = train(_features(spark, folder), "baseline")
+    return _TRAINED[key]
+
+
 @query("train_baseline")
 def train_baseline(spark, folder):
     return rounded(train(_features(spark, folder), "baseline").metrics(), 4)
@@ -40,17 +54,125 @@ def train_boosted(spark, folder):
     return rounded(_boosted(spark, folder).metrics(), 4)
 
 
+_TUNED: dict[tuple[str, str], DataFrame] = {}
+
+
 @query("tune_boosted")
 def tune_boosted(spark, folder):
-    """The search over a grid of its own: the default grid is 24 fits of 100 or 200 trees, an hour even here."""
-    features = _features(spark, folder)
-    grid = {
-        "n_estimators": (2, 3), "max_depth": (2, 3), "learning_rate": (0.05, 0.1),
-        "subsample": (0.8,), "colsample": (0.8,),
-    }
-    return models.tune_boosted(
-        features.part("train"), features.names, features.label, features.key, grid, parallelism=8
-    )
+    """The search over the default grid: two depths, two rates, three folds, 100 and 200 rounds; once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TUNED:
+        f = _features(spark, folder)
+        _TUNED[key] = cut_lineage(models.tune_boosted(f.part("train"), f.names, f.label, f.key), "tuned")
+    return _TUNED[key]
+
+
+GRID = " UNION ALL ".join(
+    f"SELECT {n} AS n_estimators, {d} AS max_depth, {r} AS learning_rate" for n, d, r in product(
+        *(config.TUNING_GRID[k] for k in ("n_estimators", "max_depth", "learning_rate"))))
+
+
+@query("tuning_facts", f"""SELECT n_estimators::BIGINT AS n_estimators, max_depth::BIGINT AS max_depth, learning_rate::DOUBLE AS learning_rate,
+ 0.8::DOUBLE AS subsample, 0.8::DOUBLE AS colsample, true AS better_than_chance FROM ({GRID}) g""")
+def tuning_facts(spark, folder):
+    """Every combination of the default grid has an F1, above that of a class drawn at random."""
+    rate = view(spark, folder, "loans").agg(F.avg(F.col("loan_status").isin(*config.DEFAULT_STATUSES).cast("int"))).first()[0]
+    return tune_boosted(spark, folder).select(
+        "n_estimators", "max_depth", "learning_rate", "subsample", "colsample",
+        ((F.col("f1") > rate) & (F.col("f1") <= 1)).alias("better_than_chance"))
+
+
+@query("boosted_validation_curve", f"""SELECT {config.BOOSTED["n_estimators"]}::BIGINT AS rounds, 0::DOUBLE AS f1_gap, 0::DOUBLE AS auc_gap, true AS improves""")
+def boosted_validation_curve(spark, folder):
+    """Rounds of the curve, how far its last row is from the model's own metrics, and whether it rises from the first."""
+    trained = _boosted(spark, folder)
+    curve = cut_lineage(trained.validation_curve(), "curve")
+    own = trained.metrics().where("split = 'validation'").select(F.col("f1").alias("own_f1"), F.col("roc_auc").alias("own_auc"))
+    ends = curve.agg(
+        F.count("*").alias("rounds"), F.max_by("f1", "round").alias("f1"), F.max_by("roc_auc", "round").alias("roc_auc"),
+        F.min_by("roc_auc", "round").alias("first"), F.max("roc_auc").alias("best"))
+    # One row on either side.
+    return ends.join(own, F.lit(True)).select(
+        "rounds", F.round(F.abs(F.col("f1") - F.col("own_f1")), 9).alias("f1_gap"),
+        F.round(F.abs(F.col("roc_auc") - F.col("own_auc")), 9).alias("auc_gap"), (F.col("best") > F.col("first")).alias("improves"))
+
+
+# Given cut points, so that SQL can try every split of a first tree.
+STUMP_CUTS = {
+    "loan_amnt": [4000.0, 8000.0, 12000.0, 20000.0], "dti": [5.0, 10.0, 20.0, 30.0], "installment": [300.0, 700.0, 1100.0],
+    "fico_range_high": [650.0, 700.0, 750.0, 800.0],
+}
+STUMP = Settings(1, 1, 0.3, 1.0, 1.0, 0.1, 1.0)
+_TRIED = " UNION ALL ".join(
+    f"SELECT {i} AS place, '{c}' AS feature, CAST({cut!r} AS DOUBLE) AS threshold, g, h, {c} IS NULL OR {c} <= {cut!r} AS goes_left FROM base"
+    for i, (c, cuts) in enumerate(STUMP_CUTS.items()) for cut in cuts)
+
+
+@query("boosted_first_split", f"""
+WITH base AS (SELECT *, 0.5 - CASE WHEN dti > 15 AND fico_range_high < 760 THEN 1 ELSE 0 END AS g, 0.25 AS h FROM loans),
+tried AS ({_TRIED}),
+sums AS (
+  SELECT place, feature, threshold, sum(g)::DOUBLE AS g, sum(h)::DOUBLE AS h, (sum(g) FILTER (WHERE goes_left))::DOUBLE AS gl,
+         (sum(h) FILTER (WHERE goes_left))::DOUBLE AS hl
+  FROM tried GROUP BY place, feature, threshold
+),
+parts AS (SELECT place, feature, threshold, unnest([g, gl, g - gl]) AS g, unnest([h, hl, h - hl]) AS h, unnest([0, 1, 2]) AS side FROM sums),
+leaves AS (
+  SELECT *, sign(g) * greatest(abs(g) - {STUMP.reg_alpha}, 0) AS soft, h + {STUMP.reg_lambda} AS room FROM parts
+),
+gains AS (
+  SELECT place, feature, threshold, sum(CASE WHEN side = 0 THEN -1 ELSE 1 END * soft * soft / room) / 2 AS gain,
+         sum(CASE WHEN side = 1 THEN -soft / room END) * {STUMP.learning_rate} AS left_value,
+         sum(CASE WHEN side = 2 THEN -soft / room END) * {STUMP.learning_rate} AS right_value
+  FROM leaves GROUP BY place, feature, threshold
+)
+SELECT feature, threshold, round(gain, 6) AS gain, round(left_value, 6) AS left_value, round(right_value, 6) AS right_value
+FROM gains ORDER BY gains.gain DESC, place, threshold LIMIT 1""", ("loans",))
+def boosted_first_split(spark, folder):
+    """The first split of a boosted model of one level, its gain, and the weights of its leaves under both penalties.
+
+    The class is one that the columns tell something of: a split on the loans' own outcome would not pay for its penalty.
+    """
+    loans = view(spark, folder, "loans", heavy=True)
+    tight = (F.col("dti") > 15) & (F.col("fico_range_high") < 760)
+    rows = loans.select("loan_id", *STUMP_CUTS, tight.cast("int").alias("y"))
+    cuts = [np.array(c) for c in STUMP_CUTS.values()]
+    (model,), _ = fit_together(rows, list(STUMP_CUTS), "y", [STUMP], "loan_id", cuts=cuts)
+    tree = model.trees[0]
+    at = int(tree.feature[0])
+    found = [(model.features[at], float(tree.threshold[0]), *(round(float(x), 6) for x in (tree.gain[0], tree.value[1], tree.value[2])))]
+    return spark.createDataFrame(found, "feature string, threshold double, gain double, left_value double, right_value double")
+
+
+@query("baseline_optimum", "SELECT CAST(0 AS DOUBLE) AS largest_slope, true AS balanced FROM (SELECT 1) x")
+def baseline_optimum(spark, folder):
+    """At the fitted baseline, the slope of the penalised, class-weighted loss is 0 in every coefficient and the intercept."""
+    trained = _baseline(spark, folder)
+    f, model = trained.features, trained.model
+    rows = add_balanced_weight(f.part("train"), f.label)
+    margin = sum((F.lit(float(w)) * F.col(c) for c, w in zip(f.names, model.coefficients)), F.lit(float(model.intercept)))
+    error = F.col("weight") * (1 / (1 + F.exp(-margin)) - F.col(f.label))
+    sums = rows.select(*f.names, "weight", error.alias("__e")).agg(
+        F.avg("__e").alias("__intercept"), F.avg("weight").alias("__weight"), F.count("*").alias("__n"),
+        *(F.avg(F.col("__e") * F.col(c)).alias(c) for c in f.names)).first()
+    slopes = [sums["__intercept"], *(sums[c] + float(w) / sums["__n"] for c, w in zip(f.names, model.coefficients))]
+    return spark.createDataFrame(
+        [(abs(round(max(map(abs, slopes)), 4)), abs(sums["__weight"] - 1) < 1e-9)], "largest_slope double, balanced boolean")
+
+
+@query("explain_one_loan", "SELECT min(loan_id) AS loan_id, 5::BIGINT AS factors, true AS as_in_the_batch FROM loans", ("loans",))
+def explain_one_loan(spark, folder):
+    """The explanation of a single loan, by itself and as one of all loans."""
+    trained = _baseline(spark, folder)
+    f, loans = trained.features, view(spark, folder, "loans")
+    one = loans.where(F.col("loan_id") == loans.agg(F.min("loan_id")).first()[0])
+    background = f.part("train")
+    alone = explain(one, f.state, trained.model, "loan_id", background=background)
+    batch = explain(loans, f.state, trained.model, "loan_id", background=background).select(
+        "loan_id", F.col("explanation").alias("other"), F.round("p1", 12).alias("p"))
+    return alone.join(batch, "loan_id").select(
+        "loan_id", F.size("top_factors").cast("long").alias("factors"),
+        ((F.col("explanation") == F.col("other")) & (F.round("p1", 12) == F.col("p"))).alias("as_in_the_batch"))
 
 
 @query("boosted_importance")
@@ -131,7 +253,7 @@ def importance_facts(spark, folder):
 
 @query("explain_loans_linear")
 def explain_loans_linear(spark, folder):
-    trained = train(_features(spark, folder), "baseline")
+    trained = _baseline(spark, folder)
     f = trained.features
     return explain(view(spark, folder, "loans"), f.state, trained.model, "loan_id", background=f.part("train"))
 

@@ -9,7 +9,7 @@ from riskspark.operators import drift, history, perflog
 from riskspark.operators.metrics import evaluate, model_comparison
 from riskspark.plans.monitoring import check_drift, log_scored
 from riskspark.session import new_path
-from riskspark.sources.sinks import append_aligned, append_log, read_log
+from riskspark.sources.sinks import append_aligned, append_batch, read_log
 from riskspark.streaming import jobs
 from workload.registry import query, rounded
 from workload.views import view
@@ -187,9 +187,9 @@ WITH d AS ({DAILY}) SELECT {ROUNDED_LOG}, note FROM (SELECT *, 'first' AS note F
 def performance_log_append(spark, folder):
     path = new_path(spark, "log")
     daily = _daily(spark, folder)
-    append_log(daily.withColumn("note", F.lit("first")), path)
-    append_log(daily.withColumn("note", F.lit("second")), path)
-    return _texts(read_log(spark, path))
+    for note in ("first", "second", "first"):  # the first batch is sent twice, as by a retry
+        append_batch(daily.withColumn("note", F.lit(note)), path, f"batch-{note}")
+    return _texts(read_log(spark, path).drop("log_day", "batch"))
 
 
 @query("aligned_append", f"""
@@ -203,8 +203,8 @@ def aligned_append(spark, folder):
 def logged_batches(spark, folder):
     path = new_path(spark, "log")
     scored = view(spark, folder, "predictions").withColumn("day", F.date_trunc("day", F.col("ts").cast("timestamp")))
-    log_scored(scored, "day", path)
-    return _texts(read_log(spark, path))
+    log_scored(scored, "day", path, "all")
+    return _texts(read_log(spark, path).drop("log_day", "batch"))
 
 
 RECENT = f"""WITH d AS ({DAILY}), m AS (SELECT * FROM d WHERE "timestamp" >= (SELECT max("timestamp") FROM d) - INTERVAL 7 DAY)"""
@@ -220,6 +220,15 @@ def recent_log(spark, folder):
     return _texts(perflog.recent(log, _as_of(log), 7))
 
 
+@query("recent_stored_log", f"""{RECENT} SELECT {ROUNDED_LOG}, strftime("timestamp", '%Y-%m-%d') AS log_day FROM m""", ("predictions",))
+def recent_stored_log(spark, folder):
+    """Recent rows of a log that lies by day: folders of earlier days are not opened."""
+    path, log = new_path(spark, "log"), _daily(spark, folder)
+    append_batch(log, path, "all")
+    recent = perflog.recent(read_log(spark, path), _as_of(log), 7).drop("batch")
+    return _texts(recent).withColumn("log_day", F.date_format("log_day", "yyyy-MM-dd"))
+
+
 @query("performance_stats", f"""{RECENT}
 SELECT CAST(sum(num_predictions) AS BIGINT) AS total_predictions, round(avg(prediction_rate), 6) AS avg_prediction_rate,
  round(avg(avg_confidence), 6) AS avg_confidence, CAST(7 AS BIGINT) AS days_monitored FROM m HAVING count(*) > 0""", ("predictions",))
@@ -264,6 +273,16 @@ def metric_history(spark, folder):
     return rounded(seen.withColumn("place", F.row_number().over(Window.orderBy("seen")).cast("long")).drop("seen"))
 
 
+@query("metric_history_from_counts", f"WITH {_metric_ctes('versions')} SELECT f.version, registered_at, round(f1, 6) AS metric_f1, round(roc_auc, 6) AS metric_roc_auc FROM f JOIN a ON f.version = a.version", ("versions",))
+def metric_history_from_counts(spark, folder):
+    """The history from stored counts of scores, to which the predictions are added in two batches, one of them twice."""
+    versions, path = view(spark, folder, "versions"), new_path(spark, "counts")
+    for part in (0, 1, 0):
+        history.add_score_counts(versions.where(F.col("loan_id") % 2 == part), path, f"part-{part}")
+    rows = history.metrics_of_counts(history.read_score_counts(spark, path))
+    return rounded(history.metric_history(rows))
+
+
 @query("evaluate_groups", f"""WITH g0 AS (SELECT CASE WHEN loan_id % 5 = 0 THEN 'a' WHEN loan_id % 5 = 1 THEN 'b' END AS version, 1 AS registered_at, y_true,
  CASE WHEN loan_id % 5 <> 1 THEN p1 END AS p1 FROM scored), {_metric_ctes('g0')}
 SELECT f.version AS part, round(CASE WHEN f.version = 'b' THEN CAST(0 AS DOUBLE) ELSE f1 END, 6) AS f1, round(CASE WHEN f.version IS DISTINCT FROM 'b' THEN roc_auc END, 6) AS roc_auc
