@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from riskspark import config
 from riskspark.functions.columns import finite, present
 from riskspark.functions.pvalues import chi_square, kolmogorov, normal_two_sided
 from riskspark.operators.prefix import add_buckets, cut_points, running_totals
+from riskspark.session import cut_lineage
 
 RESULT = (
     "feature string, kind string, test string, statistic double, p_value double, drifted boolean"
@@ -126,19 +127,27 @@ def numeric_distances(
         stacked.select(*names, "__reference").fillna(float("-inf"), names),
         cut_points(stacked, names, buckets),
     )
-    # A column travels as its position: one row per distinct value is shuffled.
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("at"), F.col(f"{c}__bucket").alias("bucket"), F.col(c).alias("value"))
-        for i, c in enumerate(names)
-    ])
     counts = (
-        bucketed.select("__reference", F.inline(entries))
+        bucketed.select("__reference", F.inline(_entries(names)))
         .filter(F.col("value") > float("-inf"))
         .groupBy("at", "bucket", "value")
         .agg(F.count_if("__reference").alias("ref"), F.count_if(~F.col("__reference")).alias("cur"))
     )
+    return distances_of_counts(counts, profiles)
+
+
+def _entries(names: Sequence[str]) -> Column:
+    """A row's values with their buckets. A column travels as its position: one row per distinct value is shuffled."""
+    return F.array(*[
+        F.struct(F.lit(i).alias("at"), F.col(f"{c}__bucket").alias("bucket"), F.col(c).alias("value"))
+        for i, c in enumerate(names)
+    ])
+
+
+def distances_of_counts(counts: DataFrame, profiles: Sequence[ColumnProfile]) -> DataFrame:
+    """``numeric_distances`` from ``ref`` and ``cur`` rows of each (at, bucket, value), ``at`` being a profile's place."""
     steps = running_totals(counts, ["at"], "bucket", "value", ["ref", "cur"]).join(
-        _sizes_table(stacked, profiles), "at"
+        _sizes_table(counts, profiles), "at"
     )
     upto_ref = (F.col("ref_before") + F.col("ref")).cast("double") / F.nullif(F.col("n_ref"), F.lit(0))
     upto_cur = (F.col("cur_before") + F.col("cur")).cast("double") / F.nullif(F.col("n_cur"), F.lit(0))
@@ -203,6 +212,13 @@ def categorical_distances(
     )
 
 
+def _small(method: str, rows: int, small_reference: int) -> bool:
+    """Whether columns are compared by hypothesis tests."""
+    if method not in ("test", "distance", "by_size"):
+        raise ValueError(f"method is test, distance or by_size, not {method}")
+    return rows <= small_reference if method == "by_size" else method == "test"
+
+
 def drift_report(
     reference: DataFrame | None,
     current: DataFrame,
@@ -229,11 +245,21 @@ def drift_report(
         return spark.createDataFrame([], RESULT)
     stacked = stack(reference, current, names)
     rows, profiles = _profile(stacked, names, few_values)
-    if method not in ("test", "distance", "by_size"):
-        raise ValueError(f"method is test, distance or by_size, not {method}")
-    small = rows <= small_reference if method == "by_size" else method == "test"
+    small = _small(method, rows, small_reference)
     many = [p for p in profiles if p.numeric and p.distinct > few_values]
     few = [p for p in profiles if p not in many]
+    return _judged(
+        spark, profiles, numeric_distances(stacked, many, buckets) if many else None,
+        categorical_distances(category_frequencies(stacked, [p.name for p in few]), few) if few else None,
+        small, p_value, distance,
+    )
+
+
+def _judged(
+    spark: SparkSession, profiles: Sequence[ColumnProfile], numeric: DataFrame | None, categorical: DataFrame | None,
+    small: bool, p_value: float, distance: float,
+) -> DataFrame:
+    """The report from what was measured of numeric columns and of those with categories."""
     kinds = F.broadcast(
         spark.createDataFrame(
             [(p.name, "numeric" if p.numeric else "categorical") for p in profiles],
@@ -242,15 +268,15 @@ def drift_report(
     )
     parts = []
     none = F.lit(None).cast("double")
-    if many:
-        measured = numeric_distances(stacked, many, buckets)
+    if numeric is not None:
+        measured = numeric
         if small:
             tail = kolmogorov(F.col("ks"), F.col("n_ref"), F.col("n_cur"))
             parts.append(measured.select("feature", F.lit("ks").alias("test"), F.col("ks").alias("statistic"), tail.alias("p_value")))
         else:
             parts.append(measured.select("feature", F.lit("wasserstein").alias("test"), F.col("wasserstein").alias("statistic"), none.alias("p_value")))
-    if few:
-        measured = categorical_distances(category_frequencies(stacked, [p.name for p in few]), few)
+    if categorical is not None:
+        measured = categorical
         if small:
             two = F.col("degrees") <= 1
             parts.append(
@@ -276,6 +302,118 @@ def drift_report(
     )
 
 
+@dataclass(frozen=True)
+class PreparedReference:
+    """A drift reference as counts: what a comparison needs of it, without its rows.
+
+    ``counts`` is stored and has ``ref`` rows per column (``at``) and distinct value: of numeric columns by ``bucket``
+    and ``value``, of all by ``text``.
+    """
+
+    columns: tuple[str, ...]
+    numeric: tuple[str, ...]
+    rows: int
+    filled: dict[str, int]
+    deviation: dict[str, float | None]
+    distinct: dict[str, int]
+    cuts: dict[str, list[float]]
+    counts: DataFrame
+
+
+def _value_counts(df: DataFrame, columns: Sequence[str], numeric: Sequence[str], cuts: dict[str, list[float]], name: str) -> DataFrame:
+    """Rows per column and distinct value of a cleaned table, in one pass; stored."""
+    bucketed = add_buckets(df.fillna(float("-inf"), list(numeric)), cuts)
+    nothing, none = F.lit(None).cast("double"), F.lit(None).cast("string")
+    entries = [
+        F.struct(F.lit(i).alias("at"), F.col(f"{c}__bucket").alias("bucket"), F.col(c).alias("value"), none.alias("text"))
+        if c in numeric else
+        F.struct(F.lit(i).alias("at"), F.lit(0).alias("bucket"), nothing.alias("value"), F.col(c).alias("text"))
+        for i, c in enumerate(columns)
+    ]
+    rows = bucketed.select(F.inline(F.array(*entries))).filter((F.col("value") > float("-inf")) | F.col("text").isNotNull())
+    counted = rows.groupBy("at", "bucket", "value", "text").agg(F.count("*").alias(name))
+    return cut_lineage(counted, "drift-counts")
+
+
+def _cleaned(df: DataFrame, columns: Sequence[str], numeric: Sequence[str]) -> DataFrame:
+    return df.select(*(finite(df, c).alias(c) if c in numeric else present(df, c).cast("string").alias(c) for c in columns))
+
+
+def prepare_reference(
+    reference: DataFrame | None, columns: Sequence[str] | None = None, numeric: Sequence[str] | None = None,
+    buckets: int | None = None,
+) -> PreparedReference:
+    """Count the values of a reference once, for any number of comparisons.
+
+    ``numeric`` columns are compared as numbers if the current table has numbers there as well (the default: those that are
+    numeric in the reference). Edges of buckets, sizes and deviations reach the driver; the counts are stored.
+    """
+    reference = require_reference(reference)
+    names = tuple(columns or comparable_columns(reference, reference))
+    numbers = tuple(c for c in names if _numeric(reference, c) and (numeric is None or c in numeric))
+    rows = _cleaned(reference, names, numbers)
+    cuts = cut_points(rows, list(numbers), buckets) if numbers else {}
+    sizes = rows.agg(
+        F.count("*").alias("__n"), *(F.count(c).alias(f"{c}__filled") for c in names),
+        *(F.stddev_pop(c).alias(f"{c}__std") for c in numbers)).first()
+    counts = _value_counts(rows, names, numbers, cuts, "ref")
+    distinct = {names[r["at"]]: r["n"] for r in counts.groupBy("at").agg(F.count("*").alias("n")).collect()}
+    return PreparedReference(
+        names, numbers, sizes["__n"], {c: sizes[f"{c}__filled"] for c in names},
+        {c: sizes[f"{c}__std"] for c in numbers}, distinct, cuts, counts)
+
+
+def drift_report_against(
+    prepared: PreparedReference,
+    current: DataFrame,
+    p_value: float = config.DRIFT_P_VALUE,
+    distance: float = config.DRIFT_DISTANCE,
+    small_reference: int = config.DRIFT_SMALL_REFERENCE,
+    few_values: int = config.DRIFT_CATEGORICAL_UP_TO,
+    method: str = "distance",
+) -> DataFrame:
+    """``drift_report`` against a prepared reference: the current rows are counted, and the counts of both sides meet."""
+    spark, names = current.sparkSession, prepared.columns
+    if not names:
+        return spark.createDataFrame([], RESULT)
+    text = [c for c in prepared.numeric if not _numeric(current, c)]
+    if text:
+        raise ValueError(f"The reference holds numbers where the current table does not: {text}")
+    own = _value_counts(_cleaned(current, names, prepared.numeric), names, prepared.numeric, prepared.cuts, "cur")
+    filled = {r["at"]: r["n"] for r in own.groupBy("at").agg(F.sum("cur").alias("n")).collect()}
+    zero = F.lit(0).cast("long")
+    merged = (
+        prepared.counts.withColumn("cur", zero).unionByName(own.withColumn("ref", zero))
+        .groupBy("at", "bucket", "value", "text").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    )
+    # Values of both sides are counted for columns of few values in the reference; the others have many whatever comes.
+    unsure = [i for i, c in enumerate(names) if c in prepared.numeric and prepared.distinct.get(c, 0) <= few_values]
+    values = {r["at"]: r["n"] for r in merged.where(F.col("at").isin(unsure)).groupBy("at").agg(
+        F.count("*").alias("n")).collect()} if unsure else {}
+    profiles = [
+        ColumnProfile(c, c in prepared.numeric, prepared.filled[c], filled.get(i, 0), prepared.deviation.get(c),
+                      values.get(i, 0) if i in unsure else prepared.distinct.get(c, 0))
+        for i, c in enumerate(names)
+    ]
+    many = [p for p in profiles if p.numeric and p.distinct > few_values]
+    few = [p for p in profiles if p not in many]
+
+    def chosen(some: Sequence[ColumnProfile]) -> DataFrame:
+        """The counts of these columns, with the place of each among them."""
+        at = F.create_map(*(x for i, p in enumerate(some) for x in (F.lit(names.index(p.name)), F.lit(i))))
+        return merged.where(F.col("at").isin([names.index(p.name) for p in some])).withColumn("at", at[F.col("at")])
+
+    frequencies = None
+    if few:
+        labels = F.array(*(F.lit(p.name) for p in few))
+        value = F.coalesce("text", F.col("value").cast("string"))
+        frequencies = chosen(few).select(F.get(labels, F.col("at")).alias("feature"), value.alias("value"), "ref", "cur")
+    return _judged(
+        spark, profiles, distances_of_counts(chosen(many).select("at", "bucket", "value", "ref", "cur"), many) if many else None,
+        categorical_distances(frequencies, few) if few else None, _small(method, prepared.rows, small_reference), p_value, distance,
+    )
+
+
 def drift_summary(report: DataFrame, dataset_share: float = config.DRIFT_DATASET_SHARE) -> DataFrame:
     """One row: ``drift_detected, drifted_features, drift_share, total_features``."""
     return report.agg(

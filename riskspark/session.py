@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -45,7 +46,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_OWNERS: list[list[str]] = []
+class _Owners(threading.local):
+    """Open ``intermediates`` blocks: each thread's own, as a stream's batches run beside other jobs."""
+
+    def __init__(self) -> None:
+        self.stack: list[list[str]] = []
+
+
+_OWNERS = _Owners()
 
 
 @contextmanager
@@ -55,19 +63,19 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
     For jobs that write their results before they leave the block: what a DataFrame still has to
     read is gone afterwards.
     """
-    _OWNERS.append([])
+    _OWNERS.stack.append([])
     try:
         yield
     finally:
-        for path in _OWNERS.pop():
+        for path in _OWNERS.stack.pop():
             remove(spark, path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has written to yet."""
     path = f"{shared_folder(spark).rstrip('/')}/riskspark/{name}-{uuid.uuid4().hex}"
-    if _OWNERS:
-        _OWNERS[-1].append(path)
+    if _OWNERS.stack:
+        _OWNERS.stack[-1].append(path)
     return path
 
 

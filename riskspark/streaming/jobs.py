@@ -7,14 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from riskspark.operators.drift import drift_report, drift_summary
+from riskspark.operators.drift import drift_report_against, drift_summary, prepare_reference
 from riskspark.operators.perflog import log_columns, log_sums
 from riskspark.operators.preprocess import Preprocessor
 from riskspark.plans.scoring import score
-from riskspark.session import cut_lineage, new_path, remove
-from riskspark.sources.sinks import save_reference
+from riskspark.session import intermediates
 
 #: Work through what is there and end. ``{"processingTime": "1 minute"}`` goes on for ever.
 ONCE = {"availableNow": True}
@@ -113,19 +113,16 @@ def stream_drift(
 ) -> StreamingQuery:
     """Compare every micro-batch with a fixed reference; one summary row per batch.
 
-    The compared columns of the reference are stored once, when the stream starts. A batch writes its own
-    folder, so a batch that is run again replaces its result; the copy of a batch goes with its result.
+    The values of the reference are counted once, when the stream starts; its rows are not read again. A batch adds the
+    counts of its own values. It writes its own folder, so that a batch that is run again replaces its result.
     """
-    spark = current.sparkSession
-    prepared = cut_lineage(reference.select(*columns), "drift-reference")
+    numeric = [f.name for f in current.schema if isinstance(f.dataType, T.NumericType)]
+    prepared = prepare_reference(reference, columns, numeric)
 
     def compare(batch: DataFrame, batch_id: int) -> None:
-        # The batch is read several times below; keep one copy of it until then.
-        copy = new_path(spark, f"batch-{batch_id}")
-        stored = save_reference(batch.select(*columns), copy)
-        summary = drift_summary(drift_report(prepared, stored, columns, **limits))
-        summary.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        remove(spark, copy)
+        with intermediates(batch.sparkSession):
+            summary = drift_summary(drift_report_against(prepared, batch.select(*columns), **limits))
+            summary.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         current.writeStream.foreachBatch(compare)

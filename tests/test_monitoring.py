@@ -269,3 +269,42 @@ def test_history_from_counts_equals_the_whole_computation(spark):
     whole = {(r["version"], r["metric"]): r["value"] for r in history.metric_rows(rows).collect()}
     found = {(r["version"], r["metric"]): r["value"] for r in counted.collect()}
     assert found.keys() == whole.keys() and all(found[k] == pytest.approx(whole[k]) for k in whole)
+
+
+@pytest.mark.parametrize("method", ["distance", "test", "by_size"])
+def test_a_prepared_reference_gives_the_same_report(spark, tables, method):
+    reference, same, shifted = tables
+    words = F.when(F.col("feature3") > 6, "high").when(F.col("feature3") > 1, "low")
+    both = [t.withColumns({"word": words, "flag": F.col("feature3") > 4, "few": F.col("feature3") % 3}) for t in (reference, shifted)]
+    both[1] = both[1].withColumn("few", F.when(F.col("feature3") < 9, F.col("few"))).withColumn(
+        "feature2", F.when(F.col("feature3") > 0, F.col("feature2")).otherwise(float("nan")))
+    prepared = drift.prepare_reference(both[0])
+    for current in (both[1], both[0], both[1].limit(0)):
+        whole = {r["feature"]: r for r in drift.drift_report(both[0], current, method=method).collect()}
+        found = {r["feature"]: r for r in drift.drift_report_against(prepared, current, method=method).collect()}
+        assert found.keys() == whole.keys() and len(found) == 6
+        for c, r in found.items():
+            for name in ("kind", "test", "drifted"):
+                assert r[name] == whole[c][name], (c, name)
+            for name in ("statistic", "p_value"):
+                assert r[name] == pytest.approx(whole[c][name]), (c, name)
+    with pytest.raises(ValueError):
+        drift.drift_report_against(prepared, both[1].withColumn("feature1", F.lit("x")))
+
+
+def test_batches_do_not_read_the_reference_again(spark, tables):
+    import shutil
+
+    reference, same, shifted = tables
+    path, source, out = new_path(spark, "reference"), new_path(spark, "current"), new_path(spark, "drift")
+    reference.write.parquet(path)
+    prepared = drift.prepare_reference(spark.read.parquet(path))
+    shutil.rmtree(path.removeprefix("file:"))
+    rows = drift.drift_report_against(prepared, shifted).collect()
+    assert {r["feature"] for r in rows if r["drifted"]} == {"feature1"}
+    for part in (same, shifted):
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(shifted.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.stream_drift(stream, reference, reference.columns, out, new_path(spark, "state")).awaitTermination()
+    found = sorted(tuple(r["drifted_features"]) for r in spark.read.parquet(out).collect())
+    assert found == [(), ("feature1",)]
