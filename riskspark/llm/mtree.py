@@ -264,11 +264,13 @@ def top_k(
     fewer candidates gets all of them. Equal scores rank by vec_id. A row is no candidate for a query of
     the same key. Rows without a key, and vectors that are null, empty or hold null or non-finite
     components, take no part. Rows alike in key and vector are one. Vectors of another length than the
-    query's are no candidates.
+    query's are no candidates. Nor do vectors take part whose whole numbers have a length of 2^31 or more (for a scale of
+    256, of about 8 million): only below that is every score sure to be a 64-bit number.
     """
 
     def clean(rows: DataFrame) -> DataFrame:
-        chosen = rows.where(F.col(key).isNotNull() & usable(F.col(vector)))
+        length = F.aggregate(vector, F.lit(0.0), lambda sum_, x: sum_ + F.pow(F.abs(x.cast("double")) * scale + 1, F.lit(2)))
+        chosen = rows.where(F.col(key).isNotNull() & usable(F.col(vector))).where(length < float(1 << 62))
         whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
         return chosen.select(F.col(key).cast("long").alias("vec_id"), whole.alias("vector"))
 

@@ -128,3 +128,12 @@ def test_a_group_of_near_copies_with_a_third_of_all_rows_keeps_its_links(spark,
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mtree.top_k(empty, empty).collect() == [] and pivot_dedup.near_duplicates(empty).collect() == []
+
+
+def test_very_large_components_do_not_end_a_search(spark):
+    rows = [(i, [float(i % 7), -1.0 * i]) for i in range(60)] + [(100, [1e16, 0.0]), (101, [1e300, 1.0]), (150, [3e6, 1.0]), (151, [3e6, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = mtree.top_k(table, table.where("vec_id % 50 = 0")).collect()
+    assert {r.query_id for r in found} == {0, 50, 150} and not {100, 101} & {r.vec_id for r in found}
+    best = [r for r in found if r.query_id == 150 and r["rank"] == 1][0]
+    assert (best.vec_id, best.score) == (151, (256 * 3_000_000) ** 2 + 256 * 512)
