@@ -164,7 +164,7 @@ def fit(
     """Learn from documents drawn by a hash of ``key`` among the labelled ones, about SAMPLE_ROWS of them.
 
     Null labels and labels of unknown documents are left out; a key with several labels has their mean,
-    rounded. The driver gets the inputs of the sample, never a text. Without labelled rows the machine
+    rounded, and one with several documents is learned from the first of them by a hash of the text. The driver gets the inputs of the sample, never a text. Without labelled rows the machine
     scores 0.5; with one label only, it leans to that.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(
@@ -174,6 +174,9 @@ def fit(
     chosen = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"), _recorded(docs, length))
     # At most 2 * SAMPLE_ROWS pairs of numbers, whatever the input.
     chosen = chosen.join(F.broadcast(drawn), "__key").select("__key", "label", "text", "recorded")
+    # One document per key, chosen before the shuffle, so that rows of one key are one row per task.
+    first = F.min(F.struct(F.xxhash64("text").alias("order"), "text", "recorded")).alias("first")
+    chosen = chosen.groupBy("__key", "label").agg(first).select("__key", "label", "first.text", "first.recorded")
     schema = T.StructType([
         T.StructField("key", T.StringType()), T.StructField("label", T.IntegerType()),
         T.StructField("inputs", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.FloatType())),

@@ -1,8 +1,10 @@
 """The factorisation machine."""
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-import zlib
+from pyspark.sql import functions as F
 
 from riskspark.llm import quality_fm
 from riskspark.llm.queries import QUERIES
@@ -57,3 +59,12 @@ def test_odd_rows(spark, odd, empty):
     assert quality_fm.score(empty, machine).collect() == []
     none = quality_fm.fit(odd, labels.limit(0))
     assert {r.score for r in quality_fm.score(odd, none).collect()} == {0.5}
+
+
+def test_a_key_of_many_documents_is_one_example(spark, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 700).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    seen, train = [], quality_fm.train
+    monkeypatch.setattr(quality_fm, "train", lambda samples, labels: seen.append(len(samples)) or train(samples, labels))
+    one, two = quality_fm.fit(rows.repartition(5), labels), quality_fm.fit(rows, labels)
+    assert seen == [2, 2] and np.array_equal(one.weights, two.weights)
