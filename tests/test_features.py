@@ -185,3 +185,12 @@ def test_intermediate_tables_go_with_their_owner(spark, tmp_path):
         cut_lineage(spark.range(10), "owned").write.parquet(str(tmp_path / "result"))
     assert set(glob.glob(f"{folder}/riskspark/*")) == before
     assert spark.read.parquet(str(tmp_path / "result")).count() == 10
+
+
+def test_correlations_of_columns_with_any_name(spark):
+    from riskspark.operators.eda import correlation_matrix
+
+    df = spark.createDataFrame([(float(i), float(-i), 1.0) for i in range(9)], "`a|b` double, c double, `d.e` double")
+    found = {(r["feature_a"], r["feature_b"]): r["correlation"] for r in correlation_matrix(df.withColumnRenamed("d.e", "d"), ["a|b", "c", "d"]).collect()}
+    assert len(found) == 9 and found["a|b", "c"] == pytest.approx(-1) == found["c", "a|b"]
+    assert found["a|b", "a|b"] == 1 and found["d", "d"] is None and found["c", "d"] is None
