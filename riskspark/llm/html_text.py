@@ -56,6 +56,8 @@ _AROUND = frozenset(
 _MODIFIERS = frozenset("has no with without open opened closed enabled disabled collapsed expanded layout".split())
 #: Words whose elements stay around the text however much they hold.
 _TALK = frozenset("comment comments reply replies disqus discussion responses".split())
+#: Words that also name what an article is about: in one, they mark only what is short or mostly links.
+_SUBJECTS = frozenset("menu navigation social legal search login promotion subscription sharing copyright alert related".split())
 _WRAPPERS = frozenset("wrapper wrap container page layout site".split())
 _HEADERS = frozenset(["header"])
 _LANDMARK, _OF_LANDMARK = frozenset("article entry post story main".split()), frozenset("content body text".split())
@@ -70,13 +72,19 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Mark:
-    """An element that reads as around the main text, within the mark ``outer`` (0: none)."""
+    """An element that reads as around the main text, within the mark ``outer`` (0: none).
+
+    ``subject``: only words in _SUBJECTS say so, and it stands in a landmark.
+    """
 
     outer: int
     sure: bool
     wraps: bool
+    subject: bool = False
     own: int = 0
     prose: int = 0
+    size: int = 0
+    linked: int = 0
 
 
 @dataclass
@@ -87,6 +95,7 @@ class Block:
     linked: int
     around: bool
     landmark: str
+    region: int
     heading: bool
 
 
@@ -109,15 +118,16 @@ def blocks_of(page: str) -> list[Block]:
     linked = 0
     marks = [Mark(0, False, False)]
     held: list[int] = []  # the mark of each block
-    # Open elements: name, innermost mark, landmark, whether in a link, whether in a heading.
-    stack: list[tuple[str, int, str, bool, bool]] = [("", 0, "", False, False)]
+    regions = 0
+    # Open elements: name, innermost mark, landmark and the number of it, whether in a link, whether in a heading.
+    stack: list[tuple[str, int, str, int, bool, bool]] = [("", 0, "", 0, False, False)]
     open_names: dict[str, int] = {}
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(runs).split())
         if text:
-            blocks.append(Block(text, linked, False, stack[-1][2], stack[-1][4]))
+            blocks.append(Block(text, linked, False, stack[-1][2], stack[-1][3], stack[-1][5]))
             held.append(stack[-1][1])
         runs.clear()
         linked = 0
@@ -126,7 +136,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = html.unescape(raw) if "&" in raw else raw
         runs.append(text)
-        if stack[-1][3]:
+        if stack[-1][4]:
             linked += len(text.strip())
 
     def pop_to(name: str) -> None:
@@ -167,7 +177,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in ("p", "li", "a", "option", "dd", "dt", "tr", "td", "th") and stack[-1][0] == name:
             pop_to(name)
-        _, mark, landmark, link, heading = stack[-1]
+        _, mark, landmark, region, link, heading = stack[-1]
         if (name not in _PLAIN or "=" in inside) and name not in ("html", "body"):
             words, telling, found = _marks(inside)
             role = set(found.get("role", "").lower().split())
@@ -184,13 +194,17 @@ def blocks_of(page: str) -> list[Block]:
                 marks[mark].wraps |= marked or lands or name == "h1"
             if marked:
                 wraps = name == "form" or lands or bool(words & _WRAPPERS and not sure)
-                marks.append(Mark(mark, sure, wraps))
+                subject = bool(landmark) and not (sure or header or name == "form") and telling & _AROUND <= _SUBJECTS
+                marks.append(Mark(mark, sure, wraps, subject))
                 mark = len(marks) - 1
             if lands:
-                landmark = "article" if name != "main" and "main" not in words or landmark == "article" else "main"
+                inner = "article" if name != "main" and "main" not in words or landmark == "article" else "main"
+                if inner != landmark:
+                    regions += 1
+                    landmark, region = inner, regions
         link = link or name == "a" and "href" in inside.lower()
         heading = heading or len(name) == 2 and name[0] == "h" and name[1] in "123456"
-        stack.append((name, mark, landmark, link, heading))
+        stack.append((name, mark, landmark, region, link, heading))
         open_names[name] = open_names.get(name, 0) + 1
     close()
     _lift(blocks, held, marks)
@@ -202,15 +216,20 @@ def _lift(blocks: list[Block], held: list[int], marks: list[Mark]) -> None:
 
     A mark that is not sure is passed over if its element holds more than half of the prose, if nearly none stands
     outside of marks, and if the element reads as a wrapper: an article or form, or with a landmark, a main heading
-    or further marks in it.
+    or further marks in it. A mark by a word that may be the article's subject is passed over unless its
+    element is short or mostly links.
     """
     for block, mark in zip(blocks, held):
         marks[mark].own += len(block.text) - block.linked
+        marks[mark].size += len(block.text)
+        marks[mark].linked += block.linked
     for mark in marks[1:]:
         mark.sure = mark.sure or marks[mark.outer].sure
         mark.prose = 0 if mark.sure else mark.own
     for i in range(len(marks) - 1, 0, -1):
         marks[marks[i].outer].prose += marks[i].prose
+        marks[marks[i].outer].size += marks[i].size
+        marks[marks[i].outer].linked += marks[i].linked
         marks[marks[i].outer].wraps |= marks[i].wraps and not marks[i].sure
     total, outside = marks[0].prose + marks[0].own, marks[0].own
     told = any(not m and b.landmark == "article" and not b.heading for b, m in zip(blocks, held))
@@ -218,7 +237,8 @@ def _lift(blocks: list[Block], held: list[int], marks: list[Mark]) -> None:
     for i, mark in enumerate(marks[1:], 1):
         inner = around[mark.outer]
         lifted = not (inner or mark.sure or told) and mark.wraps and 2 * mark.prose > total and 10 * outside <= mark.prose
-        around[i] = inner or not lifted
+        about = mark.subject and not mark.sure and mark.size > SHORT and mark.linked <= MOST_LINKS * mark.size
+        around[i] = inner or not (lifted or about)
         if lifted:
             outside += mark.own
             told = any(m == i and b.landmark == "article" and not b.heading for b, m in zip(blocks, held))
@@ -231,9 +251,24 @@ def _is_landmark(name: str, words: set[str], found: dict[str, str]) -> bool:
         "itemprop", "").lower() == "articlebody" or bool(words & _LANDMARK and words & _OF_LANDMARK)
 
 
+def _holder(blocks: list[Block]) -> str:
+    """The kind of landmark that holds the text, if any: articles, unless main itself holds more than each of them.
+
+    Articles in or beside a main with more prose of its own are teasers of other pages.
+    """
+    prose: dict[str, dict[int, int]] = {}
+    for block in blocks:
+        if not block.around and block.landmark:
+            held = prose.setdefault(block.landmark, {})
+            held[block.region] = held.get(block.region, 0) + (0 if block.heading else len(block.text) - block.linked)
+    if "main" in prose and sum(prose["main"].values()) > max(prose.get("article", {0: 0}).values()):
+        return "main"
+    return next((kind for kind in ("article", "main") if kind in prose), "")
+
+
 def labels_of(blocks: list[Block]) -> list[bool]:
     """Whether each block is main text."""
-    within = next((k for k in ("article", "main") if any(b.landmark == k and not b.around for b in blocks)), "")
+    within = _holder(blocks)
     labels: list[bool | None] = []
     prose: list[bool] = []
     for block in blocks:
@@ -241,7 +276,7 @@ def labels_of(blocks: list[Block]) -> list[bool]:
         words = _WORD.findall(block.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
         prose.append(stops >= SOME_STOPS or block.heading)
-        if block.around or within and (block.landmark != within and not (within == "main" and block.landmark)):
+        if block.around or within and block.landmark != within:
             labels.append(False)
         elif density > MOST_LINKS and not (within and stops >= MANY_STOPS):
             labels.append(False)
@@ -255,7 +290,7 @@ def labels_of(blocks: list[Block]) -> list[bool]:
             labels.append(None)
     # What elements or classes mark as around the text says nothing about its neighbours, nor do blocks
     # outside of the article if there is one.
-    chosen = [i for i, b in enumerate(blocks) if not b.around and (not within or b.landmark)]
+    chosen = [i for i, b in enumerate(blocks) if not b.around and (not within or b.landmark == within)]
     for i, label in zip(chosen, _inherited([labels[i] for i in chosen], [bool(within) or prose[i] for i in chosen])):
         labels[i] = label
     return [bool(x) for x in labels]

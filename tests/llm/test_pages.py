@@ -67,6 +67,37 @@ def test_long_surroundings_still_go(around, text):
     assert main_text(f"<body><div class=layout-sidebar>{around}{text.format(ARTICLE)}</div></body>") == f"Title {PROSE} Short. {PROSE}"
 
 
+TEASER = f"<article class=teaser><h3><a href=/x>More</a></h3><p>{PROSE}</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body>{AROUND}<main>{ARTICLE}</main><section>{TEASER * 5}</section></body>",
+    f"<body>{AROUND}<main>{ARTICLE}<section>{TEASER * 5}</section></main></body>",
+    f"<body><section>{TEASER * 5}</section><main>{ARTICLE}</main></body>",
+    f"<body><main>{ARTICLE}<article><p>Short teaser.</p></article></main></body>",
+    f"<body><main><article><p>A</p></article><div>{ARTICLE}</div></main></body>",
+])
+def test_main_with_teasers_keeps_the_text_and_not_the_teasers(page):
+    assert main_text(page) == f"Title {PROSE} Short. {PROSE}"
+
+
+@pytest.mark.parametrize("page", [
+    f"<main><p>Short words above.</p><article>{ARTICLE}</article><p>And below.</p></main>",
+    f"<main>{AROUND}<article>{ARTICLE}</article></main>{TEASER.replace('teaser', 'comment')}",
+])
+def test_article_in_main_keeps_its_text(page):
+    assert main_text(page) == f"Title {PROSE} Short. {PROSE}"
+
+
+@pytest.mark.parametrize("name", ["social-history", "legal-analysis", "menu", "search-methods"])
+def test_sections_named_after_their_subject_stay(name):
+    section = f"<section class={name}><h2>Part</h2><p>{PROSE}</p></section>"
+    assert main_text(f"<article>{ARTICLE}{section}</article>") == f"Title {PROSE} Short. {PROSE} Part {PROSE}"
+    links = f"<div class={name}><a href=/1>{PROSE}</a></div><div class={name}>Share this</div><div class=ad>{PROSE}</div>"
+    assert main_text(f"<article>{ARTICLE}{links}</article>") == f"Title {PROSE} Short. {PROSE}"
+    assert main_text(f"<article>{ARTICLE}</article>{section}") == f"Title {PROSE} Short. {PROSE}"
+
+
 def test_article_without_stop_words_is_kept():
     assert main_text("<nav>the of and</nav><article><p>xx | yy | zz</p></article>") == "xx | yy | zz"
 
