@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskspark.session import cut_lineage
 
 #: Distinct sites from which a line is boilerplate.
-MIN_SITES = 10
+MIN_SITES = 4
 #: A shorter line, in characters without outer white space, is never boilerplate.
 MIN_CHARS = 10
 #: Base-2 logarithm of the sketches' size, and how far from the threshold an estimate is trusted: four
@@ -31,30 +31,34 @@ def _hash(line: Column) -> list[Column]:
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """One row per line that may be boilerplate: ``doc``, ``place`` (from 0), ``h1``, ``h2``, ``site``."""
+    """One row per line that may be boilerplate: ``doc``, ``whole``, ``place`` (from 0), ``h1``, ``h2``, ``site``.
+
+    ``whole`` is a hash of the text, which tells rows of one key apart.
+    """
     lines = docs.select(
-        F.col(key).alias("doc"), F.col(site).cast("string").alias("site"),
+        F.col(key).alias("doc"), F.xxhash64(text).alias("whole"), F.col(site).cast("string").alias("site"),
         F.posexplode(F.split(F.col(text), "\n")).alias("place", "line"),
     ).where(F.length(_trimmed(F.col("line"))) >= MIN_CHARS)
     first, second = _hash(F.col("line"))
     # The key's type decides nothing; a site that is null is a site of its own.
     site_name = F.coalesce(F.concat(F.lit("s"), "site"), F.lit("-"))
-    return lines.select("doc", "place", first.alias("h1"), second.alias("h2"), site_name.alias("site"))
+    return lines.select("doc", "whole", "place", first.alias("h1"), second.alias("h2"), site_name.alias("site"))
 
 
 def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """Hashes of the lines on ``min_sites`` distinct sites or more."""
-    if min_sites <= 1:
-        return lines.select("h1", "h2").distinct()
+    """Hashes of the lines on ``min_sites`` distinct sites or more, and ``first``: the least doc and place of each."""
     # Each task sketches the sites of its own lines; a line that stands everywhere is one sketch a task.
+    first = F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "place"))).alias("first")
+    if min_sites <= 1:
+        return lines.groupBy("h1", "h2").agg(first)
     sketched = lines.groupBy("h1", "h2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_SIZE))).alias("about"))
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_SIZE))).alias("about"), first)
     sketched = cut_lineage(sketched.where(F.col("about") >= min_sites * (1 - MARGIN)), "spread")
-    sure = sketched.where(F.col("about") > min_sites * (1 + MARGIN)).select("h1", "h2")
-    near = sketched.where(F.col("about") <= min_sites * (1 + MARGIN)).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"]).select("h1", "h2", "site").distinct()
+    sure = sketched.where(F.col("about") > min_sites * (1 + MARGIN)).drop("about")
+    near = sketched.where(F.col("about") <= min_sites * (1 + MARGIN)).drop("about")
+    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"]).select("h1", "h2", "site").distinct()
     exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
-    return sure.unionByName(exact.select("h1", "h2"))
+    return sure.unionByName(near.join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi"))
 
 
 def remove_boilerplate(
@@ -65,25 +69,26 @@ def remove_boilerplate(
     A line is what stands between line feeds, compared without outer blanks. A boilerplate line stays at
     its first place: in the document with the smallest key, there where it stands first. Null texts stay
     null (0 lines); an empty text has one empty line. Rows without a key are counted for the spread of
-    their lines and left as they are. Rows that repeat a key lose the same lines at the same places.
+    their lines and left as they are. Rows that repeat a key lose the same lines at the same places. The work
+    on a text grows with its lines, not with their square.
     """
     lines = cut_lineage(line_table(docs, key, text, site), "lines")
     spread = cut_lineage(spread_lines(lines, min_sites), "boilerplate")
-    found = lines.where("doc IS NOT NULL").join(spread, ["h1", "h2"]).select("doc", "place", "h1", "h2")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"))
-    gone = found.join(first, ["h1", "h2"]).where(F.struct("doc", "place") != F.col("first"))
-    gone = gone.groupBy("doc").agg(F.collect_set(F.struct("place", "h1")).alias("__gone"))
-    gone = gone.withColumnRenamed("doc", "__doc")
-
-    def stays(line: Column, place: Column) -> Column:
-        return ~F.array_contains("__gone", F.struct(place.alias("place"), _hash(line)[0].alias("h1")))
-
-    parts = F.split(F.col(text), "\n")
-    joined = docs.drop("n_lines", "n_removed").join(gone, F.col(key) == F.col("__doc"), "left")
-    left = F.when(F.col("__gone").isNotNull(), F.filter(parts, stays)).otherwise(parts)
+    gone = lines.where("doc IS NOT NULL").join(spread, ["h1", "h2"]).where(F.struct("doc", "place") != F.col("first"))
+    gone = gone.groupBy(F.col("doc").alias("__doc"), F.col("whole").alias("__whole")).agg(
+        F.collect_set("place").alias("__gone"))
+
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    out = joined.select(*kept, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), left.alias("__left"))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long")
-    removed = F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("__left")).cast("long")
-    return out.withColumns({"n_lines": n_lines, "n_removed": removed}).withColumn(
-        text, F.array_join("__left", "\n")).drop("__left")
+    same = (F.col(key) == F.col("__doc")) & (F.xxhash64(text) == F.col("__whole"))
+    joined = docs.select(*kept).join(gone, same, "left")
+    # Stored as a column of its own, so that a text is split once and not for each line that is looked up.
+    split = joined.withColumn("__lines", F.split(F.col(text), "\n"))
+    n_lines = F.coalesce(F.size("__lines"), F.lit(0))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
+    left = F.transform(places, lambda place: F.get("__lines", place))
+    out = split.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
+    counts = {
+        "n_lines": F.when(F.col("__lines").isNull(), 0).otherwise(n_lines).cast("long"),
+        "n_removed": F.coalesce(F.array_size("__gone"), F.lit(0)).cast("long"),
+    }
+    return out.withColumns(counts).select(*kept, *counts)

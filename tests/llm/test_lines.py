@@ -1,5 +1,7 @@
 """Line dedup against counting sites in memory."""
 
+import time
+
 import pytest
 
 from riskspark.llm import line_dedup
@@ -52,6 +54,26 @@ def test_lines_near_the_threshold_are_counted_exactly(spark):
     assert line_dedup.spread_lines(lines, 1000).count() == sum(n >= 1000 for n in range(950, 1051, 10))
 
 
+def test_a_text_of_many_lines_takes_linear_time(spark):
+    many = "\n".join(f"a line with the number {i}" for i in range(50_000))
+    docs = spark.createDataFrame([(i, f"{many}\nown line of {i}", f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    start = time.monotonic()
+    found = line_dedup.remove_boilerplate(docs).orderBy("doc_id").collect()
+    assert time.monotonic() - start < 60
+    assert [(r.n_lines, r.n_removed) for r in found] == [(50_001, 0)] + [(50_001, 50_000)] * 5
+    assert [r.text for r in found] == [f"{many}\nown line of 0"] + [f"own line of {i}" for i in range(1, 6)]
+
+
+def test_passage_on_a_few_sites_goes_and_clean_documents_stay(spark, folder):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"own text of document {i}\n{passage}\nand its end {i}", f"s{i % 5}") for i in range(8)]
+    rows += [(100 + i, f"clean text {i}\nof document number {i}", f"s{i % 3}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in line_dedup.remove_boilerplate(docs).collect()}
+    assert [found[i].n_removed for i in range(8)] == [0] + [1] * 7
+    assert all(found[i].text == text for i, text, _ in rows[8:])
+
+
 def test_odd_rows(odd, empty):
     out = line_dedup.remove_boilerplate(odd, min_sites=2)
     assert out.columns == [c for c in odd.columns if c != "n_lines"] + ["n_lines", "n_removed"]

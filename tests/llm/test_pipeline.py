@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from riskspark.llm import mixing
+from riskspark.llm import line_dedup, mixing
 from test_join import all_pairs
 from test_lines import expected as without_boilerplate
 from test_tokens import LIBRARY
@@ -34,7 +34,7 @@ def test_language_stage_keeps_what_has_a_letter(stages):
 
 def test_line_stage(stages):
     rows = [(r.doc_id, r.text, r.source) for r in stages[1].collect()]
-    want = [(i, t) for i, t, _, gone in without_boilerplate(rows, 10) if not gone or t.strip()]
+    want = [(i, t) for i, t, _, gone in without_boilerplate(rows, line_dedup.MIN_SITES) if not gone or t.strip()]
     found = stages[2].collect()
     assert sorted((r.doc_id, r.text) for r in found) == sorted(want)
     assert all(r.n_chars == len(r.text) for r in found)
