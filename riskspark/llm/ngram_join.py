@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,8 +143,9 @@ def _postings(groups: DataFrame) -> DataFrame:
     place = F.col("at") * 2 + F.when(F.col("several"), 1).otherwise(0)
     every = groups.select(F.posexplode("prefix").alias("at", "shingle"), "prefix_id", "several")
     every = every.select("shingle", "prefix_id", place.alias("packed"))
-    total = F.count("*").over(Window.partitionBy("shingle"))
-    met = every.withColumn("total", total).where("total > 1 OR packed = 1")
+    # Counts are added up before the shuffle, and the join may split a frequent shingle: none has one task to itself.
+    shared = every.groupBy("shingle").agg(F.count("*").alias("total")).where("total > 1")
+    met = every.join(shared, "shingle", "left").where("total IS NOT NULL OR packed = 1")
     return met.select("shingle", "prefix_id", F.expr("packed div 2").cast("int").alias("place"))
 
 
