@@ -32,6 +32,8 @@ LANGUAGES = 256
 #: Bytes in a block; phrases end at its edges for every language alike.
 BLOCK = 256
 UNDETERMINED = "und"
+#: Bits that a byte takes as it is. A text that needs as many in every language is in none of them.
+PLAIN_BITS = 8
 
 _OUTSIDE, _UNKNOWN, _SPACE = 0, 1, 2
 
@@ -68,17 +70,23 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     rows = rows.withColumn("short", F.length("text") <= SAMPLE_CHARS)
     size = F.octet_length("text").cast("long") + 1
     counts = rows.groupBy("lang").agg(
-        F.count("*").alias("n"), F.count_if("short").alias("n_short"), F.sum(F.when(F.col("short"), size)).alias("bytes"))
+        F.count("*").alias("n"), F.count_if("short").alias("n_short"), F.sum(F.when(F.col("short"), size)).alias("bytes"),
+        F.min(F.when(F.col("short"), F.col("u"))).alias("least"))
     counts = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return LanguageModel((), ())
     share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(SAMPLE_ROWS / max(r["n_short"], 1)))))
-    drawn = rows.where(F.col("short") & (F.col("u") < share[F.col("lang")])).select("lang", "text", "u")
-    most = 2 * SAMPLE_ROWS * len(counts)
+    # The least draw of a language is always in, so that one of few, often repeated keys is learned as well.
+    least = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(1.0 if r["least"] is None else r["least"]))))
+    inside = (F.col("u") < share[F.col("lang")]) | (F.col("u") <= least[F.col("lang")])
+    drawn = rows.where(F.col("short") & inside).select("lang", "text", "u")
+    # Rows of one key are drawn together: each language has its own bound, and the order decides which rows stay.
+    order = Window.partitionBy("lang").orderBy("u", "text")
+    drawn = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * SAMPLE_ROWS)
     learned: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
     budget = min(SAMPLE_BYTES, SAMPLE_TOTAL // len(counts))
     room = dict.fromkeys(learned, budget)
-    for row in sorted(drawn.limit(most).collect(), key=lambda r: (r["u"], r["text"])):
+    for row in sorted(drawn.collect(), key=lambda r: (r["u"], r["text"])):
         part = row["text"].lower().encode()
         if not learned[row["lang"]] or len(part) < room[row["lang"]]:
             learned[row["lang"]].append(part)
@@ -204,14 +212,17 @@ def phrases(tables: Tables, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (0 to 1) per document; columns of these names are replaced.
+    """Add ``lang_pred``, ``score`` (0 to 1) and ``explained`` per document; columns of these names are replaced.
 
     The prediction depends on the text alone. A text that is null or has no letter is ``und`` with score 0, as
     is every text if no language was learned. Languages that need equally many bits: the first by name wins.
     The score is the winner's share of 2^-bits, bits per byte being counted for 64 bytes at most.
+    A text is not explained if it is ``und``, or if its phrases but the first one need PLAIN_BITS a byte or more
+    even in the winner's language: that language's text then says nothing about it.
     """
-    schema = extended(docs, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()))
-    kept = [f.name for f in schema.fields[:-2]]
+    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("explained", T.BooleanType())]
+    schema = extended(docs, *(T.StructField(name, kind) for name, kind in added))
+    kept = [f.name for f in schema.fields[: -len(added)]]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_TOTAL bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,17 +232,19 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
             texts = batch.column(text).to_pylist()
             rows = [i for i, t in enumerate(texts) if t and letter(t)] if learned.languages else []
             lang = np.full(len(texts), UNDETERMINED, object)
-            score = np.zeros(len(texts))
+            score, explained = np.zeros(len(texts)), np.zeros(len(texts), bool)
             if rows:
                 tables = learned.tables()
                 counts, sizes = phrases(tables, [texts[i] for i in rows])
                 bits = counts * tables.bits / sizes[:, None]
                 best = bits.argmin(axis=1)
                 lang[rows] = np.array(learned.languages, object)[best]
+                own = np.arange(len(rows)), best
+                explained[rows] = (counts[own] - 1) * tables.bits[best] < PLAIN_BITS * sizes
                 over = (bits - bits.min(axis=1)[:, None]) * np.minimum(sizes, 64)[:, None]
                 score[rows] = 1 / np.exp2(-np.minimum(over, 1000)).sum(axis=1)
-            columns = [*(batch.column(c) for c in kept), pa.array(lang.tolist(), pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
+            columns = [*(batch.column(c) for c in kept), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(explained)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

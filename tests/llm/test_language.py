@@ -60,6 +60,21 @@ def test_languages_of_long_documents_are_learned(spark):
     assert [r.lang_pred for r in langid.identify(asked, model).collect()] == ["de", "fr", "en"]
 
 
+def test_copies_of_a_key_leave_room_for_other_languages(spark):
+    rows = [(1, f"the cat sat on mat {i}", "en") for i in range(5000)] + [(i, "der hund liegt", "de") for i in range(2, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model == langid.fit(docs.repartition(7)) and model.languages == ("de", "en")
+
+
+def test_texts_that_no_language_explains(spark):
+    learned = "the quick brown fox jumps over the lazy dog while other animals look on from afar " * 40
+    model = langid.fit(spark.createDataFrame([(1, learned, "en")], "doc_id long, text string, lang string"))
+    texts = {"the fox looks": True, "x": True, "zq": True, "съешь ещё этих мягких булок": False, "123": False, "": False, None: False}
+    asked = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.text: r.explained for r in langid.identify(asked, model).collect()} == texts
+
+
 def test_odd_rows(odd, empty):
     model = langid.fit(odd)
     out = langid.identify(odd, model).collect()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from riskspark.llm import line_dedup, mixing
+from riskspark.llm import langid, line_dedup, mixing
 from test_join import all_pairs
 from test_lines import expected as without_boilerplate
 from test_tokens import LIBRARY
@@ -27,9 +27,21 @@ def test_stages_return_documents(stages):
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "language ID"
 
 
-def test_language_stage_keeps_what_has_a_letter(stages):
-    before, after = stages[0].collect(), stages[1].collect()
-    assert sorted(map(str, after)) == sorted(str(r) for r in before if any(c.isalpha() for c in r.text or ""))
+def test_language_stage_keeps_what_a_language_explains(stages):
+    """Clean documents all stay, each under the language found; what has no letter goes."""
+    named = stages[0].where(langid.training_rows())
+    found = langid.identify(stages[0], langid.fit(named)).collect()
+    want = [(r.doc_id, r.text, r.source, r.lang_pred) for r in found if any(c.isalpha() for c in r.text or "")]
+    after = [(r.doc_id, r.text, r.source, r.lang) for r in stages[1].collect()]
+    assert sorted(after) == sorted(want)
+
+
+def test_language_stage_rejects_what_no_language_explains(spark, folder, stages):
+    docs, names = stages[0], ["doc_id", "text", "lang", "source", "n_chars"]
+    strange = [(10**9, "съешь ещё этих мягких французских булок " * 9), (10**9 + 1, "我能吞下玻璃而不伤身体" * 9)]
+    more = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in strange], ",".join(f"{n} {dict(docs.dtypes)[n]}" for n in names))
+    kept = corpus_pipeline.language_id(spark, docs.select(names).unionByName(more), folder)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in stages[1].collect())
 
 
 def test_line_stage(stages):
