@@ -22,9 +22,10 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without a letter go."""
+    """Documents in a language that was learned, under the language found; those that none explains go."""
     model = langid.fit(docs.where(langid.training_rows()))
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    named = langid.identify(docs, model).where("explained")
+    return named.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
