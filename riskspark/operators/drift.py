@@ -17,9 +17,13 @@ from pyspark.sql import types as T
 from riskspark import config
 from riskspark.functions.columns import finite, present
 from riskspark.functions.pvalues import chi_square, kolmogorov, normal_two_sided
+from riskspark.operators.bounds import INTERVALS, bounded_distances
 from riskspark.operators.prefix import add_buckets, cut_points, running_totals
 from riskspark.session import cut_lineage
 
+METHODS = ("distance", "test", "by_size", "bounded")
+#: Doubles added up in another order differ by less; a bound that is nearer to the limit settles nothing.
+ROUNDING = 1e-9
 RESULT = (
     "feature string, kind string, test string, statistic double, p_value double, drifted boolean"
 )
@@ -105,6 +109,11 @@ def _profile(stacked: DataFrame, columns: Sequence[str], few: int) -> tuple[int,
     ]
 
 
+def profile(stacked: DataFrame, columns: Sequence[str], few: int = config.DRIFT_CATEGORICAL_UP_TO) -> list[ColumnProfile]:
+    """The profiles of the columns of a stacked table."""
+    return _profile(stacked, columns, few)[1]
+
+
 def _sizes_table(stacked: DataFrame, profiles: Sequence[ColumnProfile]) -> DataFrame:
     """One row per compared column, safe to broadcast."""
     rows = [
@@ -214,8 +223,8 @@ def categorical_distances(
 
 def _small(method: str, rows: int, small_reference: int) -> bool:
     """Whether columns are compared by hypothesis tests."""
-    if method not in ("test", "distance", "by_size"):
-        raise ValueError(f"method is test, distance or by_size, not {method}")
+    if method not in METHODS:
+        raise ValueError(f"method is one of {', '.join(METHODS)}, not {method}")
     return rows <= small_reference if method == "by_size" else method == "test"
 
 
@@ -233,7 +242,9 @@ def drift_report(
     """One row per column: its kind, the test, its statistic, the p-value if any, and the verdict.
 
     ``method`` is ``distance`` (distances between the distributions), ``test`` (hypothesis tests) or, by name only,
-    ``by_size``: tests up to ``small_reference`` reference rows, distances above.
+    ``by_size``: tests up to ``small_reference`` reference rows, distances above. ``bounded`` gives the verdicts of ``distance``
+    without shuffling the values of numeric columns: their statistic is an estimate with a proven error
+    (test ``wasserstein_bounded``), and only columns whose error reaches over the limit are measured exactly.
 
     Missing and infinite values are left out. A column without values on one side has no
     statistic and does not count as drifted.
@@ -248,13 +259,46 @@ def drift_report(
     small = _small(method, rows, small_reference)
     many = [p for p in profiles if p.numeric and p.distinct > few_values]
     few = [p for p in profiles if p not in many]
+    numeric = None
+    if many:
+        numeric = settled_distances(stacked, many, distance, buckets) if method == "bounded" else numeric_distances(stacked, many, buckets)
     return _judged(
-        spark, profiles, numeric_distances(stacked, many, buckets) if many else None,
+        spark, profiles, numeric,
         categorical_distances(category_frequencies(stacked, [p.name for p in few]), few) if few else None,
         small, p_value, distance,
     )
 
 
+def distance_bounds(stacked: DataFrame, profiles: Sequence[ColumnProfile], intervals: int = INTERVALS) -> DataFrame:
+    """``numeric_distances`` as estimates, with ``ks_error`` and ``wasserstein_error`` that the exact ones keep to."""
+    return bounded_distances(stacked, [p.name for p in profiles], "__reference", _sizes_table(stacked, profiles), intervals)
+
+
+def settled_distances(
+    stacked: DataFrame, profiles: Sequence[ColumnProfile], limit: float, buckets: int | None = None, intervals: int = INTERVALS
+) -> DataFrame:
+    """``feature, n_ref, n_cur, ks, wasserstein, exact``: estimates that lie on the right side of ``limit``, exact where these can't tell.
+
+    One row per column goes through the driver.
+    """
+    fields = ["feature", "n_ref", "n_cur", "ks", "wasserstein"]
+    open_columns, known = set(), []
+    for r in distance_bounds(stacked, profiles, intervals).collect():
+        error = (r["wasserstein_error"] or 0.0) + ROUNDING
+        # Written so that an overflow, which is no number, counts as open.
+        settled = r["wasserstein"] is None or abs(r["wasserstein"] - limit) > error
+        if settled:
+            known.append((*(r[f] for f in fields), False))
+        else:
+            open_columns.add(r["feature"])
+    schema = "feature string, n_ref long, n_cur long, ks double, wasserstein double, exact boolean"
+    estimates = stacked.sparkSession.createDataFrame(known, schema)
+    if not open_columns:
+        return estimates
+    exact = numeric_distances(stacked, [p for p in profiles if p.name in open_columns], buckets)
+    return estimates.unionByName(exact.select(*fields, F.lit(True).alias("exact")))
+
+
 def _judged(
     spark: SparkSession, profiles: Sequence[ColumnProfile], numeric: DataFrame | None, categorical: DataFrame | None,
     small: bool, p_value: float, distance: float,
@@ -274,7 +318,8 @@ def _judged(
             tail = kolmogorov(F.col("ks"), F.col("n_ref"), F.col("n_cur"))
             parts.append(measured.select("feature", F.lit("ks").alias("test"), F.col("ks").alias("statistic"), tail.alias("p_value")))
         else:
-            parts.append(measured.select("feature", F.lit("wasserstein").alias("test"), F.col("wasserstein").alias("statistic"), none.alias("p_value")))
+            test = F.when(F.col("exact"), "wasserstein").otherwise("wasserstein_bounded") if "exact" in measured.columns else F.lit("wasserstein")
+            parts.append(measured.select("feature", test.alias("test"), F.col("wasserstein").alias("statistic"), none.alias("p_value")))
     if categorical is not None:
         measured = categorical
         if small:
@@ -377,6 +422,8 @@ def drift_report_against(
     if not names:
         return spark.createDataFrame([], RESULT)
     text = [c for c in prepared.numeric if not _numeric(current, c)]
+    if method == "bounded":
+        raise ValueError("Counts of a prepared reference are compared exactly; method bounded is for two tables.")
     if text:
         raise ValueError(f"The reference holds numbers where the current table does not: {text}")
     own = _value_counts(_cleaned(current, names, prepared.numeric), names, prepared.numeric, prepared.cuts, "cur")

@@ -78,7 +78,7 @@ def _brackets(
         }
         lower = {c: values[c] < F.lit(proposal[c][0]) for c in active if proposal[c] != everything}
         marks, counted, smaller = quantile_marks(df, inside, SHARES, lower)
-        going_on = []
+        going_on, crowded = [], []
         for c in active:
             under, within = smaller.get(c, 0), counted[c]
             if not (under <= middle[c][0] and under + within > middle[c][1]):
@@ -96,13 +96,7 @@ def _brackets(
             if within <= keep_inside or proposal[c][0] == proposal[c][1]:
                 continue
             if no_progress:
-                # The edge values hold nearly all rows: take them out and go on between them.
-                proven[c], held[c], done = _without_edges(df, c, proven[c], middle[c])
-                if done:
-                    continue
-                proposal[c] = proven[c][:2]
-                repeated.add(c)
-                going_on.append(c)
+                crowded.append(c)
                 continue
             first = (middle[c][0] - under) / within - margin[c]
             last = (middle[c][1] - under + 1) / within + margin[c]
@@ -111,39 +105,61 @@ def _brackets(
                 marks[c][int(last * MARKS)] if last < 1 else proposal[c][1],
             )
             going_on.append(c)
+        # The edge values hold nearly all rows of these: take them out, of all in one pass, and go on between them.
+        for c, (bracket, rows, done) in _without_edges(df, {c: proven[c] for c in crowded}, middle).items():
+            proven[c], held[c] = bracket, rows
+            if not done:
+                proposal[c] = bracket[:2]
+                repeated.add(c)
+                going_on.append(c)
         active = going_on
     return proven
 
 
 def _without_edges(
-    df: DataFrame, column: str, bracket: tuple[float, float, int], middle: tuple[int, int]
-) -> tuple[tuple[float, float, int], int, bool]:
-    """The bracket strictly between the edge values of ``bracket``, the rows in it, and whether it is final.
+    df: DataFrame, brackets: Mapping[str, tuple[float, float, int]], middle: Mapping[str, tuple[int, int]]
+) -> dict[str, tuple[tuple[float, float, int], int, bool]]:
+    """Per column the bracket strictly between the edge values of its bracket, the rows in it, and whether it is final.
 
-    If a middle value is an edge value, or next to one, the bracket ends at the middle values themselves.
+    If a middle value is an edge value, or next to one, the bracket ends at the middle values themselves. One pass
+    over the table, whatever the number of columns.
     """
+    if not brackets:
+        return {}
+    exprs = []
+    for i, (c, (low, high, _)) in enumerate(brackets.items()):
+        value = finite(df, c)
+        inner = F.when((value > F.lit(low)) & (value < F.lit(high)), value)
+        exprs += [
+            F.count_if(value == F.lit(low)).alias(f"low{i}"), F.count(inner).alias(f"inner{i}"),
+            F.min(inner).alias(f"first{i}"), F.max(inner).alias(f"last{i}"),
+        ]
+    row = df.agg(*exprs).first()
+    return {
+        c: _between_edges(bracket, middle[c], *(row[f"{kind}{i}"] for kind in ("low", "inner", "first", "last")))
+        for i, (c, bracket) in enumerate(brackets.items())
+    }
+
+
+def _between_edges(
+    bracket: tuple[float, float, int], middle: tuple[int, int], at_low: int, inside: int, first: float | None, last: float | None
+) -> tuple[tuple[float, float, int], int, bool]:
+    """The new bracket of one column, from the rows at its lower edge and those between its edges."""
     low, high, under = bracket
-    value = finite(df, column)
-    inner = F.when((value > F.lit(low)) & (value < F.lit(high)), value)
-    row = df.agg(
-        F.count_if(value == F.lit(low)).alias("low"), F.count(inner).alias("inner"),
-        F.min(inner).alias("first"), F.max(inner).alias("last"),
-    ).first()
-    start = under + row["low"]
-    stop = start + row["inner"]
+    start = under + at_low
+    stop = start + inside
     if start <= middle[0] and middle[1] < stop:
-        return (row["first"], row["last"], start), row["inner"], row["first"] == row["last"]
+        return (first, last, start), inside, first == last
 
     def at(place: int) -> float:
         if place < start:
             return low
         if place >= stop:
             return high
-        return row["first"] if place == start else row["last"]
+        return first if place == start else last
 
     # The two places are neighbours and one of them is outside, so the other one is an end of the inside.
-    pair = (at(middle[0]), at(middle[1]))
-    return (*pair, NEIGHBOURS), 0, True
+    return (at(middle[0]), at(middle[1]), NEIGHBOURS), 0, True
 
 
 def _ranked(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskspark.operators import drift, history, perflog
 from riskspark.operators.metrics import evaluate, model_comparison
 from riskspark.plans.monitoring import check_drift, log_scored
-from riskspark.session import new_path
+from riskspark.session import cut_lineage, new_path
 from riskspark.sources.sinks import append_aligned, append_batch, read_log
 from riskspark.streaming import jobs
 from workload.registry import query, rounded
@@ -71,6 +71,32 @@ def drift_report(spark, folder):
     return rounded(report.drop("p_value"))
 
 
+@query("drift_report_bounded", f"{REPORT} SELECT feature, kind, drifted FROM rep", DRIFT_VIEWS)
+def drift_report_bounded(spark, folder):
+    """The verdicts of ``drift_report`` without a shuffle of the values of numeric columns."""
+    report = drift.drift_report(*_sides(spark, folder), COLUMNS, method="bounded")
+    return report.select("feature", "kind", "drifted")
+
+
+@query("distance_bounds", f"""WITH {_numeric_cte()}
+SELECT feature, round(ks, 6) AS ks, round(wasserstein, 6) AS wasserstein, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur,
+ true AS ks_holds, true AS wasserstein_holds, true AS narrow FROM num""", DRIFT_VIEWS)
+def distance_bounds(spark, folder):
+    """The exact distances, whether the estimates lie within their errors of them, and whether those errors are narrow."""
+    stacked = cut_lineage(drift.stack(*_sides(spark, folder), NUMERIC), "stacked")
+    profiles = drift.profile(stacked, NUMERIC)
+    exact = drift.numeric_distances(stacked, profiles)
+    found = drift.distance_bounds(stacked, profiles).drop("n_ref", "n_cur")
+    both = exact.join(found.withColumnsRenamed({"ks": "ks_near", "wasserstein": "wasserstein_near"}), "feature")
+    holds = {
+        f"{c}_holds": F.abs(F.col(c) - F.col(f"{c}_near")) <= F.col(f"{c}_error") + drift.ROUNDING
+        for c in ("ks", "wasserstein")
+    }
+    narrow = (F.col("ks_error") <= 0.02) & (F.col("wasserstein_error") <= 0.02)
+    kept = both.select("feature", "ks", "wasserstein", "n_ref", "n_cur", *(e.alias(c) for c, e in holds.items()), narrow.alias("narrow"))
+    return rounded(kept)
+
+
 @query("drift_summary", f"""{REPORT}
 SELECT count(*) FILTER (WHERE drifted) / count(*) >= 0.5 AS drift_detected,
  coalesce(string_agg(CASE WHEN drifted THEN feature END, ',' ORDER BY feature), '') AS drifted_features,
