@@ -150,3 +150,32 @@ def test_saved_model(spark, rows):
     assert sum(model.importance.values()) == pytest.approx(1)
     a, b = (sorted(map(tuple, models.predict(rows, m, FEATURES, ["id"]).collect())) for m in (model, again))
     assert a == b
+
+
+def test_blocks_are_gathered_from_small_batches():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(i, i + 10))}) for i in range(0, 50, 10)]
+    tables = list(boosting._gathered(iter(batches)))
+    assert [t.num_rows for t in tables] == [50]
+    assert tables[0].column(0).to_pylist() == list(range(50))
+
+
+def test_rows_are_not_dealt_by_label_to_get_split_and_weight(spark):
+    from riskspark.operators.split import add_balanced_weight, stratified_split
+
+    df = spark.range(200).selectExpr("id", "cast(id % 3 = 0 as int) AS y")
+    rows = add_balanced_weight(stratified_split(df, "id", "y"), "y")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    assert rows.count() == 200
+
+
+def test_rows_of_one_task_are_attributed_in_many(spark):
+    from riskspark.operators.treeshap import tree_attribution
+
+    df = spark.range(400).selectExpr("cast(id % 40 AS double) AS a", "cast(id % 7 AS double) AS b", "cast(id % 40 > 20 AS int) AS y")
+    (model,), _ = boosting.fit_together(df, ["a", "b"], "y", [boosting.Settings(3, 3)])
+    told = tree_attribution(df.coalesce(1), model, ["a", "b"], ["a"])
+    assert told.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert told.count() == 400
