@@ -166,7 +166,8 @@ def explain_one_loan(spark, folder):
     f, loans = trained.features, view(spark, folder, "loans")
     one = loans.where(F.col("loan_id") == loans.agg(F.min("loan_id")).first()[0])
     background = f.part("train")
-    alone = explain(one, f.state, trained.model, "loan_id", background=background)
+    # Stored: a few rows, which the engine broadcasts instead of dealing out the explanations of all loans.
+    alone = cut_lineage(explain(one, f.state, trained.model, "loan_id", background=background), "alone")
     batch = explain(loans, f.state, trained.model, "loan_id", background=background).select(
         "loan_id", F.col("explanation").alias("other"), F.round("p1", 12).alias("p"))
     return alone.join(batch, "loan_id").select(
