@@ -166,11 +166,13 @@ def _tables(model: LanguageModel) -> Tables:
         return _TABLES[model]
     symbols = _alphabet(model.texts)
     width = int(symbols.max()) + 1
+    # A suffix automaton has at most twice as many states as its string has symbols.
+    kind = np.int32 if 4 * width * sum(len(t) + 1 for t in model.texts) < 1 << 31 else np.int64
     parts, roots, first = [], [], 0
     for text in model.texts:
         following = _automaton(symbols[np.frombuffer(text, np.uint8)])
         root = first * width
-        fresh = np.full(width, 2 * root + 1, np.int64)
+        fresh = np.full(width, 2 * root + 1, kind)
         fresh[_OUTSIDE] = 2 * root
         for symbol, state in following[0].items():
             fresh[symbol] = 2 * (first + state) * width + 1
@@ -181,9 +183,9 @@ def _tables(model: LanguageModel) -> Tables:
         parts.append(steps.ravel())
         roots.append(root)
         first += len(following)
+        del following, row
     steps = np.concatenate(parts)
-    if len(steps) < 1 << 29:
-        steps = steps.astype(np.int32)
+    del parts
     sizes = np.array([len(t) for t in model.texts], float)
     _TABLES.clear()
     _TABLES[model] = Tables(symbols, steps, np.array(roots, steps.dtype), np.log2(np.maximum(sizes, 2)))

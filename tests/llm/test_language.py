@@ -87,3 +87,17 @@ def test_odd_rows(odd, empty):
     assert langid.fit(empty).languages == ()
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(empty)).collect()} == {"und"}
     assert langid.identify(empty, model).collect() == []
+
+
+def test_tables_are_built_without_wide_copies():
+    import random
+    import tracemalloc
+
+    draw = random.Random(5)
+    texts = tuple("".join(draw.choices("abcdefghijklmnopqrstuvwxyzäöüßéèçñ .,", k=20_000)).encode() for _ in range(4))
+    model = langid.LanguageModel(tuple("abcd"), texts)
+    tracemalloc.start()
+    tables = model.tables()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.7 * tables.steps.nbytes
