@@ -46,9 +46,12 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids per row of the mix, with digests of the ids and of what they decode to."""
-    encoded = bpe.digests(bpe.decode(bpe.encode(docs.select("doc_id", "text")).drop("text")))
-    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
+    """Token ids per row of the mix, with digests of the ids and of what they decode to.
+
+    Ids are stored before they are decoded: one Python worker a core holds the vocabulary then, and not two.
+    """
+    encoded = cut_lineage(bpe.encode(docs.select("doc_id", "text")).drop("text"), "ids")
+    return bpe.digests(bpe.decode(encoded)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -73,6 +73,12 @@ def test_token_stage_and_run(spark, folder, stages):
     assert sorted((r.doc_id, np.frombuffer(r.token_ids, "<u4").tolist()) for r in whole) == texts
 
 
+def test_a_task_holds_one_vocabulary(spark, folder):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    plan = corpus_pipeline.tokens(spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_odd_documents_pass(spark, folder, odd, empty):
     docs = odd
     for _, stage in corpus_pipeline.STAGES:
