@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.llm.common import extended, slices
+from riskspark.llm.common import extended, held, slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces that a worker keeps at most, half of them the latest; and slots for what it knows of pairs (8 bytes each).
@@ -62,7 +62,6 @@ class BytePairCodec:
     """Ranks of byte strings, and the pattern that cuts text before encoding."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
         # White space by its Unicode property, so that the pattern cuts as other engines do.
         shape = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.cut, self.cut_one_by_one = shape.findall, shape.finditer
@@ -223,18 +222,17 @@ class BytePairCodec:
         return self.encode_all([text])[0].as_py()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-_CODECS: dict[tuple[bytes, str], BytePairCodec] = {}
+        return "".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).encode("latin-1")
 
 
 def codec(ranks: bytes, pattern: str) -> BytePairCodec:
-    """The codec of a rank file's content; each Python worker builds it once."""
-    if (ranks, pattern) not in _CODECS:
+    """The codec of a rank file's content; a Python worker builds it once if it has no other work in between."""
+
+    def build() -> BytePairCodec:
         pairs = (line.split() for line in ranks.splitlines() if line)
-        _CODECS[ranks, pattern] = BytePairCodec({base64.b64decode(t): int(r) for t, r in pairs}, pattern)
-    return _CODECS[ranks, pattern]
+        return BytePairCodec({base64.b64decode(t): int(r) for t, r in pairs}, pattern)
+
+    return held((ranks, pattern), build)
 
 
 def _vocabulary(spark: SparkSession, path: str | None):

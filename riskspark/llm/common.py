@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,20 @@ FAN = 4096
 #: Bytes of text that a task works on at once.
 SLICE_BYTES = 2 << 20
 
+Learned = TypeVar("Learned")
+_HELD: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, build: Callable[[], Learned]) -> Learned:
+    """What ``build`` makes for ``key``: made once per Python worker, and kept until another key is asked for.
+
+    Spark uses a worker again for other operators, and one that kept what each of them learned would add it all up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``most`` bytes in each; a longer text stands alone."""

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.llm.common import extended, slices, uniform
+from riskspark.llm.common import extended, held, slices, uniform
 
 #: Labelled documents looked at per language, and the bytes of them that are learned (bounds of the sample).
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TOTAL = 400, 32_768, 1 << 20
@@ -46,7 +46,7 @@ class LanguageModel:
     texts: tuple[bytes, ...]
 
     def tables(self) -> Tables:
-        return _tables(self)
+        return held(self, lambda: _tables(self))
 
 
 @dataclass
@@ -154,16 +154,11 @@ def _automaton(symbols: np.ndarray) -> list[dict[int, int]]:
     return following
 
 
-_TABLES: dict[LanguageModel, Tables] = {}
-
-
 def _tables(model: LanguageModel) -> Tables:
-    """The automata of all languages as one table, built once per Python worker.
+    """The automata of all languages as one table.
 
     An entry is twice the place of the next state's row, plus one if the step starts a new phrase.
     """
-    if model in _TABLES:
-        return _TABLES[model]
     symbols = _alphabet(model.texts)
     width = int(symbols.max()) + 1
     # A suffix automaton has at most twice as many states as its string has symbols.
@@ -187,9 +182,7 @@ def _tables(model: LanguageModel) -> Tables:
     steps = np.concatenate(parts)
     del parts
     sizes = np.array([len(t) for t in model.texts], float)
-    _TABLES.clear()
-    _TABLES[model] = Tables(symbols, steps, np.array(roots, steps.dtype), np.log2(np.maximum(sizes, 2)))
-    return _TABLES[model]
+    return Tables(symbols, steps, np.array(roots, steps.dtype), np.log2(np.maximum(sizes, 2)))
 
 
 def phrases(tables: Tables, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -79,6 +79,28 @@ def test_a_task_holds_one_vocabulary(spark, folder):
     assert plan.count("MapInArrow") == 1
 
 
+def test_a_worker_holds_what_one_operator_learned():
+    """A worker that encodes after naming languages has given up their tables."""
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    from riskspark.llm import bpe
+
+    model = langid.LanguageModel(("en", "fr"), (b"the cat sat on the mat", b"le chat sur le tapis"))
+    tables = weakref.ref(model.tables())
+    assert model.tables() is tables()
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as file:
+        ranks = file.read()
+    codec = weakref.ref(bpe.codec(ranks, public_tokenizers.PATTERN))
+    gc.collect()
+    assert tables() is None and bpe.codec(ranks, public_tokenizers.PATTERN) is codec()
+    model.tables()
+    gc.collect()
+    assert codec() is None
+
+
 def test_odd_documents_pass(spark, folder, odd, empty):
     docs = odd
     for _, stage in corpus_pipeline.STAGES:
