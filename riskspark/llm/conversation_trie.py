@@ -6,8 +6,9 @@ Conversations with equal digests up to a block are one group from there on, and
 where a group has one next block alone, the turns in it are a chain of nodes as they stand. Where next blocks diverge,
 the turns of each are compared one by one, once per block and not once per conversation.
 
-Sums over subtrees are made by doubling: what stands below a node at a distance under 1, 2, 4, ... turns, each
-round from the one before, in as many rounds as the depth has binary digits.
+Sums over subtrees are made inside of blocks: a node knows its ancestors there, up to the node that its block begins at.
+Between such nodes, if conversations are longer than a block, they are made by doubling: what stands below at a distance
+under 1, 2, 4, ... blocks, each round from the one before, in as many rounds as the number of blocks has binary digits.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.llm.common import BUCKET_ROWS, numbered, running_offsets
 from riskspark.session import cut_lineage
 
 #: Turns of a block.
-BLOCK_TURNS = 4
+BLOCK_TURNS = 8
 #: A digest of one turn at its place has 88 bits; sums of up to 10^11 of them fit.
 _DIGEST, _SUM = "decimal(27,0)", "decimal(38,0)"
 
@@ -41,13 +42,14 @@ class Trie:
 
 
 def ordered_turns(
-    conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
+    conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+    window_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Turns without their texts: conv_id, place (from 0), mark (a digest of role and text), n_chars.
 
     Turns are in order of ``turn``, null first, equal ones in order of their mark. Null roles and texts count as empty.
-    Rows without a conversation are left out; repeated rows are turns of their own. Places are made by ranges of
-    all turns, so that no task holds a conversation.
+    Rows without a conversation are left out; repeated rows are turns of their own. Places are made
+    in a window per conversation or, if one has over ``window_rows`` turns, by ranges of all turns.
     """
     said, who = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(role).cast("string"), F.lit(""))
     rows = conversations.where(F.col(conv).isNotNull()).select(
@@ -55,7 +57,11 @@ def ordered_turns(
         F.md5(F.concat(F.octet_length(who), F.lit(":"), who, said)).alias("mark"),
         F.char_length(said).cast("long").alias("n_chars"),
     )
-    placed = numbered(rows, [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("mark")], "at")
+    order = [F.col("turn").asc_nulls_first(), F.col("mark")]
+    if (rows.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0) <= window_rows:
+        place = F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)).cast("long") - 1
+        return rows.select("conv_id", place.alias("place"), "mark", "n_chars")
+    placed = numbered(rows, [F.col("conv_id"), *order], "at")
     first = placed.groupBy(F.col("conv_id").alias("__conv")).agg(F.min("at").alias("__first"))
     return placed.join(first, F.col("conv_id") == F.col("__conv")).select(
         "conv_id", (F.col("at") - F.col("__first")).alias("place"), "mark", "n_chars")
@@ -90,30 +96,37 @@ def _digest(place: Column, mark: Column) -> Column:
 
 
 def _blocks(turns: DataFrame, size: int) -> DataFrame:
-    """A row per conversation and block: the digest before it, its turns in order, and its own digest."""
+    """A row per conversation and block: its turns in order, and its own digest."""
     rows = turns.select(
         "conv_id", F.floor(F.col("place") / size).cast("long").alias("block"),
         F.struct("place", _digest(F.col("place"), F.col("mark")).alias("digest"), "n_chars").alias("turn"))
-    blocks = rows.groupBy("conv_id", "block").agg(
+    return rows.groupBy("conv_id", "block").agg(
         F.array_sort(F.collect_list("turn")).alias("turns"), F.sum("turn.digest").cast(_SUM).alias("digest"))
-    blocks = blocks.withColumn("bucket", F.floor(F.col("block") / BUCKET_ROWS))
+
+
+def _begun(blocks: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add ``before``, the digest of all blocks before: by conversation, or by buckets if one has more blocks than a bucket."""
+    if (blocks.agg(F.max("block")).first()[0] or 0) < bucket_rows:
+        earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        return blocks.withColumn("before", F.coalesce(F.sum("digest").over(earlier), F.lit(0)).cast(_SUM))
+    blocks = blocks.withColumn("bucket", F.floor(F.col("block") / bucket_rows))
     return running_offsets(blocks, ["conv_id"], "bucket", ["block"], F.col("digest"), "before", _SUM).drop("bucket")
 
 
 def _turn_nodes(groups: DataFrame) -> DataFrame:
-    """A node per turn of each group of blocks."""
-    zero = F.lit(0).cast(_SUM)
+    """A node per turn of each group of blocks, with its ancestors in the block; ``inner`` if a turn of the block follows."""
 
-    def upto(n: Column) -> Column:
-        inside = F.aggregate(F.slice("turns", 1, n), zero, lambda acc, t: (acc + t["digest"]).cast(_SUM))
-        return (F.col("before") + inside).cast(_SUM)
+    def longer(path: Column, turn: Column) -> Column:
+        return F.concat(path, F.array((F.element_at(path, -1) + turn["digest"]).cast(_SUM)))
 
     def node(turn: Column, i: Column) -> Column:
-        depth = (turn["place"] + 1).alias("depth")
-        return F.struct(depth, upto(i + 1).alias("node"), upto(i).alias("up"), turn["n_chars"].alias("n_chars"))
+        return F.struct(
+            (turn["place"] + 1).alias("depth"), F.element_at("path", i + 2).alias("node"), F.element_at("path", i + 1).alias("up"),
+            F.slice("path", 1, i + 1).alias("above"), (i + 1 < F.size("turns")).alias("inner"), turn["n_chars"].alias("n_chars"))
 
+    groups = groups.withColumn("path", F.aggregate("turns", F.array("before"), longer))
     nodes = groups.select("conv_id", "n_convs", F.explode(F.transform("turns", node)).alias("n"))
-    return nodes.select("n.depth", "n.node", "n.up", "n.n_chars", "conv_id", "n_convs")
+    return nodes.select("n.*", "conv_id", "n_convs")
 
 
 def _divided(blocks: DataFrame) -> DataFrame:
@@ -122,19 +135,26 @@ def _divided(blocks: DataFrame) -> DataFrame:
         F.first("turns").alias("turns"), F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
     groups = cut_lineage(groups, "blocks")
     columns = ["before", "turns", "conv_id", "n_convs"]
-    followed = groups.groupBy("block", "before").agg(
+    # First blocks all follow the root: they are compared by turns in any case, so that no task looks them all up.
+    first, later = groups.where("block = 0"), groups.where("block > 0")
+    followed = later.groupBy("block", "before").agg(
         F.count("*").alias("siblings"), *(F.first(c).alias(f"one_{c}") for c in columns[1:]))
     alone = followed.where("siblings = 1").select("before", *(F.col(f"one_{c}").alias(c) for c in columns[1:]))
     forks = followed.where("siblings > 1").select("block", "before")
-    split = _turn_nodes(groups.join(forks, ["block", "before"], "left_semi").select(*columns))
-    split = split.groupBy("depth", "node", "up").agg(
-        F.first("n_chars").alias("n_chars"), F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"))
+    diverging = later.join(forks, ["block", "before"], "left_semi")
+    split = _turn_nodes(first.select(*columns).unionByName(diverging.select(*columns)))
+    split = split.groupBy("depth", "node", "up", "above").agg(
+        F.bool_or("inner").alias("inner"), F.first("n_chars").alias("n_chars"), F.min("conv_id").alias("conv_id"),
+        F.sum("n_convs").alias("n_convs"))
     return _turn_nodes(alone).unionByName(split)
 
 
 def _subtree_sums(nodes: DataFrame, deepest: int) -> DataFrame:
-    """Per node with nodes below it: leaves and saved of these, by doubling the distance that is added up."""
-    live, pulled, step = nodes.where("depth >= 1").select("node", "up", "depth", "leaves", "saved"), [], 1
+    """Per node with nodes below it: leaves and saved of these, by doubling the distance that is added up.
+
+    ``nodes`` has node, up, depth, leaves and saved, without the root; ``up`` is 0 for nodes of depth 1.
+    """
+    live, pulled, step = nodes, [], 1
     while step <= deepest:
         sums = live.groupBy(F.col("up").alias("of")).agg(F.sum("leaves").alias("leaves_below"), F.sum("saved").alias("saved_below"))
         pulled.append(sums)
@@ -153,6 +173,34 @@ def _subtree_sums(nodes: DataFrame, deepest: int) -> DataFrame:
     return every.groupBy("of").agg(F.sum("leaves_below").alias("leaves_below"), F.sum("saved_below").alias("saved_below"))
 
 
+def _with_blocks_below(rows: DataFrame, deepest: int, size: int) -> DataFrame:
+    """``rows`` of ``_sums``, where those that end a block stand for all that is below them, too."""
+    columns, ends_block = ["node", "depth", "above", "leaves", "saved"], F.col("depth") % size == 0
+    # What is inside of the block that begins at a node; a row, if only of zeros, wherever the node is not a leaf.
+    inside = rows.groupBy(F.col("above")[0].alias("of")).agg(
+        *(F.sum(F.when(ends_block, 0).otherwise(F.col(c))).alias(f"{c}_inside") for c in ("leaves", "saved")))
+    ends = rows.where(ends_block).join(inside, F.col("node") == F.col("of"), "left")
+    ends = ends.withColumns({
+        "leaves": F.coalesce("leaves_inside", F.lit(1)), "saved": F.col("saved") + F.coalesce("saved_inside", F.lit(0))})
+    ends = cut_lineage(ends.select(*columns), "block ends")
+    if deepest >= 2 * size:
+        blocks = ends.select("node", F.col("above")[0].alias("up"), (F.col("depth") / size).cast("long").alias("depth"), "leaves", "saved")
+        ends = ends.join(_subtree_sums(blocks, deepest // size), F.col("node") == F.col("of"), "left").withColumns(
+            {c: F.col(c) + F.coalesce(f"{c}_below", F.lit(0)) for c in ("leaves", "saved")})
+    return rows.where(~ends_block).select(*columns).unionByName(ends.select(*columns))
+
+
+def _sums(nodes: DataFrame, deepest: int, size: int) -> DataFrame:
+    """Per node with nodes below it: its children, and leaves and saved of all below it."""
+    rows = nodes.where("depth >= 1").select(
+        "node", "depth", "above", (~F.col("inner")).cast("long").alias("leaves"), ((F.col("n_convs") - 1) * F.col("n_chars")).alias("saved"))
+    if deepest > size:
+        rows = _with_blocks_below(rows, deepest, size)
+    above = F.transform("above", lambda of, i: F.struct(of.alias("of"), (i + 1 == F.size("above")).alias("parent")))
+    return rows.select(F.explode(above).alias("a"), "leaves", "saved").groupBy(F.col("a.of").alias("of")).agg(
+        F.count_if("a.parent").alias("n_children"), F.sum("leaves").alias("leaves_below"), F.sum("saved").alias("saved_below"))
+
+
 def prefix_trie(turns: DataFrame, convs: DataFrame, block_turns: int = BLOCK_TURNS) -> Trie:
     """The trie of conversations: a node per distinct sequence of first turns, from the root without turns.
 
@@ -166,33 +214,22 @@ def prefix_trie(turns: DataFrame, convs: DataFrame, block_turns: int = BLOCK_TUR
     blocks = cut_lineage(_blocks(turns, block_turns), "turns")
     root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").select(
         F.lit(0).cast("long").alias("depth"), F.lit(0).cast(_SUM).alias("node"), F.lit(None).cast(_SUM).alias("up"),
-        F.lit(0).cast("long").alias("n_chars"), "conv_id", "n_convs")
-    nodes = cut_lineage(_divided(blocks).unionByName(root), "nodes")
-    children = nodes.where("up IS NOT NULL").groupBy(F.col("up").alias("of")).agg(F.count("*").alias("n_children"))
-    nodes = nodes.join(children, F.col("node") == F.col("of"), "left").drop("of").withColumns({
-        "n_children": F.coalesce("n_children", F.lit(0)), "leaves": F.col("n_children").isNull().cast("long"),
-        "saved": (F.col("n_convs") - 1) * F.col("n_chars")})
-    nodes = cut_lineage(nodes, "children")
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    if deepest:
-        below = _subtree_sums(nodes, deepest)
-        nodes = nodes.join(below, F.col("node") == F.col("of"), "left").drop("of")
-    else:
-        nodes = nodes.withColumns({"leaves_below": F.lit(0), "saved_below": F.lit(0)})
-    nodes = nodes.withColumns({
-        "n_leaves": F.col("leaves") + F.coalesce("leaves_below", F.lit(0)),
-        "saved_tokens": F.col("saved") + F.coalesce("saved_below", F.lit(0)),
-    }).drop("leaves", "saved", "leaves_below", "saved_below")
-    nodes = cut_lineage(nodes, "sums")
+        F.array().cast(f"array<{_SUM}>").alias("above"), F.lit(False).alias("inner"), F.lit(0).cast("long").alias("n_chars"),
+        "conv_id", "n_convs")
+    nodes = cut_lineage(_divided(_begun(blocks)).unionByName(root), "nodes")
     # The root's own number is known: its children, often the most of all, look nothing up.
-    least = nodes.agg(F.min("conv_id")).first()[0]
+    least, deepest = nodes.agg(F.min("conv_id"), F.max("depth")).first()
     parents = nodes.select(F.col("node").alias("__node"), F.col("conv_id").alias("parent_conv_id"))
     low = nodes.where("depth <= 1").withColumn("parent_conv_id", F.when(F.col("depth") == 1, F.lit(least)).cast("long"))
     high = nodes.where("depth > 1").join(parents, F.col("up") == F.col("__node")).drop("__node")
-    sums = blocks.groupBy(F.col("conv_id").alias("__conv")).agg(F.sum("digest").cast(_SUM).alias("node"))
-    ends = convs.join(sums, F.col("conv_id") == F.col("__conv"), "left").select(
-        "conv_id", F.coalesce("node", F.lit(0).cast(_SUM)).alias("node"))
-    return Trie(low.unionByName(high), ends)
+    below = _sums(nodes, deepest or 0, block_turns)
+    told = low.unionByName(high).join(below, F.col("node") == F.col("of"), "left").select(
+        "depth", "node", "up", "n_chars", "conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"),
+        F.coalesce("leaves_below", F.lit(1)).alias("n_leaves"),
+        ((F.col("n_convs") - 1) * F.col("n_chars") + F.coalesce("saved_below", F.lit(0))).alias("saved_tokens"), "parent_conv_id")
+    every = blocks.select("conv_id", "digest").unionByName(convs.select("conv_id", F.lit(0).cast(_SUM).alias("digest")))
+    ends = every.groupBy("conv_id").agg(F.sum("digest").cast(_SUM).alias("node"))
+    return Trie(told, ends)
 
 
 def _starts(nodes: pa.Array) -> list[int]:
@@ -235,13 +272,30 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([node], kind), pa.array([state.hexdigest()])], names=["node", "ends_sha256"])
 
 
-def end_digests(ends: DataFrame) -> DataFrame:
+def end_digests(ends: DataFrame, joined_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per node with conversations that end there: the SHA-256 of their ids in rising order, joined by commas.
 
-    Ids are sorted by ranges of node and id and joined into pieces there, so that a node where most conversations end
-    is many pieces; one task then reads a node's pieces in order, one after the other, as the digest asks for.
+    Up to ``joined_rows`` ids of a node are sorted and joined in one row. Those of nodes with more are sorted by ranges of node
+    and id and joined into pieces there, so that a node where most conversations end is many pieces; one task then reads
+    a node's pieces in order, one after the other, as the digest asks for.
     """
     ends = cut_lineage(ends, "ends")
+    sizes = ends.groupBy(F.col("node").alias("of")).agg(F.count("*").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= joined_rows:
+        return _joined_digests(ends)
+    sizes = cut_lineage(sizes, "ends of nodes")
+    same = F.col("node") == F.col("of")
+    few = ends.join(sizes.where(F.col("n") <= joined_rows), same, "left_semi")
+    many = ends.join(sizes.where(F.col("n") > joined_rows), same, "left_semi")
+    return _joined_digests(few).unionByName(_pieced_digests(cut_lineage(many, "many ends")))
+
+
+def _joined_digests(ends: DataFrame) -> DataFrame:
+    ids = F.concat_ws(",", F.sort_array(F.collect_list("conv_id")).cast("array<string>"))
+    return ends.groupBy("node").agg(F.sha2(ids, 256).alias("ends_sha256"))
+
+
+def _pieced_digests(ends: DataFrame) -> DataFrame:
     parts = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ends.repartitionByRange(parts, "node", "conv_id").sortWithinPartitions("node", "conv_id")
     pieces = dealt.select("node", "conv_id").mapInArrow(_pieces, f"node {_SUM}, first long, ids string")
