@@ -207,3 +207,34 @@ def test_blocks_are_dealt_evenly_to_the_cores(spark):
     assert sum(sizes) == n and max(sizes) - min(sizes) <= boosting.DEALT_ROWS * 2
     assert sum(d for task in found for _, _, d in task) == n * (n - 1) // 2
     assert sum(b for task in found for _, b, _ in task) == sum(min(i % 5, 4) for i in range(n))
+
+
+def test_sums_are_those_of_each_row_in_turn():
+    draw = np.random.default_rng(3)
+    n, bins, cuts = 5000, 16, [np.arange(15.0), np.arange(2.0), np.arange(7.0)]
+    block = boosting.Block(
+        np.array([draw.integers(0, len(c) + 1, n) for c in cuts], np.uint8), draw.integers(0, 2, n).astype(np.uint8),
+        draw.integers(0, 1 << 62, n).astype(np.uint64), draw.integers(0, 3, n).astype(np.int32))
+    # Splits at 4 of the first feature and 1 of the third; one, two or all three of the leaves are open.
+    none = np.zeros(5)
+    tree = boosting.Tree(*(np.array(x) for x in ([0, -1, 2, -1, -1], none, [4, -1, 1, -1, -1], [1, -1, 3, -1, -1], [2, -1, 4, -1, -1], none, none, none)))
+    margins = draw.normal(size=(3, n))
+    levels = [
+        boosting._Level(0, Settings(), tree, [4], np.array([0, 2])), boosting._Level(1, Settings(without_fold=1), tree, [1, 3], np.array([0, 2])),
+        boosting._Level(2, Settings(subsample=1.0, without_fold=1), tree, [1, 3, 4], np.array([0, 1]))]
+    totals = [level.zeros(bins) for level in levels]
+    for _ in range(2):
+        boosting._add_sums(totals, block, margins, levels, 5, 42, bins, 1.7)
+    for level, total in zip(levels, totals):
+        s, leaf = level.settings, tree.leaves_of_bins(block.bins, np.arange(n))
+        learned = boosting._drawn(block, s.subsample, 5, 42) & ((block.fold != s.without_fold) if s.without_fold is not None else True)
+        expected = np.zeros((2, len(level.open), len(level.columns), bins))
+        for place, node in enumerate(level.open):
+            rows = np.flatnonzero(learned & (leaf == node))
+            p, w = 1 / (1 + np.exp(-margins[level.model, rows])), np.where(block.label[rows] == 1, 1.7, 1.0)
+            for i, c in enumerate(level.columns):
+                g, h = (np.bincount(block.bins[c, rows], v, bins) for v in (w * (p - block.label[rows]), w * p * (1 - p)))
+                expected[:, place, i] = g + g, h + h
+        sent = level.used(total, cuts, bins)
+        assert sent.size == len(level.open) * sum(len(cuts[c]) + 1 for c in level.columns)
+        assert np.array_equal(level.whole(sent, cuts, bins), expected)  # to the last digit, as ties are broken by it
