@@ -47,8 +47,8 @@ def long_factors(attributed: DataFrame, keep: Sequence[str]) -> DataFrame:
     return attributed.select(*keep, F.inline("factors"))
 
 
-def by_size(factors: str | Column = "factors") -> Column:
-    """Factors with the largest absolute contribution first; equal ones by name."""
+def by_size(factors: str | Column = "factors", n: int | None = None) -> Column:
+    """Factors, or ``n`` of them, with the largest absolute contribution first; equal ones by name."""
     f = F.col(factors) if isinstance(factors, str) else factors
     keyed = F.transform(
         f,
@@ -59,8 +59,9 @@ def by_size(factors: str | Column = "factors") -> Column:
             x["contribution"].alias("contribution"),
         ),
     )
+    found = F.sort_array(keyed)
     return F.transform(
-        F.sort_array(keyed),
+        found if n is None else F.slice(found, 1, n),
         lambda x: F.struct(
             x["feature"].alias("feature"),
             x["value"].alias("value"),
@@ -70,7 +71,7 @@ def by_size(factors: str | Column = "factors") -> Column:
 
 
 def top_factors(attributed: DataFrame, n: int = 5, column: str = "top_factors") -> DataFrame:
-    return attributed.withColumn(column, F.slice(by_size(), 1, n))
+    return attributed.withColumn(column, by_size(n=n))
 
 
 def global_importance(attributed: DataFrame, features: Sequence[str]) -> DataFrame:

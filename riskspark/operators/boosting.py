@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 import numpy as np
@@ -26,6 +26,8 @@ from riskspark.session import cut_lineage, shared_folder
 BINS, BLOCK_ROWS, CUT_ROWS = 64, 1 << 15, 1 << 18
 #: Rows that a task should have at least, and rows that are dealt to tasks together.
 TASK_ROWS, DEALT_ROWS = 8192, 1 << 12
+#: Rows that go through the trees of a finished model together.
+SCORED_ROWS = 1 << 16
 #: How blocks and scores stay on the executors between passes: as they are, not compressed anew for every round.
 STORED = StorageLevel.MEMORY_AND_DISK_DESER
 #: Rounds after which the scores so far are written to the shared folder.
@@ -156,6 +158,31 @@ class BoostedTrees:
         """The model as it was after some rounds."""
         return BoostedTrees(self.features, self.trees[:rounds])
 
+    @cached_property
+    def _ranked(self) -> tuple[list[np.ndarray], list[Tree]]:
+        """The distinct thresholds of each feature, and the trees with places among them for bins."""
+        found: list[set] = [set() for _ in self.features]
+        for t in self.trees:
+            for f, x in zip(t.feature.tolist(), t.threshold.tolist()):
+                if f >= 0:
+                    found[f].add(x)
+        thresholds = [np.array(sorted(x), float) for x in found]
+        places = [{x: i for i, x in enumerate(own.tolist())} for own in thresholds]
+        return thresholds, [
+            replace(t, bin=np.array([places[f][x] if f >= 0 else -1 for f, x in zip(t.feature.tolist(), t.threshold.tolist())], int))
+            for t in self.trees]
+
+    def leaf_values(self, columns: Sequence[np.ndarray]) -> Iterator[np.ndarray]:
+        """The value of each row's leaf, tree after tree, from the values of its features."""
+        thresholds, trees = self._ranked
+        # A value is above as many thresholds as are below it; a missing one is above none.
+        kind = np.uint8 if max(map(len, thresholds), default=0) < 256 else np.int32
+        above = np.empty((len(columns), len(columns[0]) if len(columns) else 0), kind)
+        for row, own, x in zip(above, thresholds, columns):
+            row[:] = np.where(np.isnan(x), 0, np.searchsorted(own, x))
+        for tree in trees:
+            yield tree.of_leaves(tree.value, above)
+
     def log_odds(self) -> Column:
         """The log-odds of a row, from its feature columns."""
         shared = SparkSession.active().sparkContext.broadcast(self)  # trees x 2^depth nodes
@@ -163,12 +190,14 @@ class BoostedTrees:
         @F.pandas_udf("double")
         def margin(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             model = shared.value
-            for batch in columns:
-                x = np.column_stack([c.to_numpy(float) for c in batch])
-                out = np.zeros(len(x))
-                for tree in model.trees:
-                    out += tree.value[tree.leaves_of(x)]
-                yield pd.Series(out)
+            for held in together(columns):
+                out = np.zeros(sum(len(batch[0]) for batch in held))
+                for values in model.leaf_values([np.concatenate([c.to_numpy(float) for c in own]) for own in zip(*held)]):
+                    out += values
+                start = 0
+                for n in (len(batch[0]) for batch in held):
+                    yield pd.Series(out[start : start + n])
+                    start += n
 
         return margin(*(F.col(f).cast("double") for f in self.features))
 
@@ -180,10 +209,9 @@ class BoostedTrees:
         def margins(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             model = shared.value
             for batch in columns:
-                x = np.column_stack([c.to_numpy(float) for c in batch])
-                out = np.zeros((len(x), len(model.trees)))
-                for i, tree in enumerate(model.trees):
-                    out[:, i] = tree.value[tree.leaves_of(x)]
+                out = np.zeros((len(batch[0]), len(model.trees)))
+                for i, values in enumerate(model.leaf_values([c.to_numpy(float) for c in batch])):
+                    out[:, i] = values
                 yield pd.Series(list(np.cumsum(out, axis=1)))
 
         return margins(*(F.col(f).cast("double") for f in self.features))
@@ -242,6 +270,19 @@ class _Growing:
         return Tree(feature, np.array(self.threshold), bins, left, right, np.array(self.value), np.array(self.cover), np.array(self.gain))
 
 
+def together(batches: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Batches of columns, as many at once as have up to SCORED_ROWS rows: a tree costs some time however few they are."""
+    held, n = [], 0
+    for batch in batches:
+        if held and n + len(batch[0]) > SCORED_ROWS:
+            yield held
+            held, n = [], 0
+        held.append(batch)
+        n += len(batch[0])
+    if held:
+        yield held
+
+
 def cut_points(df: DataFrame, features: Sequence[str], draw: Column, bins: int = BINS) -> list[np.ndarray]:
     """Distinct approximate quantiles of each feature, at most ``bins - 1``; missing values are left out.
 

@@ -238,3 +238,74 @@ def test_sums_are_those_of_each_row_in_turn():
         sent = level.used(total, cuts, bins)
         assert sent.size == len(level.open) * sum(len(cuts[c]) + 1 for c in level.columns)
         assert np.array_equal(level.whole(sent, cuts, bins), expected)  # to the last digit, as ties are broken by it
+
+
+def grown_at_random(draw, features, most):
+    """Nodes of a tree of up to ``most`` levels, some branches ending early, with a chain to the lowest level."""
+    nodes = []
+
+    def grow(level, cover, chain):
+        at = len(nodes)
+        nodes.append(dict(id=at, value=float(draw.normal()), cover=cover, left=-1, right=-1, feature=-1, threshold=0.0))
+        if level < most and (chain or draw.random() < 0.6):
+            share = float(draw.uniform(0.2, 0.8))
+            nodes[at].update(feature=int(draw.integers(features)), threshold=float(draw.integers(0, 6)))
+            nodes[at]["left"] = grow(level + 1, cover * share, chain)
+            nodes[at]["right"] = grow(level + 1, cover * (1 - share), False)
+        return at
+
+    grow(0, 100.0, True)
+    return nodes
+
+
+def test_terms_by_subtree_are_those_by_leaf(monkeypatch):
+    from riskspark.operators import treeshap
+
+    draw = np.random.default_rng(11)
+    trees = [grown_at_random(draw, 5, most) for most in (0, 1, 3, 6, 7, 10, 13)]
+    weights = draw.uniform(0.5, 1.5, len(trees)).tolist()
+    x = draw.integers(-1, 8, (700, 5)) / 1.0
+    tables = treeshap.tree_tables(trees, weights, 5)
+    assert len(tables.trees) == 5  # the tree without a split has no terms, the deepest one goes leaf by leaf
+    for tree in tables.trees:
+        for most in (max(tree.depth), treeshap.MOST_SPLITS):
+            nodes = tree.cut(most)
+            assert len(nodes) <= len(tree.leaves) and all(t.shape[0] * t.shape[1] <= 1 << most for t in map(tree.terms, nodes))
+    wide = tables.trees[3]
+    assert len(wide.cut(treeshap.MOST_SPLITS)) < len(wide.leaves) / 2
+    monkeypatch.setattr(treeshap, "SIDED", 256)
+    monkeypatch.setattr(treeshap, "LOOKED_UP", 100)
+    found = [treeshap.shapley(part, tables) for part in (x, x[:1], x[:100])]
+    monkeypatch.setattr(treeshap, "MOST_SPLITS", 0)
+    by_leaf = treeshap.tree_tables(trees, weights, 5)
+    assert not by_leaf.trees
+    for part in found:
+        assert np.allclose(part, treeshap.shapley(x[: len(part)], by_leaf), atol=1e-12)
+
+
+def test_scores_of_batches_together_are_those_of_the_walk(monkeypatch):
+    draw = np.random.default_rng(2)
+    trees = [grown_at_random(draw, 3, most) for most in (0, 2, 7, 9)]
+    made = [boosting.Tree(*(np.array([n[c] for n in nodes]) for c in ("feature", "threshold")), np.full(len(nodes), -1), *(
+        np.array([n[c] for n in nodes]) for c in ("left", "right", "value", "cover", "cover"))) for nodes in trees]
+    model = boosting.BoostedTrees(("a", "b", "c"), tuple(made))
+    x = draw.integers(-1, 8, (900, 3)) / 1.0
+    x[::7, 1], x[3, 0], x[4, 2] = np.nan, np.inf, -np.inf
+    for tree, values in zip(made, model.leaf_values(list(x.T))):
+        assert np.array_equal(values, tree.value[tree.leaves_of(x)])
+    monkeypatch.setattr(boosting, "SCORED_ROWS", 5)
+    batches = [(list(range(n)),) for n in (2, 3, 1, 9, 0, 4)]
+    assert [[len(b[0]) for b in held] for held in boosting.together(iter(batches))] == [[2, 3], [1], [9], [0, 4]]
+
+
+def test_attribution_refuses_missing_values(spark):
+    from riskspark.operators.treeshap import tree_attribution
+
+    df = spark.range(400).selectExpr("cast(id % 40 AS double) AS a", "cast(id % 7 AS int) AS b", "cast(id % 40 > 20 AS int) AS y")
+    (model,), _ = boosting.fit_together(df, ["a", "b"], "y", [boosting.Settings(3, 3)])
+    told = tree_attribution(df, model, ["a", "b"], ["a", "y"])
+    assert told.columns == ["a", "y", "base_value", "factors"]
+    assert told.select("factors").schema.simpleString() == "struct<factors:array<struct<feature:string,value:double,contribution:double>>>"
+    for gone in ("CASE WHEN a > 3 THEN a END AS a", "CASE WHEN a > 3 THEN a ELSE double('NaN') END AS a"):
+        with pytest.raises(Exception):
+            tree_attribution(df.selectExpr(gone, "b", "y"), model, ["a", "b"], ["y"]).collect()
