@@ -94,6 +94,11 @@ def _area(counts: DataFrame, by: list[str]) -> DataFrame:
             F.sum(neg).alias("n"),
         )
     )
+    return area_of_buckets(per_bucket, by)
+
+
+def area_of_buckets(per_bucket: DataFrame, by: Sequence[str]) -> DataFrame:
+    """ROC-AUC per group from each bucket's positives ``p``, negatives ``n`` and ``wins`` of the ones over the others."""
     before = F.coalesce(F.sum("n").over(earlier_buckets(by, "s__bucket")), F.lit(0.0))
     return (
         per_bucket.withColumn("before", before)
@@ -118,12 +123,16 @@ def evaluate(
     A group without scores has no ROC-AUC; a group whose keys are null is a group like any other.
     """
     by = list(by)
-    area = roc_auc(df, label, score, by).withColumnsRenamed({c: f"__{c}" for c in by})
+    return with_area(f1_by(df, label, score, by, threshold), roc_auc(df, label, score, by), by)
+
+
+def with_area(f1: DataFrame, area: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by, f1, roc_auc``: every group of the second side is one of the first."""
+    area = area.withColumnsRenamed({c: f"__{c}" for c in by})
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    # Every group of the second side is one of the first.
-    return f1_by(df, label, score, by, threshold).join(area, same, "left").select(*by, "f1", "roc_auc")
+    return f1.join(area, same, "left").select(*by, "f1", "roc_auc")
 
 
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:

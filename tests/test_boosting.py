@@ -309,3 +309,39 @@ def test_attribution_refuses_missing_values(spark):
     for gone in ("CASE WHEN a > 3 THEN a END AS a", "CASE WHEN a > 3 THEN a ELSE double('NaN') END AS a"):
         with pytest.raises(Exception):
             tree_attribution(df.selectExpr(gone, "b", "y"), model, ["a", "b"], ["y"]).collect()
+
+
+def test_curve_of_groups_is_that_of_rows_per_round(rows, monkeypatch):
+    from riskspark.operators import curve
+
+    (model,), _ = fit_together(rows, FEATURES, "y", [Settings(5, 3, 0.3)], "id")
+    # Groups with a null, one of a single class and one without labels; many rows of equal scores.
+    odd = rows.withColumns({
+        "part": F.when(F.col("id") % 5 > 0, (F.col("id") % 5).cast("string")), "a": F.when(F.col("id") % 4 > 0, F.col("a"))})
+    odd = odd.withColumn("y", F.when(F.col("part") == "1", F.lit(1)).when(F.col("part") != "2", F.col("y")).when(F.col("part").isNull(), F.col("y")))
+    odd = odd.withColumn("half", F.col("id") % 2 == 0)
+    keep = ["part", "half"]
+    staged = odd.select(*keep, "y", F.posexplode(model.staged()).alias("place", "margin"))
+    long = staged.select(*keep, "y", (F.col("place") + 1).alias("round"), (1 / (1 + F.exp(-F.col("margin")))).alias("p1"))
+    expected = {tuple(r)[:3]: tuple(r)[3:] for r in evaluate(long, "y", "p1", [*keep, "round"]).collect()}
+    for size in (1 << 19, 200):
+        monkeypatch.setattr(curve, "BUCKET_ROWS", size)
+        assert (size > 3000) == (not curve._limits(odd, model, [1, 5]))
+        found = {tuple(r)[:3]: tuple(r)[3:] for r in models.validation_curve(odd, model, "y", keep).collect()}
+        assert found.keys() == expected.keys() and len(found) == 50
+        for k, (f1, auc) in found.items():
+            assert f1 == pytest.approx(expected[k][0])
+            assert auc == (None if expected[k][1] is None else pytest.approx(expected[k][1]))
+    beyond = models.validation_curve(odd, model, "y", rounds=[5, 9]).orderBy("round").collect()
+    assert [r["round"] for r in beyond] == [5, 9] and (beyond[1]["f1"], beyond[1]["roc_auc"]) == (0.0, None)
+
+
+def test_curve_sends_lists_not_a_row_per_row_and_round(rows, monkeypatch):
+    from riskspark.operators import curve
+
+    (model,), _ = fit_together(rows, FEATURES, "y", [Settings(4, 2, 0.3)], "id")
+    stored = []
+    monkeypatch.setattr(curve, "cut_lineage", lambda df, name: stored.append(df.cache()) or stored[-1])
+    curve.curve(rows, model, "y", [], [1, 2, 3, 4]).collect()
+    assert [df.count() for df in stored] == [4]  # a row per round and bucket
+    assert "Generate" not in stored[0]._jdf.queryExecution().executedPlan().toString()
